@@ -14,6 +14,16 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from . import bytewords
+
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, 0x0A]] = True
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Marks that the split pattern always cuts from a letter or digit before them, at a piece's end.
+TAILS = ".,;:!?|"
 
 
 def public_path(name: str) -> str:
@@ -37,9 +47,9 @@ def cuts_at_blanks(spec: dict) -> bool:
 
 
 class Encoder:
-    """ids of texts; the distinct pieces and their cores seen so far are remembered up to these numbers, then forgotten."""
+    """ids of text columns; the distinct pieces seen so far are remembered up to max_pieces, then forgotten."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_cores: int = 900_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,107 +60,88 @@ class Encoder:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cuts = cuts_at_blanks(spec)
-        self.max_pieces, self.max_cores = max_pieces, max_cores
-        self.ends, self.tails, self.tail_ids = None, {}, np.zeros(1, np.uint32)
+        self.max_pieces = max_pieces
+        self.small = any(s.get("type") == "Lowercase" for s in (spec.get("normalizer") or {}).get("normalizers", []))
         mark = spec["model"].get("end_of_word_suffix")
-        if self.cuts and mark:
+        self.ends = None
+        if mark:
             self.ends = np.zeros(self.vocab_size, bool)
             self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(mark)]] = True
-            marks = ".,;:!?|"
-            self.tails = {c: i for i, c in enumerate(marks, 1)}
-            self.tail_ids = np.array([0, *(x[0] for x in self._each(list(marks)))], np.uint32)
+        self.tail_ids = np.zeros(256, np.int64)
+        if self.cuts:
+            self.tail_ids[list(TAILS.encode())] = [x[0] if len(x) == 1 else 0 for x in self._each(list(TAILS))]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # piece: 8 * core + tail
-        self.cores: dict[str, int] = {}
+        self.known = bytewords.Known()
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
     def _each(self, pieces: list[str]) -> list:
         return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        need = self.used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
-        self.flat[self.used : need] = ids
-        first = len(self.cores)
-        self.cores.update(zip(words, range(first, first + len(words))))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths)])
-        self.used = need
-
-    def _one_by_one(self, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words one after another, and how many each has.
+
+        Words of letters only reach the library as one text, in which each of
+        them ends in one token with the end mark.
+        """
+        if self.ends is not None and len(words) > 1:
+            ids = np.array(self._each([" ".join(words)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=0)
+        coded = self._each(words)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        for some in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            for at in range(0, len(some), 5000):
+                part = some[at : at + 5000]
+                ids, lengths = self._ids([words[i] for i in part]) if plain[part[0]] else self._ids_each([words[i] for i in part])
+                need = self.used + len(ids)
+                if need > len(self.flat):
+                    self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
+                self.flat[self.used : need] = ids
+                self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths)])
+                self.used = need
+                self.known.add(keys[part])
+
+    def _ids_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = self._each(words)
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self._keep(words, np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum())), lengths)
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only, which the library gets as one text: every word ends in one token that carries the end mark."""
-        ids = np.array(self._each([" ".join(words)])[0], np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):
-            self._keep(words, ids, np.diff(ends, prepend=0))
-        else:  # a letter that the normaliser takes apart
-            self._one_by_one(words)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """A piece is a core, or letters and one mark of self.tails, between which the split pattern always cuts."""
-        if self.ends is None:
-            self._one_by_one([p for p in pieces if p not in self.cores])
-            self.known.update((p, 8 * self.cores[p]) for p in pieces)
-            return
-        letters, others, parts = {}, [], []
-        for p in pieces:
-            core, tail = p, 0
-            if not p.isalpha() and (tail := self.tails.get(p[-1:], 0)):
-                core = p[:-1]
-            if core.isalpha():
-                core = core.lower() if core.isascii() else core
-                if core not in self.cores:
-                    letters[core] = None
-            else:
-                core, tail = p, 0
-                if p not in self.cores:
-                    others.append(p)
-            parts.append((p, core, tail))
-        words = list(letters)
-        for at in range(0, len(words), 5000):
-            self._letters(words[at : at + 5000])
-        if others:
-            self._one_by_one(others)
-        cores = self.cores
-        self.known.update((p, 8 * cores[core] + tail) for p, core, tail in parts)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another (uint32), and how many each text has. None counts as the empty text."""
-        texts = [t or "" for t in texts]
+        return np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum())), lengths
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column one after another (uint32), and how many each text has. Null counts as the empty text."""
         if not self.cuts:
-            coded = self._each(texts)
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            return np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum())), lengths
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        per_text = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        every = [p for x in pieces for p in x]
-        distinct = set(every)
-        if len(self.cores) + len(distinct) > self.max_cores:
+            return self._ids_each([t or "" for t in column.to_pylist()])
+        data, offsets = bytewords.text_bytes(column)
+        starts, ends, per_text = bytewords.spans(data, offsets, BLANKS)
+        # a last mark after an ASCII letter or digit is a token of its own
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        tail = np.where((ends - starts > 1) & ALNUM[before], self.tail_ids[last], 0)
+        cores = ends - (tail > 0)
+        look = bytewords.LOWER[data] if self.small else data
+        keys, place, inverse = bytewords.distinct(bytewords.keys(look, starts, cores))
+        if self.known.n + len(keys) > self.max_pieces:
             self._forget()
-        elif len(self.known) + len(distinct) > self.max_pieces:
-            self.known = {}
-        fresh = [p for p in distinct if p not in self.known]
-        if fresh:
-            self._learn(fresh)
-        code = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        which, tail = code >> 3, code & 7
-        starts = self.starts[which]
-        sizes = self.starts[which + 1] - starts + (tail > 0)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        gather = np.repeat(starts - (ends - sizes), sizes)
-        gather += np.arange(total)
+        number = self.known.find(keys)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            raw = look.tobytes()
+            self._learn(keys[fresh], [raw[starts[i] : cores[i]].decode() for i in place[fresh]])
+            number[fresh] = self.known.find(keys[fresh])
+        which = number[inverse]
+        first = self.starts[which]
+        sizes = self.starts[which + 1] - first + (tail > 0)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        gather = np.repeat(first - upto[:-1], sizes)
+        gather += np.arange(len(gather))
         ids = self.flat[np.minimum(gather, len(self.flat) - 1)]
         marked = np.flatnonzero(tail)
-        ids[ends[marked] - 1] = self.tail_ids[tail[marked]]
-        upto = np.concatenate([[0], ends])
+        ids[upto[marked + 1] - 1] = tail[marked]
         return ids, np.diff(upto[np.concatenate([[0], np.cumsum(per_text)])])
 
 
@@ -160,18 +151,5 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches(texts: list, max_chars: int = 4_000_000):
-    """Slices of consecutive texts of max_chars at most; a longer text comes alone."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > at and held + n > max_chars:
-            yield at, i
-            at, held = i, 0
-        held += n
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .matroska import op4_matroska
+from .packing import op3_pack_dominance
+from .token_counts import op10_token_counts
 from .token_files import op5_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_pack_dominance": op3_pack_dominance,
+    "op4_matroska": op4_matroska,
     "op5_token_files": op5_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
-from .encoding import batches, crc32, encoder, public_path
+from .bytewords import parts
+from .encoding import encoder, public_path
 
 END_ID = 2
 
@@ -119,9 +120,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         bits = bits_for(max(coder.vocab_size, end_id + 1))
         directory, offset, ids_before, docs_before = [], 0, 0, 0
         for batch in batch_iter:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in batches(texts, 2 * block_ids):
-                flat, lengths = coder.encode(texts[lo:hi])
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for lo, hi in parts(texts, 2 * block_ids):
+                flat, lengths = coder.encode(texts.slice(lo, hi - lo))
                 lengths = lengths + 1
                 ends = np.cumsum(lengths)
                 ids = np.full(int(ends[-1]), end_id, np.uint32)
