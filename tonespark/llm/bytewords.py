@@ -53,7 +53,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000):
+def slices(offsets: np.ndarray, most: int = 1_000_000):
     """Ranges of consecutive texts of `most` bytes at most; a longer text comes alone."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -62,7 +62,7 @@ def slices(offsets: np.ndarray, most: int = 2_000_000):
         at = end
 
 
-def parts(column: pa.Array, most: int = 2_000_000):
+def parts(column: pa.Array, most: int = 1_000_000):
     """(first, end) of slices of a string column of `most` bytes at most; a longer text comes alone."""
     return slices(text_bytes(column)[1], most)
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op9_chosen_path_join
 from .matroska import op4_matroska
+from .mixing import OP2_SQL, op2_mix_schedule
 from .packing import op3_pack_dominance
 from .token_counts import op10_token_counts
 from .token_files import op5_token_files
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_mix_schedule": op2_mix_schedule,
     "op3_pack_dominance": op3_pack_dominance,
     "op4_matroska": op4_matroska,
     "op5_token_files": op5_token_files,
     "op7_toxicity": op7_toxicity,
+    "op9_chosen_path_join": op9_chosen_path_join,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mix_schedule": OP2_SQL,
+}

@@ -109,7 +109,7 @@ def merged_lengths(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -
 class Counter:
     """Tokens of whole texts for one tokenizers file of this family; counts of distinct pieces are remembered up to max_pieces."""
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000):
+    def __init__(self, path: str, max_pieces: int = 700_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]

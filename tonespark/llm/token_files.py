@@ -106,7 +106,7 @@ class TokenFile:
         return unpack(words, bits, at, at + int(lengths[i]))
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 20) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 19) -> None:
     """Encode text by doc_id and write one file per partition of ascending doc_id (null first).
 
     Repeated doc_ids follow one another, ordered by their texts' hash. Null and
