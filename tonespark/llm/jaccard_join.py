@@ -32,7 +32,7 @@ MINIMA = 64
 #: Paths that begin at the root, and that leave a bucket: with 9 and 3, a pair of similarity 0.8 meets at no leaf with a chance of about (0.2 + 0.8 * 0.009) ** 9 < 1e-6.
 RUNS, BRANCHES = 9, 3
 #: Largest bucket that is compared outright, most levels, and rows of a block of larger ones.
-SMALL, LEVELS, BLOCK = 48, 4, 256
+SMALL, LEVELS, BLOCK = 48, 4, 1024
 #: Equal minima of 64 that a pair needs to be compared exactly. At similarity 0.8, fewer come with a chance below 1e-7.
 SKETCH_LEAST = 32
 _C = np.random.default_rng(20240229).integers(1, 1 << 63, (MINIMA, 2), dtype=np.uint64) | np.uint64(1)
@@ -221,6 +221,20 @@ def near(n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -
     return (small >= threshold * large - 1e-9) & (small > 0)
 
 
+#: Pairs whose sketches are compared at a time.
+PAIRS = 1 << 17
+
+
+def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sketches share enough; most are ruled out by the first minima."""
+    equal = np.zeros(len(left), np.int16)
+    for at in range(0, MINIMA, 16):
+        equal += (sketch[left, at : at + 16] == sketch[right, at : at + 16]).sum(1, dtype=np.int16)
+        keep = equal >= SKETCH_LEAST - (MINIMA - at - 16)
+        left, right, equal = left[keep], right[keep], equal[keep]
+    return left, right
+
+
 def candidates(t: dict, threshold: float):
     """Rows of a unit with a partner that their sketches do not rule out and that they first meet here."""
     left, right = _pairs(t)
@@ -229,11 +243,8 @@ def candidates(t: dict, threshold: float):
     if not len(left):
         return None
     sketch = np.frombuffer(b"".join(t["sketch"]), np.uint32).reshape(-1, MINIMA)
-    equal = np.zeros(len(left), np.int16)
-    for at in range(0, MINIMA, 16):  # most pairs are ruled out by the first minima
-        equal += (sketch[left, at : at + 16] == sketch[right, at : at + 16]).sum(1, dtype=np.int16)
-        keep = equal >= SKETCH_LEAST - (MINIMA - at - 16)
-        left, right, equal = left[keep], right[keep], equal[keep]
+    kept = [_alike(sketch, left[at : at + PAIRS], right[at : at + PAIRS]) for at in range(0, len(left), PAIRS)]
+    left, right = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
     if not len(left):
         return None
     new = ~_earlier(t["leaves"], int(t["bucket"][0]), left, right)
