@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Words of a text: runs of characters other than space, tab, LF, VT, FF, CR.
@@ -97,4 +96,18 @@ def running_sums(df: DataFrame, key: str, bucket: str, order: list, value: str,
     )
 
 
-LONG, INT, BINARY, STRING = T.LongType(), T.IntegerType(), T.BinaryType(), T.StringType()
+#: Rows of keys that are sent to every executor at most (a few dozen bytes each); more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, keys: dict) -> DataFrame:
+    """docs less the rows whose keys (name in rejected: expression over docs) are in rejected; nulls equal nulls."""
+    gone = stored(rejected.select(*keys).distinct(), "rejected")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    names = fresh(docs, *keys)
+    marked = docs.withColumns({n: e for n, e in zip(names, keys.values())})
+    match = [marked[n].eqNullSafe(side[k]) for n, k in zip(names, keys)]
+    on = match[0]
+    for m in match[1:]:
+        on = on & m
+    return marked.join(side, on, "left_anti").drop(*names)

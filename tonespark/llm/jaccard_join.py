@@ -370,6 +370,27 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.unionByName(every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links")))
 
 
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs less all but one of each class: the row with the least doc_id stays.
+
+    Rows without a doc_id go where their class has a row with one, else one of
+    each text stays. Rows that are equal in doc_id and text are one document.
+    Texts without words all stay.
+    """
+    classes = common.stored(jaccard_join(docs, threshold), "classes")
+    named = classes.where("doc_id IS NOT NULL")
+    out = common.without(docs.where("doc_id IS NOT NULL"), named.where("doc_id <> class_id"), {"doc_id": F.col("doc_id").cast("long")})
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    blank = docs.where("doc_id IS NULL")
+    if blank.isEmpty():
+        return out
+    alone = classes.where("doc_id IS NULL AND (class_id < 0 OR class_id IS NULL)").select("class_id").distinct()
+    kept = with_prints(blank.select(F.lit(None).cast("long").alias("doc_id"), "text")).select("text").distinct() if not alone.isEmpty() else None
+    rest = blank.dropDuplicates(["text"]) if kept is not None else blank.limit(0)
+    return out.unionByName(rest)
+
+
 #: Sets whose numbers are sent to every executor at most (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 

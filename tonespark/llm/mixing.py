@@ -126,6 +126,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     return all_docs.join(few, "source_no").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """docs as often as the mix takes them: once for every pass that takes half of a document's words or more. Documents without words go."""
+    mixed = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    names = common.fresh(docs, "mix_id", "mix_source", "mix_size", "mix_copies")
+    mixed = mixed.toDF(*names)
+    size = common.word_count(F.col("text").cast("string"))
+    on = docs["doc_id"].cast("long").eqNullSafe(mixed[names[0]]) & docs["source"].cast("string").eqNullSafe(mixed[names[1]]) & (size == mixed[names[2]])
+    both = docs.join(mixed, on)
+    return both.withColumn(names[3], F.explode(F.sequence(F.lit(1), names[3]))).select(*docs.columns)
+
+
 def op2_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 

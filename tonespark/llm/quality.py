@@ -103,7 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
     """Base counts and histograms (classes, counts of common words) of docs (doc_id, text, lang)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang").cast("string"))
-    rows = base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), known.alias("lang")))
+    rows = base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), known.alias("lang"), F.xxhash64("text", "lang").alias("key")))
     counted = [count(F.col("_text"), p) for p in CLASSES.values()]
     rows = rows.withColumn("_counted", F.array(*counted)).withColumn("n_chars", F.length("_text").cast("long"))
     rest = F.col("n_chars") - F.aggregate("_counted", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -120,7 +120,7 @@ def features(docs: DataFrame) -> DataFrame:
     times = F.lit(None).cast("array<bigint>")
     for name, words in COMMON.items():
         times = F.when(F.col("lang") == name, tally(F.array(*map(F.lit, words)))).otherwise(times)
-    return rows.withColumn("common", times).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "chars", "common")
+    return rows.withColumn("common", times).select("doc_id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "chars", "common")
 
 
 def total(counts: Column) -> Column:
@@ -147,6 +147,18 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """quality() with key, the hash of the text and language that a verdict rests on."""
+    rows = common.stored(features(docs), "features")
+    refs = references(rows)  # a row for each known language, and one
+    both = rows.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    char = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("chars"), F.col("ref_chars")))
+    word = F.when(total(F.col("common")) >= MIN_COMMON, js_distance(F.col("common"), F.col("ref_common")))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    far = F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
+    return both.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Judge docs (doc_id, text, lang).
 
@@ -157,17 +169,14 @@ def quality(docs: DataFrame) -> DataFrame:
     all such documents by characters alone. Rows repeat as often as in docs; an
     empty table gives no rows; other columns of docs are ignored.
     """
-    rows = common.stored(features(docs), "features")
-    refs = references(rows)  # a row for each known language, and one
-    judged = rows.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    char = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("chars"), F.col("ref_chars")))
-    word = F.when(total(F.col("common")) >= MIN_COMMON, js_distance(F.col("common"), F.col("ref_common")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
-    return (
-        judged.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
-    )
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """docs (text, lang and any other columns) less the rows that are judged bad; equal texts of a language share a verdict."""
+    if "doc_id" not in docs.columns:
+        raise ValueError("documents need a doc_id")
+    return common.without(docs, judged(docs).where("NOT kept"), {"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text", "lang")})
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

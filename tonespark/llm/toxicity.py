@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return train([t for _, _, t in got], np.array([y for _, y, _ in got], np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (0 to 1). Null and empty texts score as a window without words. Other columns stay, also one named score, which this replaces."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of scores (0 to 1) by that name, which replaces one that has it. Null and empty texts score as a window without words. Other columns stay."""
     spark = docs.sparkSession
     common.small_batches(spark)
     holder = spark.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         out = [scorer.scores(column.slice(lo, hi - lo)) for lo, hi in bytewords.parts(column)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("score", toxic_score(F.col("text").cast("string")))
+    return docs.withColumn(name, toxic_score(F.col("text").cast("string")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
