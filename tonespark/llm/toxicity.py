@@ -26,7 +26,7 @@ BUCKET_BITS = 17
 DIMENSIONS = 8
 WINDOW = 8
 #: Labelled rows of each class that are used for training, at most.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
 THRESHOLD = 0.7
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|-_…«»“”’"
 
@@ -55,6 +55,16 @@ def ngrams(words: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.nd
     return owner[order], (h >> np.uint64(64 - bits)).astype(np.int64)[order]
 
 
+def packed_ngrams(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams one after another, and where each word's begin; worked out in parts to hold little at once."""
+    buckets, counts = [], []
+    for at in range(0, len(words), part):
+        owner, bucket = ngrams(words[at : at + part])
+        buckets.append(bucket.astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(words[at : at + part])))
+    return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def windows(values: np.ndarray, sizes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text of `sizes` values: mean, first place and length of its highest window of `width` values (all values where it has fewer; 0 for none)."""
     ends = np.cumsum(sizes)
@@ -96,11 +106,11 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 40, seed: int = 7,
     """Fit vectors and softmax on texts; the first epochs average whole texts, the others their highest windows."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    of = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    of = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     if not number or len(set(toxic.tolist())) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), -20.0 if not toxic.any() else 0.0)
-    owner, bucket = ngrams(list(number))
-    heads = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(number)))])
+    bucket, heads = packed_ngrams(list(number))
+    del number
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2))
     bias = np.zeros(2)
@@ -113,14 +123,14 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 40, seed: int = 7,
         if epoch < warm:  # whole texts
             first, length = np.cumsum(sizes) - sizes, np.minimum(sizes, 64)
         else:
-            margin = vectors @ (softmax[:, 1] - softmax[:, 0])
+            margin = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
             per_word = np.add.reduceat(margin[bucket], heads[:-1]) / np.diff(heads)
             _, first, length = windows(per_word[flat], sizes)
         # the chosen windows' words, their n-grams, and the share of each n-gram in its window's mean
         text = np.repeat(np.arange(len(texts)), length)
         place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
         word = flat[place]
-        n = np.diff(heads)[word]
+        n = (heads[1:] - heads[:-1])[word]
         gram = np.repeat(heads[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         g_bucket, g_text = bucket[gram], np.repeat(text, n)
         share = np.repeat(1.0 / (n * length[text]), n)
