@@ -1,0 +1 @@
+"""Signal analytics on Spark: recordings as long tables, operators as plans."""
