@@ -32,7 +32,7 @@ MINIMA = 64
 #: Paths that begin at the root, and that leave a bucket: with 9 and 3, a pair of similarity 0.8 meets at no leaf with a chance of about (0.2 + 0.8 * 0.009) ** 9 < 1e-6.
 RUNS, BRANCHES = 9, 3
 #: Largest bucket that is compared outright, most levels, and rows of a block of larger ones.
-SMALL, LEVELS, BLOCK = 48, 4, 1024
+SMALL, LEVELS, BLOCK = 48, 4, 512
 #: Equal minima of 64 that a pair needs to be compared exactly. At similarity 0.8, fewer come with a chance below 1e-7.
 SKETCH_LEAST = 32
 _C = np.random.default_rng(20240229).integers(1, 1 << 63, (MINIMA, 2), dtype=np.uint64) | np.uint64(1)
@@ -202,7 +202,7 @@ def _earlier(lists: list, bucket: int, left: np.ndarray, right: np.ndarray) -> n
     column = np.cumsum(count > 1) - 1
     has = np.zeros((len(lists), int((count > 1).sum())), np.float32)
     has[np.repeat(np.arange(len(lists)), sizes)[shared], column[which[shared]]] = 1
-    if len(left) * 4 > len(lists) ** 2:
+    if len(left) > len(lists):
         return (has @ has.T)[left, right] > 0
     return np.einsum("ij,ij->i", has[left], has[right]) > 0
 
@@ -252,8 +252,24 @@ def candidates(t: dict, threshold: float):
     return [t["bucket"][rows], t["a"][rows], t["b"][rows], t["block"][rows], t["rid"][rows]]
 
 
+#: Shingles of sets that are compared at a time; a unit of long texts is taken in parts.
+SHINGLES = 2_000_000
+
+
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Shingles that sets left[i] and right[i] share."""
+    part = np.cumsum([len(s) for s in sets]) // SHINGLES
+    if len(sets) > 2 and part[-1] > 0 and len(left) > 2 * len(sets):
+        out = np.zeros(len(left), np.int64)
+        for code in np.unique(part[left] * (part[-1] + 1) + part[right]):
+            mine = np.flatnonzero(part[left] * (part[-1] + 1) + part[right] == code)
+            rows, place = np.unique(np.concatenate([left[mine], right[mine]]), return_inverse=True)
+            out[mine] = _common([sets[i] for i in rows], place[: len(mine)], place[len(mine) :])
+        return out
+    return _common(sets, left, right)
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if len(left) <= 2 * len(sets):
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)], np.int64)
     sizes = np.array([len(s) for s in sets])
