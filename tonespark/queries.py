@@ -200,15 +200,15 @@ def _points(spark: SparkSession, sf_dir: str, step: int = 50) -> DataFrame:
     return events(spark, sf_dir).where(F.col("sample_idx") % step == 10).select(*KEY, F.col("sample_idx").alias("point"))
 
 
-_TUKEY = ", ".join(repr(float(x)) for x in tukey(32, 0.5))
+_TUKEY = ", ".join(repr(float(x)) for x in tukey(31, 0.5))
 query(
     "cut_sig",
     f"""WITH {EV}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM ev GROUP BY ALL),
-    p AS (SELECT ev.frame_id, ev.channel_id, sample_idx AS point FROM ev JOIN n USING ({BY}) WHERE sample_idx % 50 = 10 AND sample_idx + 32 <= n),
-    g AS (SELECT p.frame_id, p.channel_id, point, sample_idx - point AS place, value FROM p JOIN ev ON ev.channel_id = p.channel_id AND sample_idx >= point AND sample_idx < point + 32),
+    p AS (SELECT ev.frame_id, ev.channel_id, sample_idx AS point FROM ev JOIN n USING ({BY}) WHERE sample_idx % 50 = 10 AND sample_idx + 31 <= n),
+    g AS (SELECT p.frame_id, p.channel_id, point, sample_idx - point AS place, value FROM p JOIN ev ON ev.channel_id = p.channel_id AND sample_idx >= point AND sample_idx < point + 31),
     result AS (SELECT {BY}, point, place, (value - avg(value) OVER (PARTITION BY channel_id, point)) * list_extract([{_TUKEY}]::DOUBLE[], CAST(place + 1 AS BIGINT)) AS value FROM g)""",
     "value", "point place",
-)(lambda spark, sf_dir: windowed.cut(s := events(spark, sf_dir), _points(spark, sf_dir), 32, 0.5, True))
+)(lambda spark, sf_dir: windowed.cut(s := events(spark, sf_dir), _points(spark, sf_dir), 31, 0.5, True))
 _ALPHA = math.exp(-1 / (RATE * windowed.FAST))
 _LEVEL = f"""WITH {EV}, a AS (SELECT * FROM ev WHERE sample_idx < 600),
     r AS (SELECT y.frame_id, y.channel_id, y.sample_idx, sum((1 - {_ALPHA!r}::DOUBLE) * pow({_ALPHA!r}::DOUBLE, y.sample_idx - x.sample_idx) * x.value * x.value) AS p
