@@ -98,45 +98,42 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """rows (bucket, rid, sketch) one level down: a bucket samples BRANCHES of the minima, and each gives a bucket of its own for each value."""
+    """rows (bucket, rid, sketch) one level down: a bucket samples BRANCHES of the minima, and each gives a bucket of its own for each value.
+
+    probe is one more minimum, by which a new bucket shows how much its sets are alike.
+    """
     take = RUNS if level == 0 else BRANCHES
 
     def split(batch_iter):
         for batch in batch_iter:
             bucket = batch.column("bucket").to_numpy().view(np.uint64)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, MINIMA)
-            out = []
+            out, probes, row = [], [], np.arange(len(bucket))
             for j in range(take):
                 seed = bytewords.mix(bucket + np.uint64(1 + j + 100 * level))
                 # different minima for the paths of a bucket: one from each of `take` equal ranges
                 width = MINIMA // take
                 at = (j * width + (seed % np.uint64(width)).astype(np.int64)) if level else np.full(len(bucket), j)
-                value = sketch[np.arange(len(bucket)), at].astype(np.uint64)
+                value = sketch[row, at].astype(np.uint64)
                 out.append(bytewords.mix(bytewords.mix(seed ^ (value << np.uint64(32)) ^ value) + at.astype(np.uint64)))
-            n = len(bucket)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(bucket.view(np.int64), take)), pa.concat_arrays([batch.column("rid")] * take)], ["bucket", "parent", "rid"]
-            )
+                probes.append(sketch[row, (at + 1 + (out[-1] % np.uint64(MINIMA - 1)).astype(np.int64)) % MINIMA].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(probes)), pa.concat_arrays([batch.column("rid")] * take)], ["bucket", "probe", "rid"])
 
-    return rows.select("bucket", "rid", "sketch").mapInArrow(split, "bucket long, parent long, rid long")
+    return rows.select("bucket", "rid", "sketch").mapInArrow(split, "bucket long, probe long, rid long")
 
 
 def leaves(reps: DataFrame) -> DataFrame:
     """Leaf buckets of all runs: bucket, rid, size; every rid is in a bucket once."""
-    found, rows = [], reps.select(F.lit(0).cast("long").alias("bucket"), "rid", "sketch", F.lit(1 << 62).alias("size"))
+    found, rows = [], reps.select(F.lit(0).cast("long").alias("bucket"), "rid", "sketch")
     for level in range(LEVELS):
         down = children(rows, level)
-        sizes = down.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("_parent")).where("size > 1").select("bucket", "size")
-        parents = rows.select("bucket", "size").distinct().withColumnsRenamed({"bucket": "parent", "size": "parent_size"}) if level else None
-        met = down.join(sizes, "bucket")
-        # splitting goes on while it shrinks buckets; sets that stay together are alike and are compared
-        if level == 0:
-            met = met.withColumn("parent_size", F.lit(1 << 62))
-        else:
-            met = met.join(parents, "parent")
-        met = common.stored(met.withColumn("leaf", (F.col("size") <= SMALL) | (F.col("size") * 2 > F.col("parent_size")) | F.lit(level == LEVELS - 1)), "paths")
+        alike = down.groupBy("bucket", "probe").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = alike.groupBy("bucket").agg(F.sum("_n").alias("size"), F.max("_n").alias("_most")).where("size > 1")
+        # splitting goes on while it would shrink a bucket; sets that mostly share one more minimum are alike and are compared
+        leaf = (F.col("size") <= SMALL) | (F.col("_most") * 2 > F.col("size")) | F.lit(level == LEVELS - 1)
+        met = common.stored(down.select("bucket", "rid").join(sizes.select("bucket", "size", leaf.alias("leaf")), "bucket"), "paths")
         found.append(met.where("leaf").select("bucket", "rid", "size"))
-        more = met.where("NOT leaf").select("bucket", "rid", "size")
+        more = met.where("NOT leaf").select("bucket", "rid")
         if level == LEVELS - 1 or more.isEmpty():
             break
         rows = more.join(reps.select("rid", "sketch"), "rid")
