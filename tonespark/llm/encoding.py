@@ -49,7 +49,7 @@ def cuts_at_blanks(spec: dict) -> bool:
 class Encoder:
     """ids of text columns; the distinct pieces seen so far are remembered up to max_pieces, then forgotten."""
 
-    def __init__(self, path: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -92,6 +92,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(prints[0]), pa.array(prints[1]), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())],
                     ["doc_id", "f1", "f2", "n", "sketch"],
                 )
+        common.release()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(rows, "doc_id long, f1 long, f2 long, n long, sketch binary")
@@ -182,6 +183,8 @@ def in_units(rows: DataFrame, columns: list[str], judge, schema: str) -> DataFra
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from flush()
+            held = []
+        common.release()
 
     return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").select(*names).mapInArrow(run, schema)
 

@@ -220,6 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids", "local_rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)] + [pa.array([task] * len(out), pa.int32())], [*names, "task"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids binary, local_rank long, task int"

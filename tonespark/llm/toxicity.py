@@ -154,7 +154,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 40, seed: int = 7,
 class Scorer:
     """Scores of text columns; the scores of words seen so far are remembered up to max_words."""
 
-    def __init__(self, model: Model, max_words: int = 700_000):
+    def __init__(self, model: Model, max_words: int = 400_000):
         self.model, self.max_words = model, max_words
         self._forget()
 
