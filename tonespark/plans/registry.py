@@ -32,7 +32,7 @@ def remember(out, source, name: str, version: int, method, args: tuple, kwargs:
     from ..frame import Step
 
     bound = inspect.signature(method).bind(source, *args, **kwargs)
-    params = {k: v for k, v in bound.arguments.items() if k != "self"}
+    params = dict(list(bound.arguments.items())[1:])  # the first is the signal
     out.header = replace(out.header, lineage=Step(name, params, (source.header.lineage or source.header.label or "input",), version))
     return out
 

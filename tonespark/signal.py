@@ -82,8 +82,8 @@ class Signal:
     def with_axis(self) -> DataFrame:
         """df with the physical axis: time_s, freq_hz or quefrency_s."""
         axis = {
-            "sample_idx": ("time_s", 1 / self.rate), "freq_idx": ("freq_hz", self.rate / self.header.params.get("n_fft", 1)), "quef_idx": ("quefrency_s", 1 / self.rate),
-            "frame_idx": ("time_s", self.header.params.get("hop", 1) / self.rate), "band_idx": ("band", 1.0),
+            "sample_idx": ("time_s", 1 / self.rate), "freq_idx": ("freq_hz", self.rate / (self.header.params.get("n_fft") or 1)), "quef_idx": ("quefrency_s", 1 / self.rate),
+            "frame_idx": ("time_s", (self.header.params.get("hop") or 1) / self.rate), "band_idx": ("band", 1.0),
         }
         return self.df.withColumns({axis[i][0]: F.col(i) * F.lit(axis[i][1]) for i in INDEX[self.kind]})
 
@@ -407,7 +407,7 @@ class Signal:
     # ---- spectra ---------------------------------------------------------------
 
     def _spectral(self, df: DataFrame, name: str, kind: str, **params) -> Signal:
-        return self._new(df, name, params, kind=kind, params={**params, "length": self._n}, channels=self._unit_factors(name))
+        return self._new(df, name, params, kind=kind, params={**params, "length": self._n}, channels=self._unit_factors(None if kind in PAIRS else name))
 
     @operation("fft")
     def fft(self, n_fft: int | None = None, window: str = "hann") -> Signal:

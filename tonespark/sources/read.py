@@ -155,8 +155,8 @@ read_wav = read_audio
 
 def path_metadata(files: DataFrame, root: str) -> DataFrame:
     """files with meta: k=v folders below root, or partition_0, partition_1, ..., and the file's name."""
-    base = F.lit(re.sub(r"^\w+:/*", "", root.rstrip("/")))
-    rest = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), F.concat(F.lit("^"), F.regexp_replace(base, r"([.+*?^$()\[\]{}|\\])", r"\\$1"), F.lit("/?")), F.lit(""))
+    base = F.lit(re.sub(r"^\w+:", "", root).strip("/"))
+    rest = F.regexp_replace(F.regexp_replace("path", r"^(\w+:)?/*", ""), F.concat(F.lit("^"), F.regexp_replace(base, r"([.+*?^$()\[\]{}|\\])", r"\\$1"), F.lit("/?")), F.lit(""))
     parts = F.split(rest, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     named = F.forall(folders, lambda p: p.contains("="))
