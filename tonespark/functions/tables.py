@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +10,11 @@ from pyspark.sql import Window as W
 KEY = ("frame_id", "channel_id")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out once where a plan reads it twice, on the executors' disks. The plan above it stays small, and lost parts are worked out again; clearCache() frees them."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str) -> DataFrame:
     """Number rows of each key from 0. bucket ascends with the order and splits a key, so that a task sorts one bucket and adds what came before."""
     df = df.withColumn("_bucket", bucket)

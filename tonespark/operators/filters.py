@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Recursion, butterworth, harmonic_percussive, polyphase, ratio, resample_part, weighting
-from ..functions.tables import KEY, blocks, unblock, with_stats
+from ..functions.tables import KEY, blocks, kept, unblock, with_stats
 from ..functions.windows import window
 
 BLOCK = 16_384
@@ -31,7 +31,7 @@ def recursive(df: DataFrame, b: np.ndarray, a: np.ndarray, steady: bool = False,
             rows = [system.run(np.asarray(v, float)) for v in pdf["values"]]
             yield pdf.assign(head=[float(v[0]) for v in pdf["values"]], values=[y for y, _ in rows], state=[s for _, s in rows])
 
-    rest = packed.mapInPandas(local, "frame_id string, channel_id string, block long, start long, values array<double>, head double, state array<double>")
+    rest = kept(packed.mapInPandas(local, "frame_id string, channel_id string, block long, start long, values array<double>, head double, state array<double>"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -65,19 +65,19 @@ def free(system: Recursion, state: np.ndarray, n: int) -> np.ndarray:
 def zero_phase(df: DataFrame, b: np.ndarray, a: np.ndarray) -> DataFrame:
     """Forward and backward with an odd extension of three filter lengths at both ends and steady first states. Channels are longer than that."""
     pad = 3 * max(len(a), len(b))
-    ends = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"), F.max_by("value", "sample_idx").alias("_last"), F.min_by("value", "sample_idx").alias("_first"))
+    ends = kept(df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"), F.max_by("value", "sample_idx").alias("_last"), F.min_by("value", "sample_idx").alias("_first")))
     n = F.when(F.col("_n") > pad, F.col("_n")).otherwise(F.raise_error(F.lit("a channel is shorter than the filter's extension")).cast("long"))
-    near = df.join(ends.withColumn("_n", n), list(KEY))
-    at = F.col("sample_idx")
-    body = near.select(*KEY, (at + pad).alias("sample_idx"), "value")
-    head = near.where((at >= 1) & (at <= pad)).select(*KEY, (F.lit(pad) - at).alias("sample_idx"), (2 * F.col("_first") - F.col("value")).alias("value"))
-    tail = near.where((at >= F.col("_n") - 1 - pad) & (at <= F.col("_n") - 2)).select(*KEY, (2 * F.col("_n") - 2 - at + pad).alias("sample_idx"), (2 * F.col("_last") - F.col("value")).alias("value"))
-    forward = recursive(body.unionByName(head).unionByName(tail), b, a, steady=True)
+    at, x = F.col("sample_idx"), F.col("value")
+    put = lambda i, v: F.struct(i.cast("long").alias("i"), v.alias("v"))
+    head = F.when((at >= 1) & (at <= pad), put(F.lit(pad) - at, 2 * F.col("_first") - x))
+    tail = F.when((at >= n - 1 - pad) & (at <= n - 2), put(2 * n - 2 - at + pad, 2 * F.col("_last") - x))
+    wide = df.join(ends, list(KEY)).select(*KEY, F.explode(F.array_compact(F.array(put(at + pad, x), head, tail))).alias("_x")).select(*KEY, F.col("_x.i").alias("sample_idx"), F.col("_x.v").alias("value"))
+    forward = recursive(wide, b, a, steady=True)
     sizes = ends.select(*KEY, (F.col("_n") + 2 * pad).alias("_w"))
     turn = lambda x: x.join(sizes, list(KEY)).select(*KEY, (F.col("_w") - 1 - F.col("sample_idx")).alias("sample_idx"), "value")
     back = turn(recursive(turn(forward), b, a, steady=True))
-    kept = back.join(sizes, list(KEY)).where((F.col("sample_idx") >= pad) & (F.col("sample_idx") < F.col("_w") - pad))
-    return kept.select(*KEY, (F.col("sample_idx") - pad).alias("sample_idx"), "value")
+    middle = back.join(sizes, list(KEY)).where((F.col("sample_idx") >= pad) & (F.col("sample_idx") < F.col("_w") - pad))
+    return middle.select(*KEY, (F.col("sample_idx") - pad).alias("sample_idx"), "value")
 
 
 def low_pass(df: DataFrame, cutoff: float, rate: float, order: int = 4) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.levels import level_db, power_db
-from ..functions.tables import KEY, blocks, unblock, with_stats
+from ..functions.tables import KEY, blocks, kept, unblock, with_stats
 from ..functions.windows import tukey
 
 FAST, SLOW = 0.125, 1.0
@@ -79,7 +79,7 @@ def sound_level(df: DataFrame, rate: float, time_constant: float = FAST, db: boo
         for pdf in frames:
             yield pdf.assign(values=[smooth_blocks(np.asarray(v, float), alpha) for v in pdf["values"]])
 
-    rest = packed.mapInPandas(local, packed.schema)
+    rest = kept(packed.mapInPandas(local, packed.schema))
     ends = rest.select(*KEY, "block", F.element_at("values", -1).alias("_end"), F.size("values").alias("_len"))
     # block states: s[b+1] = s[b] * alpha ** len + end[b]; one row a block, so one channel's blocks fit one task
     ordered = ends.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", "_end", "_len"))).alias("_e"))
