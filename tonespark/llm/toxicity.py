@@ -27,6 +27,8 @@ DIMENSIONS = 8
 WINDOW = 8
 #: Labelled rows of each class that are used for training, at most.
 TRAIN_ROWS = 1000
+#: Words of the windows that training begins with.
+WARM = 64
 THRESHOLD = 0.7
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|-_…«»“”’"
 
@@ -103,7 +105,7 @@ class Model:
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 40, seed: int = 7, rate: float = 0.3) -> Model:
-    """Fit vectors and softmax on texts; the first epochs average whole texts, the others their highest windows."""
+    """Fit vectors and softmax on texts: the first epochs on random windows of each text, the others on its highest window."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     of = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
@@ -120,8 +122,9 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 40, seed: int = 7,
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     warm = max(2, epochs // 8)
     for epoch in range(epochs):
-        if epoch < warm:  # whole texts
-            first, length = np.cumsum(sizes) - sizes, np.minimum(sizes, 64)
+        if epoch < warm:  # windows of WARM words at random places
+            length = np.minimum(sizes, WARM)
+            first = np.cumsum(sizes) - sizes + (rng.random(len(sizes)) * (sizes - length + 1)).astype(np.int64)
         else:
             margin = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
             per_word = np.add.reduceat(margin[bucket], heads[:-1]) / np.diff(heads)
