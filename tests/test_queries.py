@@ -1,8 +1,13 @@
 """Every signal query against its SQL in DuckDB, over whole tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
+from tonespark import queries
+from tonespark.functions.windows import window
+from tonespark.operators import pointwise, spectral
 from tonespark.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -36,3 +41,53 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+#: Queries over events that once read the first 512 or 600 samples of a channel; stft_frame gives one slice near the start.
+WHOLE = "stft istft spectrogram_magnitude welch welch_median csd csd_density coherence transfer_function transfer_gain_db select_pair hpss_harmonic hpss_percussive noct_spectrum cepstrogram sound_level_z sound_level_db first_order_filter".split()
+
+
+@pytest.fixture(scope="module")
+def two_ends(spark, tmp_path_factory):
+    """Two tables of events whose channels are 800 to 840 samples long and differ past sample 600 alone."""
+    rng = np.random.default_rng(3)
+    rows = [(c, i, float(v)) for c, n in (("click", 800), ("view", 840), ("error", 821)) for i, v in enumerate(rng.normal(20, 5, n))]
+    out = []
+    for name, add in (("a", 0.0), ("b", 9.0)):
+        pdf = pd.DataFrame([(c, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), i, v + (add if i >= 600 and i % 3 else 0.0)) for c, i, v in rows], columns=["event_type", "ts", "event_id", "value"])
+        out.append(str(tmp_path_factory.mktemp(name)))
+        spark.createDataFrame(pdf).coalesce(1).write.parquet(f"{out[-1]}/events.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_late_samples_count(spark, two_ends, name):
+    a, b = (sorted(map(tuple, QUERIES[name](spark, d).collect()), key=repr) for d in two_ends)
+    assert len(a) == len(b) and a != b
+    if name in ("istft", "hpss_harmonic", "hpss_percussive", "sound_level_z", "sound_level_db", "first_order_filter"):
+        assert len(a) == 800 + 840 + 821
+
+
+def test_short_time_spectra_of_unequal_channels(spark, two_ends):
+    s = queries.events(spark, two_ends[0])
+    values = {c: g.sort_values("sample_idx")["value"].to_numpy() for c, g in s.toPandas().groupby("channel_id")}
+    got = spectral.stft(s, None, 64, 16).toPandas()
+    ceps = QUERIES["cepstrogram"](spark, two_ends[0]).toPandas()
+    w = window("hann", 64)
+    for c, x in values.items():
+        low, high = spectral.stft_span(len(x), w, 16)
+        z, q = (t[t["channel_id"] == c].sort_values(["frame_idx", k]) for t, k in ((got, "freq_idx"), (ceps, "quef_idx")))
+        assert len(z) == (high - low) * 33
+        z, q = (z["re"] + 1j * z["im"]).to_numpy().reshape(-1, 33), q["value"].to_numpy().reshape(-1, 64)
+        wide = np.pad(x, 4 * 64)
+        for p in range(low, high):
+            at = p * 16 - 32 + 4 * 64
+            want = np.fft.rfft(np.roll(wide[at : at + 64] * w, -32)) * spectral.one_sided(64) / w.sum()
+            assert np.allclose(z[p - low], want, atol=1e-9)
+            assert np.allclose(q[p - low], np.fft.irfft(np.log(np.maximum(abs(want), 1e-12)), 64), atol=2e-5)
+
+
+def test_pairs_take_the_common_length(spark, two_ends):
+    got = QUERIES["coherence"](spark, two_ends[0]).toPandas()
+    assert (got["value"] <= 1 + 1e-6).all()
+    assert pointwise.common_length(queries.events(spark, two_ends[0])).groupBy("channel_id").count().toPandas()["count"].tolist() == [800] * 3

@@ -32,6 +32,12 @@ def trim(df: DataFrame, first: int, end: int) -> DataFrame:
     return df.where((F.col("sample_idx") >= first) & (F.col("sample_idx") < end)).withColumn("sample_idx", F.col("sample_idx") - first)
 
 
+def common_length(df: DataFrame) -> DataFrame:
+    """Samples that all channels of a recording have: up to the end of its shortest one."""
+    ends = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n")).groupBy("frame_id").agg(F.min("_n").alias("_n"))
+    return df.join(F.broadcast(ends), "frame_id").where(F.col("sample_idx") < F.col("_n")).select(*df.columns)
+
+
 def fix_length(df: DataFrame, length: int) -> DataFrame:
     """Exactly `length` samples a channel: the tail is cut, or zeros are added."""
     ends = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n")).where(F.col("_n") < length)

@@ -127,13 +127,17 @@ def stft_span(n: int, win: np.ndarray, hop: int) -> tuple[int, int]:
     return min(low, 0), high
 
 
-def stft(df: DataFrame, n: int, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann") -> DataFrame:
-    """Short-time spectra of peak amplitude; frame_idx 0 is the first slice. n: samples a channel."""
+def stft(df: DataFrame, n: int | None, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann") -> DataFrame:
+    """Short-time spectra of peak amplitude; frame_idx 0 is the first slice. n: samples a channel; None takes each channel's own length."""
     win_length = win_length or n_fft
     hop = hop or n_fft // 4
     w = window(win, win_length)
     mid = win_length // 2
-    low, high = stft_span(n, w, hop)
+    low, high = stft_span(n or 0, w, hop)
+    if n is None:
+        last, ends = f"CAST(ceil((_n + {mid - int(np.flatnonzero(w)[0])}) / {hop}) - {low + 1} AS INT)", df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"))
+    else:
+        last, ends = high - low - 1, df.select(*KEY).distinct()
     gain = one_sided(n_fft) / np.abs(w).sum()
 
     def kernel(x: np.ndarray):
@@ -142,19 +146,19 @@ def stft(df: DataFrame, n: int, n_fft: int = 2048, hop: int | None = None, win_l
         s = np.fft.rfft(np.roll(full, -mid, axis=1)) * gain
         return s.real, s.imag
 
-    frames = cut_frames(df, win_length, hop, low * hop - mid, 0, high - low - 1)
+    frames = cut_frames(df, win_length, hop, low * hop - mid, 0, last)
     # slices over zeros alone are frames too
-    every = df.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(high - low - 1))).alias("frame_idx"))
+    every = ends.select(*KEY, F.explode(F.sequence(F.lit(0), F.expr(last) if n is None else F.lit(last))).alias("frame_idx"))
     frames = every.join(frames, [*KEY, "frame_idx"], "left").withColumn("values", F.coalesce("values", F.array_repeat(F.lit(0.0), win_length)))
     keys = [*KEY, "frame_idx"]
     return _exploded(_map(frames, keys, kernel), keys, "freq_idx")
 
 
-def istft(spectra: DataFrame, n_fft: int, hop: int, win_length: int, win: str, n: int) -> DataFrame:
-    """Overlap-add with the dual window: the first n samples."""
+def istft(spectra: DataFrame, n_fft: int, hop: int, win_length: int, win: str, n: int | DataFrame) -> DataFrame:
+    """Overlap-add with the dual window: the first n samples, or those of each channel's length in a table frame_id, channel_id, _n."""
     w = window(win, win_length)
     mid = win_length // 2
-    low, _ = stft_span(n, w, hop)
+    low, _ = stft_span(0, w, hop)  # the first slice does not depend on the length
     total = np.zeros(win_length)
     for k in range(-(win_length // hop) - 1, win_length // hop + 2):
         shifted = np.zeros(win_length)
@@ -176,7 +180,9 @@ def istft(spectra: DataFrame, n_fft: int, hop: int, win_length: int, win: str, n
     parts = _map(spectrum_arrays(spectra, keys), keys, kernel, "value array<double>")
     rows = parts.select(*KEY, "frame_idx", F.posexplode("value").alias("_i", "_v"))
     at = (F.col("frame_idx") + low) * hop - mid + F.col("_i")
-    rows = rows.select(*KEY, at.cast("long").alias("sample_idx"), "_v").where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < n))
+    rows = rows.select(*KEY, at.cast("long").alias("sample_idx"), "_v")
+    rows = rows.join(n, list(KEY)) if isinstance(n, DataFrame) else rows.withColumn("_n", F.lit(n))
+    rows = rows.where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("_n")))
     return rows.groupBy(*KEY, "sample_idx").agg(F.sum("_v").alias("value"))
 
 

@@ -210,12 +210,12 @@ query(
     "value", "point place",
 )(lambda spark, sf_dir: windowed.cut(s := events(spark, sf_dir), _points(spark, sf_dir), 31, 0.5, True))
 _ALPHA = math.exp(-1 / (RATE * windowed.FAST))
-_LEVEL = f"""WITH {EV}, a AS (SELECT * FROM ev WHERE sample_idx < 600),
+_LEVEL = f"""WITH {EV}, a AS (SELECT * FROM ev),
     r AS (SELECT y.frame_id, y.channel_id, y.sample_idx, sum((1 - {_ALPHA!r}::DOUBLE) * pow({_ALPHA!r}::DOUBLE, y.sample_idx - x.sample_idx) * x.value * x.value) AS p
       FROM a y JOIN a x ON x.channel_id = y.channel_id AND x.sample_idx <= y.sample_idx AND x.sample_idx > y.sample_idx - 500 GROUP BY ALL)"""
-query("sound_level_z", f"{_LEVEL}, result AS (SELECT {ROW}, sqrt(p) AS value FROM r)")(lambda spark, sf_dir: windowed.sound_level(pointwise.trim(events(spark, sf_dir), 0, 600), RATE, block=128))
+query("sound_level_z", f"{_LEVEL}, result AS (SELECT {ROW}, sqrt(p) AS value FROM r)")(lambda spark, sf_dir: windowed.sound_level(events(spark, sf_dir), RATE, block=128))
 query("sound_level_db", f"{_LEVEL}, result AS (SELECT {ROW}, 10 * log10(greatest(p, 1e-20::DOUBLE)) AS value FROM r)")(
-    lambda spark, sf_dir: windowed.sound_level(pointwise.trim(events(spark, sf_dir), 0, 600), RATE, db=True, block=128)
+    lambda spark, sf_dir: windowed.sound_level(events(spark, sf_dir), RATE, db=True, block=128)
 )
 
 
@@ -260,59 +260,63 @@ query("lifter_high", f"{_CEP}, result AS (SELECT {BY}, quef_idx, CASE WHEN quef_
 query("envelope", f"{_LIFT}, result AS (SELECT {BY}, k.k AS freq_idx, exp(sum(value * cos(2 * pi() * ((quef_idx * k.k) % 64) / 64))) AS value FROM h, range(0, 33) k(k) GROUP BY {BY}, k.k)", longs="freq_idx")(
     lambda spark, sf_dir: spectral.envelope(spectral.lifter(spectral.cepstrum(vectors(spark, sf_dir), 64), 64, 9), 64)
 )
-# short-time spectra of the first 512 samples: slices of 64 every 16, the first one centred on sample 0
-_SLICES = f"""WITH {EV}, s AS (SELECT * FROM ev WHERE sample_idx < 512), g AS (
-      SELECT {BY}, p.p AS frame_idx, sample_idx - (p.p * 16 - 32 + LOW * 16) AS i, value FROM s, range(0, COUNT) p(p) WHERE sample_idx - (p.p * 16 - 32 + LOW * 16) BETWEEN 0 AND 63),
+# short-time spectra of whole channels: slices of 64 every 16, the first one centred on sample 0
+_SLICES = f"""WITH {EV}, s AS (SELECT * FROM ev), n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM s GROUP BY ALL),
+    p AS (SELECT {BY}, sample_idx, value, (sample_idx + 32 - LOW * 16) // 16 - k.k AS p FROM s, range(0, 4) k(k)),
+    g AS (SELECT {BY}, p AS frame_idx, sample_idx - (p * 16 - 32 + LOW * 16) AS i, value FROM p JOIN n USING ({BY}) WHERE p >= 0 AND p < ceil((n + 31) / 16) - LOW),
     t AS (SELECT {BY}, frame_idx, i, value * list_extract({_weights('hann', 64)}, CAST(i + 1 AS BIGINT)) AS value FROM g),
     f AS ({_dft('t', BY + ', frame_idx', 64, 'value', '(i + 32)')})"""
-_LOW, _HIGH = spectral.stft_span(512, window("hann", 64), 16)
-_SLICES = _SLICES.replace("LOW", str(_LOW)).replace("COUNT", str(_HIGH - _LOW))
+_LOW, _ = spectral.stft_span(0, window("hann", 64), 16)
+_SLICES = _SLICES.replace("- LOW", f"- ({_LOW})").replace("LOW", str(_LOW))
+_LENGTHS = lambda s: s.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"))
 query("stft", f"{_SLICES}, result AS (SELECT {BY}, frame_idx, freq_idx, re * {_ONE} / 32 AS re, im * {_ONE} / 32 AS im FROM f)", "re im", "frame_idx freq_idx")(
-    lambda spark, sf_dir: spectral.stft(pointwise.trim(events(spark, sf_dir), 0, 512), 512, 64, 16)
+    lambda spark, sf_dir: spectral.stft(events(spark, sf_dir), None, 64, 16)
 )
 query("stft_frame", f"{_SLICES}, result AS (SELECT {BY}, freq_idx, re * {_ONE} / 32 AS re, im * {_ONE} / 32 AS im FROM f WHERE frame_idx = 7)", "re im", "freq_idx")(
-    lambda spark, sf_dir: spectral.frame_at(spectral.stft(pointwise.trim(events(spark, sf_dir), 0, 512), 512, 64, 16), 7)
+    lambda spark, sf_dir: spectral.frame_at(spectral.stft(events(spark, sf_dir), None, 64, 16), 7)
 )
-query("istft", f"WITH {EV}, result AS (SELECT {ROW}, value FROM ev WHERE sample_idx < 512)")(
-    lambda spark, sf_dir: spectral.istft(spectral.stft(pointwise.trim(events(spark, sf_dir), 0, 512), 512, 64, 16), 64, 16, 64, "hann", 512)
+query("istft", f"WITH {EV}, result AS (SELECT {ROW}, value FROM ev)")(
+    lambda spark, sf_dir: spectral.istft(spectral.stft(s := events(spark, sf_dir), None, 64, 16), 64, 16, 64, "hann", _LENGTHS(s))
 )
 query(
     "spectrogram_magnitude", f"{_SLICES}, result AS (SELECT {BY}, frame_idx, freq_idx, sqrt(re * re + im * im) * {_ONE} / 32 AS value FROM f)", longs="frame_idx freq_idx"
-)(lambda spark, sf_dir: spectral.stft(pointwise.trim(events(spark, sf_dir), 0, 512), 512, 64, 16).select(*KEY, "frame_idx", "freq_idx", levels.magnitude(F.col("re"), F.col("im")).alias("value")))
-# averaged spectra of the first 512 samples: 15 segments of 64, half overlapping
-_SEGMENTS = f"""WITH {EV}, s AS (SELECT * FROM ev WHERE sample_idx < 512), g AS (
-      SELECT {BY}, p.p AS frame_idx, sample_idx - p.p * 32 AS i, value FROM s, range(0, 15) p(p) WHERE sample_idx - p.p * 32 BETWEEN 0 AND 63),
+)(lambda spark, sf_dir: spectral.stft(events(spark, sf_dir), None, 64, 16).select(*KEY, "frame_idx", "freq_idx", levels.magnitude(F.col("re"), F.col("im")).alias("value")))
+# averaged spectra of whole channels, in pairs of what all channels have: segments of 64, half overlapping
+_SEGMENTS = f"""WITH {EV}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM ev GROUP BY ALL), s AS (SELECT ev.*, n FROM ev JOIN n USING ({BY})),
+    h AS (SELECT *, sample_idx // 32 - k.k AS p FROM s, range(0, 2) k(k)),
+    g AS (SELECT {BY}, p AS frame_idx, sample_idx - p * 32 AS i, value FROM h WHERE p >= 0 AND p <= (n - 64) // 32),
     d AS (SELECT {BY}, frame_idx, i, value - avg(value) OVER (PARTITION BY {BY}, frame_idx) AS value FROM g),
     t AS (SELECT {BY}, frame_idx, i, value * list_extract({_weights('hann', 64)}, CAST(i + 1 AS BIGINT)) AS value FROM d),
     f AS ({_dft('t', BY + ', frame_idx', 64, 'value', 'i')})"""
-_CSD = f"""{_SEGMENTS}, c AS (SELECT a.frame_id, a.channel_id AS out_ch, b.channel_id AS in_ch, a.freq_idx,
+_COMMON = _SEGMENTS.replace(f"SELECT ev.*, n FROM ev JOIN n USING ({BY})", "SELECT ev.*, least.n FROM ev, (SELECT min(n) AS n FROM n) least WHERE sample_idx < least.n")
+_CSD = f"""{_COMMON}, c AS (SELECT a.frame_id, a.channel_id AS out_ch, b.channel_id AS in_ch, a.freq_idx,
       avg(b.re * a.re + b.im * a.im) * {_ONE.replace('freq_idx', 'a.freq_idx')} / 1024 AS re, avg(b.re * a.im - b.im * a.re) * {_ONE.replace('freq_idx', 'a.freq_idx')} / 1024 AS im
       FROM f a JOIN f b ON a.frame_id = b.frame_id AND a.frame_idx = b.frame_idx AND a.freq_idx = b.freq_idx GROUP BY a.frame_id, a.channel_id, b.channel_id, a.freq_idx),
     p AS (SELECT c.*, i.re AS pin, o.re AS pout FROM c JOIN c i ON i.out_ch = c.in_ch AND i.in_ch = c.in_ch AND i.freq_idx = c.freq_idx JOIN c o ON o.out_ch = c.out_ch AND o.in_ch = c.out_ch AND o.freq_idx = c.freq_idx)"""
-_SHORT = lambda spark, sf_dir: pointwise.trim(events(spark, sf_dir), 0, 512)
+_SHARED = lambda spark, sf_dir: pointwise.common_length(events(spark, sf_dir))
 _AMPLITUDE = "CASE WHEN freq_idx = 0 OR freq_idx = 32 THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END"
 query("welch", f"{_SEGMENTS}, m AS (SELECT {BY}, freq_idx, avg(re * re + im * im) AS p FROM f GROUP BY ALL), result AS (SELECT {BY}, freq_idx, sqrt(p * {_ONE} / 1024) * {_AMPLITUDE} AS value FROM m)", longs="freq_idx")(
-    lambda spark, sf_dir: spectral.welch(_SHORT(spark, sf_dir), 64)
+    lambda spark, sf_dir: spectral.welch(events(spark, sf_dir), 64)
 )
 query(
-    "welch_median", f"{_SEGMENTS}, m AS (SELECT {BY}, freq_idx, median(re * re + im * im) AS p FROM f GROUP BY ALL), result AS (SELECT {BY}, freq_idx, sqrt(p / {spectral.median_bias(15)!r}::DOUBLE * {_ONE} / 1024) * {_AMPLITUDE} AS value FROM m)", longs="freq_idx"
-)(lambda spark, sf_dir: spectral.welch(_SHORT(spark, sf_dir), 64, average="median"))
+    "welch_median", f"{_SEGMENTS}, m AS (SELECT {BY}, freq_idx, median(re * re + im * im) AS p, 1 + coalesce(list_sum([1.0::DOUBLE / (2 * k + 1) - 1.0::DOUBLE / (2 * k) for k in range(1, (count(*) - 1) // 2 + 1)]), 0) AS bias FROM f GROUP BY ALL), result AS (SELECT {BY}, freq_idx, sqrt(p / bias * {_ONE} / 1024) * {_AMPLITUDE} AS value FROM m)", longs="freq_idx"
+)(lambda spark, sf_dir: spectral.welch(events(spark, sf_dir), 64, average="median"))
 _PAIRS = "frame_id out_ch in_ch"
-query("csd", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re, im FROM c)", "re im", "freq_idx", _PAIRS)(lambda spark, sf_dir: spectral.csd(_SHORT(spark, sf_dir), 64))
+query("csd", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re, im FROM c)", "re im", "freq_idx", _PAIRS)(lambda spark, sf_dir: spectral.csd(_SHARED(spark, sf_dir), 64))
 query("csd_density", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re * 1024 / (64 * 24.0::DOUBLE) AS re, im * 1024 / (64 * 24.0::DOUBLE) AS im FROM c)", "re im", "freq_idx", _PAIRS)(
-    lambda spark, sf_dir: spectral.csd(_SHORT(spark, sf_dir), 64, scaling="density", rate=RATE)
+    lambda spark, sf_dir: spectral.csd(_SHARED(spark, sf_dir), 64, scaling="density", rate=RATE)
 )
 query("coherence", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, (re * re + im * im) / (pin * pout) AS value FROM p)", longs="freq_idx", strings=_PAIRS)(
-    lambda spark, sf_dir: spectral.coherence(_SHORT(spark, sf_dir), 64)
+    lambda spark, sf_dir: spectral.coherence(_SHARED(spark, sf_dir), 64)
 )
 query("transfer_function", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re / pin AS re, im / pin AS im FROM p)", "re im", "freq_idx", _PAIRS)(
-    lambda spark, sf_dir: spectral.transfer_function(_SHORT(spark, sf_dir), 64)
+    lambda spark, sf_dir: spectral.transfer_function(_SHARED(spark, sf_dir), 64)
 )
 query("transfer_gain_db", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, 20 * log10(sqrt(re * re + im * im) / pin) AS value FROM p WHERE out_ch <> in_ch)", longs="freq_idx", strings=_PAIRS)(
-    lambda spark, sf_dir: spectral.transfer_function(_SHORT(spark, sf_dir), 64).where("out_ch <> in_ch").select("frame_id", "out_ch", "in_ch", "freq_idx", levels.unfloored_db(levels.magnitude(F.col("re"), F.col("im")), 20.0).alias("value"))
+    lambda spark, sf_dir: spectral.transfer_function(_SHARED(spark, sf_dir), 64).where("out_ch <> in_ch").select("frame_id", "out_ch", "in_ch", "freq_idx", levels.unfloored_db(levels.magnitude(F.col("re"), F.col("im")), 20.0).alias("value"))
 )
 query("select_pair", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re, im FROM c WHERE out_ch = 'click' AND in_ch = 'view')", "re im", "freq_idx", _PAIRS)(
-    lambda spark, sf_dir: spectral.csd(_SHORT(spark, sf_dir), 64).where("out_ch = 'click' AND in_ch = 'view'")
+    lambda spark, sf_dir: spectral.csd(_SHARED(spark, sf_dir), 64).where("out_ch = 'click' AND in_ch = 'view'")
 )
 _BANDS = spectral.octave_bands(50, 3000)
 _EDGES = ", ".join(f"({r.band_idx}, {r.center!r}::DOUBLE, {r.low!r}::DOUBLE, {r.high!r}::DOUBLE)" for r in _BANDS.itertuples())
@@ -330,15 +334,15 @@ query("c_weighting")(lambda spark, sf_dir: filters.frequency_weighting(events(sp
 query("sound_level_a")(lambda spark, sf_dir: windowed.sound_level(filters.frequency_weighting(events(spark, sf_dir), 48_000.0), 48_000.0, windowed.SLOW, db=True))
 query("resample_up")(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 96.0))
 query("resample_down")(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 48.0))
-query("hpss_harmonic")(lambda spark, sf_dir: filters.hpss(_SHORT(spark, sf_dir), "harmonic", n_fft=64))
-query("hpss_percussive")(lambda spark, sf_dir: filters.hpss(_SHORT(spark, sf_dir), "percussive", n_fft=64))
-query("noct_spectrum")(lambda spark, sf_dir: filters.noct_spectrum(_SHORT(spark, sf_dir), RATE, spectral.octave_bands(2, 20, 1)))
-query("cepstrogram")(lambda spark, sf_dir: spectral.cepstrogram(spectral.stft(_SHORT(spark, sf_dir), 512, 64, 16), 64))
+query("hpss_harmonic")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "harmonic", n_fft=64))
+query("hpss_percussive")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "percussive", n_fft=64))
+query("noct_spectrum")(lambda spark, sf_dir: filters.noct_spectrum(events(spark, sf_dir), RATE, spectral.octave_bands(2, 20, 1)))
+query("cepstrogram")(lambda spark, sf_dir: spectral.cepstrogram(spectral.stft(events(spark, sf_dir), None, 64, 16), 64))
 query("unwrapped_phase")(lambda spark, sf_dir: spectral.unwrapped_phase(spectral.fft(vectors(spark, sf_dir), 64)))
 _B, _A = ([float(c) for c in x] for x in butterworth(1, "low", 8.0, RATE))
 query(
     "first_order_filter",
-    f"""WITH {EV}, s AS (SELECT * FROM ev WHERE sample_idx < 600),
+    f"""WITH {EV}, s AS (SELECT * FROM ev),
     u AS (SELECT {ROW}, {_B[0]!r}::DOUBLE * value + {_B[1]!r}::DOUBLE * coalesce(lag(value) OVER (PARTITION BY {BY} ORDER BY sample_idx), 0) AS u FROM s),
     result AS (SELECT y.frame_id, y.channel_id, y.sample_idx, sum(pow({-_A[1]!r}::DOUBLE, y.sample_idx - x.sample_idx) * x.u) AS value FROM u y JOIN u x ON x.channel_id = y.channel_id AND x.sample_idx <= y.sample_idx AND x.sample_idx > y.sample_idx - 80 GROUP BY ALL)""",
-)(lambda spark, sf_dir: filters.recursive(pointwise.trim(events(spark, sf_dir), 0, 600), np.array(_B), np.array(_A), block=100))
+)(lambda spark, sf_dir: filters.recursive(events(spark, sf_dir), np.array(_B), np.array(_A), block=100))
