@@ -222,6 +222,21 @@ def test_quality_keeps_clean_and_drops_junk(spark, clashing):
     assert quality.keep_good(clashing).columns == clashing.columns
 
 
+def test_long_texts_without_common_words_are_far(spark):
+    rng = np.random.default_rng(1)
+    listed, other = quality.COMMON["en"], [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("lorn", "mint", "rast", "velt")]
+    prose = lambda n, share: " ".join(str(rng.choice(listed if rng.random() < share else other)) for _ in range(n)) + "."
+    texts = [prose(300, 0.25) for _ in range(60)] + [prose(600, share) for share in (0.0, 0.01, 0.02)]
+    rows = {r.doc_id: r for r in quality.quality(spark.createDataFrame([(i, x, "en", "a", 1) for i, x in enumerate(texts)], COLUMNS)).collect()}
+    hists = [[ws.count(w) for w in listed] for ws in (x.rstrip(".").split() for x in texts)]
+    hists = [[*h, len(x.split()) - sum(h)] for h, x in zip(hists, texts)]
+    reference = np.mean([np.array(h) / sum(h) for h in hists], axis=0).tolist()
+    for i, h in enumerate(hists):
+        assert not rows[i].base_failed and rows[i].char_distance < quality.MAX_CHARS
+        assert math.isclose(rows[i].word_distance, js(h, reference), abs_tol=1e-9)
+        assert rows[i].kept == (i < 60)
+
+
 def test_quality_of_nothing(none):
     assert quality.quality(none).count() == 0 and quality.keep_good(none).count() == 0
 

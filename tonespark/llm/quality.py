@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence, with DataFrame and SQL functions only.
 
 A document's histogram of character classes, and its histogram of its
-language's most common words, are compared with the references of its language
-by Jensen-Shannon distance. The references are the mean histograms of all
-documents of the language. Documents too short for a histogram keep the benefit
-of the doubt.
+language's most common words and of all its other words together, are compared
+with the references of its language by Jensen-Shannon distance. The references
+are the mean histograms of all documents of the language. Documents too short
+for a histogram of characters keep the benefit of the doubt; those too short for
+one of words fail the base rule, and no text is exempt for lack of common words.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ COMMON = {
 #: Character classes: white space, capitals, digits, marks of prose, other ASCII marks; all else counts as letters.
 CLASSES = {"space": r"[\x20\x09-\x0D]", "upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[.,;:'\"?()\-]", "symbol": r"[!#$%&*+/<=>@\[\\\]^_`{|}~]"}
 MIN_WORDS = 50
-#: Characters and common words that a histogram needs to be judged.
-MIN_CHARS, MIN_COMMON = 200, 30
-#: Largest distances (0 to 1) of kept documents.
-MAX_CHARS, MAX_WORDS = 0.27, 0.50
+#: Characters and common words that a histogram needs to be judged: a text without common words is judged too.
+MIN_CHARS, MIN_COMMON = 200, 0
+#: Largest distances (0 to 1) of kept documents. A text without common words lies at about 0.37 where a quarter of words are common.
+MAX_CHARS, MAX_WORDS = 0.27, 0.30
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -100,7 +101,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Base counts and histograms (classes, counts of common words) of docs (doc_id, text, lang)."""
+    """Base counts and histograms (classes, counts of common words and of all others) of docs (doc_id, text, lang)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang").cast("string"))
     rows = base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), known.alias("lang"), F.xxhash64("text", "lang").alias("key")))
@@ -120,7 +121,8 @@ def features(docs: DataFrame) -> DataFrame:
     times = F.lit(None).cast("array<bigint>")
     for name, words in COMMON.items():
         times = F.when(F.col("lang") == name, tally(F.array(*map(F.lit, words)))).otherwise(times)
-    return rows.withColumn("common", times).select("doc_id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "chars", "common")
+    rows = rows.withColumn("_times", times).withColumn("common", F.concat("_times", F.array(F.col("n_words") - total(F.col("_times")))))
+    return rows.select("doc_id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "chars", "common")
 
 
 def total(counts: Column) -> Column:
@@ -131,9 +133,9 @@ def references(rows: DataFrame) -> DataFrame:
     """Mean histograms of each language (and of none): a row each of the known languages and one for the rest."""
     long = rows.where((F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS))
     share = lambda a, k: F.get(F.col(a), F.lit(k)) / F.greatest(total(F.col(a)), F.lit(1))
-    n_common = len(COMMON["en"])
+    n_common = len(COMMON["en"]) + 1
     means = [F.avg(share("chars", k)).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    means += [F.avg(F.when(total(F.col("common")) >= MIN_COMMON, share("common", k))).alias(f"w{k}") for k in range(n_common)]
+    means += [F.avg(share("common", k)).alias(f"w{k}") for k in range(n_common)]
     return long.groupBy("lang").agg(*means).select(
         F.col("lang").alias("ref_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES) + 1)]).alias("ref_chars"), F.array(*[f"w{k}" for k in range(n_common)]).alias("ref_common")
     )
@@ -153,7 +155,7 @@ def judged(docs: DataFrame) -> DataFrame:
     refs = references(rows)  # a row for each known language, and one
     both = rows.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     char = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("chars"), F.col("ref_chars")))
-    word = F.when(total(F.col("common")) >= MIN_COMMON, js_distance(F.col("common"), F.col("ref_common")))
+    word = F.when(total(F.slice("common", 1, len(COMMON["en"]))) >= MIN_COMMON, js_distance(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
     return both.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
@@ -164,7 +166,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     Result, a row for each row of docs: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance (null
-    where there is too little to compare), kept. Null texts are empty; texts
+    where there are too few characters, or no known language), kept. Null texts are empty; texts
     without words fail the base rule. A null or unknown language is compared with
     all such documents by characters alone. Rows repeat as often as in docs; an
     empty table gives no rows; other columns of docs are ignored.
