@@ -91,3 +91,13 @@ def test_pairs_take_the_common_length(spark, two_ends):
     got = QUERIES["coherence"](spark, two_ends[0]).toPandas()
     assert (got["value"] <= 1 + 1e-6).all()
     assert pointwise.common_length(queries.events(spark, two_ends[0])).groupBy("channel_id").count().toPandas()["count"].tolist() == [800] * 3
+
+
+@pytest.mark.parametrize("name", "arith_reverse_add arith_reverse_sub arith_reverse_mul arith_reverse_div normalize_inf normalize_l0 normalize_l1 normalize_l2".split())
+def test_every_row_counts(spark, con, name):
+    assert QUERIES[name](spark, SF).count() == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
+
+
+def test_division_by_zero(spark):
+    s = spark.createDataFrame([("r", "c", i, v) for i, v in enumerate((0.0, 4.0))], "frame_id string, channel_id string, sample_idx long, value double")
+    assert [r.value for r in pointwise.with_scalar(s, "div", 2.0, reverse=True).orderBy("sample_idx").collect()] == [float("inf"), 0.5]
