@@ -473,6 +473,19 @@ def test_rows_without_ids(spark):
     assert len({r.class_id for r in rows if r.class_id < 0}) == 1 and sorted(r.n_links for r in rows) == [1, 1, 2, 2, 2]
 
 
+def test_one_row_of_each_class_without_ids(spark):
+    a, b = near_copies(2, 7)
+    c = near_copies(1, 11)[0]
+    d = f"{c} more"
+    assert a != b
+    rows = [(None, a), (None, a), (None, b), (4, "else " * 9), (None, "else " * 9), (7, c), (None, c), (None, d), (None, ""), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {r.class_id for r in jaccard_join.jaccard_join(docs).collect() if r.class_id is not None}
+    assert {x for x in classes if x > 0} == {4, 7} and len(classes) == 3
+    got = collections.Counter(map(tuple, jaccard_join.keep_one(docs).collect()))
+    assert got == collections.Counter([(None, min(a, b)), (4, "else " * 9), (7, c), (None, ""), (None, ""), (None, None), (None, None)])
+
+
 def test_join_of_nothing(none):
     assert jaccard_join.jaccard_join(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 

@@ -359,11 +359,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes of such rows alone have a negative number. An empty table gives no
     rows; other columns of docs are ignored.
     """
-    spark = docs.sparkSession
+    return classified(docs, threshold).drop("f1", "f2", "n")
+
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """jaccard_join() with f1 and f2, the fingerprint of a row's set, and n, its size."""
     every = common.stored(profiles(docs), "profiles")
     full = every.where("n > 0")
     reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = common.stored(reps.withColumn("rid", F.coalesce("_id", -F.abs(F.col("f1") % (1 << 62)) - 1)).select("f1", "f2", "rid", "copies", "n", "sketch"), "sets")
+    reps = common.stored(reps.withColumn("rid", F.coalesce("_id", -F.abs(F.col("f1") % (1 << 62)) - 1)).select("f1", "f2", "rid", F.col("_id").isNull().alias("unnamed"), "copies", "n", "sketch"), "sets")
     leaf = common.stored(leaves(reps), "leaves")
     paths = leaf.groupBy("rid").agg(F.array_sort(F.collect_list("bucket")).alias("leaves"))  # RUNS * BRANCHES ** (LEVELS - 1) at most
     known = common.stored(reps.join(paths, "rid").select("rid", "n", "copies", "sketch", "leaves"), "paths")
@@ -377,23 +381,27 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     counts = links.groupBy("rid").agg(F.sum("partners").alias("_sets"), F.sum("docs").alias("_docs"))
     roots = components(reps, links.select("rid", "near"))
+    anonymous = reps.where("unnamed")
+    if not anonymous.isEmpty():  # their numbers are the least of all: a class with a doc_id goes by that
+        first = roots.join(reps.select("rid", "unnamed"), "rid").groupBy("root").agg(F.min(F.when(~F.col("unnamed"), F.col("rid"))).alias("_first"))
+        roots = roots.join(first, "root").select("rid", F.coalesce("_first", "root").alias("root"))
     by_set = reps.join(counts, "rid", "left").join(roots, "rid", "left").select(
         "f1", "f2", F.col("rid").alias("copy_id"), F.coalesce("root", "rid").alias("class_id"),
         (F.coalesce("_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_sets", F.lit(0)).alias("n_set_links"),
     )
-    out = full.join(by_set, ["f1", "f2"]).select("doc_id", "copy_id", "class_id", "n_links", "n_set_links")
+    out = full.join(by_set, ["f1", "f2"]).select("doc_id", "copy_id", "class_id", "n_links", "n_set_links", "f1", "f2", "n")
     zero = F.lit(0).cast("long")
-    return out.unionByName(every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links")))
+    return out.unionByName(every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "f1", "f2", "n"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs less all but one of each class: the row with the least doc_id stays.
 
-    Rows without a doc_id go where their class has a row with one, else one of
-    each text stays. Rows that are equal in doc_id and text are one document.
-    Texts without words all stay.
+    Rows without a doc_id go where their class has a row with one, else one row
+    of the class stays, with the least of its texts. Rows that are equal in
+    doc_id and text are one document. Texts without words all stay.
     """
-    classes = common.stored(jaccard_join(docs, threshold), "classes")
+    classes = common.stored(classified(docs, threshold).select("doc_id", "class_id", "f1", "f2", "n"), "classes")
     named = classes.where("doc_id IS NOT NULL")
     out = common.without(docs.where("doc_id IS NOT NULL"), named.where("doc_id <> class_id"), {"doc_id": F.col("doc_id").cast("long")})
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -401,10 +409,16 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     blank = docs.where("doc_id IS NULL")
     if blank.isEmpty():
         return out
-    alone = classes.where("doc_id IS NULL AND (class_id < 0 OR class_id IS NULL)").select("class_id").distinct()
-    kept = with_prints(blank.select(F.lit(None).cast("long").alias("doc_id"), "text")).select("text").distinct() if not alone.isEmpty() else None
-    rest = blank.dropDuplicates(["text"]) if kept is not None else blank.limit(0)
-    return out.unionByName(rest)
+    # stored first: with_prints numbers its rows and reads them twice
+    texts = common.stored(blank.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).distinct(), "blank")
+    prints = common.stored(with_prints(texts).select("text", "f1", "f2"), "prints")
+    unnamed = classes.where("doc_id IS NULL").select("class_id", "f1", "f2", "n").distinct()
+    alone = unnamed.where("n > 0").join(named.where("n > 0").select("class_id").distinct(), "class_id", "left_anti")
+    chosen = prints.join(alone, ["f1", "f2"]).groupBy("class_id").agg(F.min("text").alias("text"))
+    bare = prints.join(unnamed.where("n = 0"), ["f1", "f2"], "left_semi")
+    name = common.fresh(docs, "wanted_text")[0]
+    rows = lambda wanted: blank.join(wanted.select(F.col("text").alias(name)), blank["text"].cast("string").eqNullSafe(F.col(name)), "left_semi")
+    return out.unionByName(rows(chosen).dropDuplicates(["text"])).unionByName(rows(bare))
 
 
 #: Sets whose numbers are sent to every executor at most (8 bytes each); more are joined by shuffling.
