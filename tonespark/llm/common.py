@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -35,16 +37,48 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    return _written(df, shared_dir(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+class Scratch:
+    """Tables that one run of an operator reads again and again; they are deleted when the block ends, so its result is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.dir, self.n = spark, shared_dir(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.dir)
 
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.dir}/{self.n}-{name}")
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts can hold; a smaller setting of the caller stays."""
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """Within the block, bound what one Arrow batch of whole texts can hold; a smaller setting of the caller stays, and afterwards the caller's own holds again."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def release() -> None:
@@ -77,6 +111,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_keys() -> list[Column]:
+    """k1 and k2, by which a text is known again: 128 bits of the column text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
 def word_count(text):
     """Number of words, native; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -117,12 +157,19 @@ BROADCAST_ROWS = 1_000_000
 
 def without(docs: DataFrame, rejected: DataFrame, keys: dict) -> DataFrame:
     """docs less the rows whose keys (name in rejected: expression over docs) are in rejected; nulls equal nulls."""
-    gone = stored(rejected.select(*keys).distinct(), "rejected")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return _by_keys(docs, rejected, keys, "left_anti")
+
+
+def with_only(docs: DataFrame, wanted: DataFrame, keys: dict) -> DataFrame:
+    """The rows of docs whose keys are in wanted."""
+    return _by_keys(docs, wanted, keys, "left_semi")
+
+
+def _by_keys(docs: DataFrame, listed: DataFrame, keys: dict, how: str) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        side = stored(listed.select(*keys).distinct(), "keys")
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
     names = fresh(docs, *keys)
     marked = docs.withColumns({n: e for n, e in zip(names, keys.values())})
-    match = [marked[n].eqNullSafe(side[k]) for n, k in zip(names, keys)]
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
-    return marked.join(side, on, "left_anti").drop(*names)
+    on = reduce(Column.__and__, [marked[n].eqNullSafe(side[k]) for n, k in zip(names, keys)])
+    return marked.join(side, on, how).drop(*names)

@@ -33,6 +33,8 @@ MINIMA = 64
 RUNS, BRANCHES = 9, 3
 #: Largest bucket that is compared outright, most levels, and rows of a block of larger ones.
 SMALL, LEVELS, BLOCK = 48, 4, 512
+#: Shingles of a block of long texts, on the average; sets that are compared at a time have twice as many.
+SHINGLES = 1_000_000
 #: Equal minima of 64 that a pair needs to be compared exactly. At similarity 0.8, fewer come with a chance below 1e-7.
 SKETCH_LEAST = 32
 _C = np.random.default_rng(20240229).integers(1, 1 << 63, (MINIMA, 2), dtype=np.uint64) | np.uint64(1)
@@ -73,9 +75,18 @@ def minima(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(sets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each set, which do not depend on the order of its shingles."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for salt in bytewords.mix(np.array([0x1234567, 0x89ABCDE], np.uint64)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bytewords.mix(sets ^ salt), dtype=np.uint64)])
+        out.append(bytewords.mix(total[upto[1:]] - total[upto[:-1]] + sizes.astype(np.uint64)).view(np.int64))
+    return out
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, f1, f2 (fingerprint of the set), n (its size) and sketch (binary, MINIMA u32) of docs (doc_id, text)."""
-    common.small_batches(docs.sparkSession)
+    """doc_id, k1, k2, f1, f2 (fingerprint of the set), n (its size) and sketch (binary, MINIMA u32) of docs (doc_id, text)."""
 
     def rows(batch_iter):
         for batch in batch_iter:
@@ -83,23 +94,19 @@ def profiles(docs: DataFrame) -> DataFrame:
             for lo, hi in bytewords.parts(column):
                 sets, sizes = shingle_sets(column.slice(lo, hi - lo))
                 sketch = minima(sets, sizes)
-                upto = np.concatenate([[0], np.cumsum(sizes)])
-                prints = []
-                for salt in bytewords.mix(np.array([0x1234567, 0x89ABCDE], np.uint64)):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bytewords.mix(sets ^ salt), dtype=np.uint64)])
-                    prints.append(bytewords.mix(total[upto[1:]] - total[upto[:-1]] + sizes.astype(np.uint64)).view(np.int64))
+                same = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(prints[0]), pa.array(prints[1]), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    ["doc_id", "f1", "f2", "n", "sketch"],
+                    [*same, *map(pa.array, fingerprints(sets, sizes)), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    ["doc_id", "k1", "k2", "f1", "f2", "n", "sketch"],
                 )
         common.release()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(rows, "doc_id long, f1 long, f2 long, n long, sketch binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *common.text_keys(), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(rows, "doc_id long, k1 long, k2 long, f1 long, f2 long, n long, sketch binary")
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """rows (bucket, rid, sketch) one level down: a bucket samples BRANCHES of the minima, and each gives a bucket of its own for each value.
+    """rows (bucket, rid, n, sketch) one level down: a bucket samples BRANCHES of the minima, and each gives a bucket of its own for each value.
 
     probe is one more minimum, by which a new bucket shows how much its sets are alike.
     """
@@ -118,26 +125,30 @@ def children(rows: DataFrame, level: int) -> DataFrame:
                 value = sketch[row, at].astype(np.uint64)
                 out.append(bytewords.mix(bytewords.mix(seed ^ (value << np.uint64(32)) ^ value) + at.astype(np.uint64)))
                 probes.append(sketch[row, (at + 1 + (out[-1] % np.uint64(MINIMA - 1)).astype(np.int64)) % MINIMA].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(probes)), pa.concat_arrays([batch.column("rid")] * take)], ["bucket", "probe", "rid"])
+            same = [pa.concat_arrays([batch.column(c)] * take) for c in ("rid", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(probes)), *same], ["bucket", "probe", "rid", "n"])
+        common.release()
 
-    return rows.select("bucket", "rid", "sketch").mapInArrow(split, "bucket long, probe long, rid long")
+    return rows.select("bucket", "rid", "n", "sketch").mapInArrow(split, "bucket long, probe long, rid long, n long")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """Leaf buckets of all runs: bucket, rid, size; every rid is in a bucket once."""
-    found, rows = [], reps.select(F.lit(0).cast("long").alias("bucket"), "rid", "sketch")
+def leaves(reps: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Leaf buckets of all runs: bucket, rid, size, weight (shingles of its sets); every rid is in a bucket once."""
+    found, rows = [], reps.select(F.lit(0).cast("long").alias("bucket"), "rid", "n", "sketch")
     for level in range(LEVELS):
-        down = children(rows, level)
-        alike = down.groupBy("bucket", "probe").agg(F.count(F.lit(1)).alias("_n"))
-        sizes = alike.groupBy("bucket").agg(F.sum("_n").alias("size"), F.max("_n").alias("_most")).where("size > 1")
+        down = scratch.store(children(rows, level), "down")  # read twice
+        alike = down.groupBy("bucket", "probe").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_w"))
+        sizes = alike.groupBy("bucket").agg(F.sum("_n").alias("size"), F.sum("_w").alias("weight"), F.max("_n").alias("_most")).where("size > 1")
         # splitting goes on while it would shrink a bucket; sets that mostly share one more minimum are alike and are compared
         leaf = (F.col("size") <= SMALL) | (F.col("_most") * 2 > F.col("size")) | F.lit(level == LEVELS - 1)
-        met = common.stored(down.select("bucket", "rid").join(sizes.select("bucket", "size", leaf.alias("leaf")), "bucket"), "paths")
-        found.append(met.where("leaf").select("bucket", "rid", "size"))
+        # stored first, so that the join's exchanges stand alone and a bucket of many rows can be split among tasks
+        sizes = scratch.store(sizes.select("bucket", "size", "weight", leaf.alias("leaf")), "sizes")
+        met = scratch.store(down.select("bucket", "rid").join(sizes, "bucket"), "paths")
+        found.append(met.where("leaf").select("bucket", "rid", "size", "weight"))
         more = met.where("NOT leaf").select("bucket", "rid")
         if level == LEVELS - 1 or more.isEmpty():
             break
-        rows = more.join(reps.select("rid", "sketch"), "rid")
+        rows = more.join(reps.select("rid", "n", "sketch"), "rid")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -145,11 +156,13 @@ def leaves(reps: DataFrame) -> DataFrame:
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """Rows of leaves dealt to units of comparison (bucket, a, b): a small bucket is one unit; of a large one, a unit is two of its blocks."""
-    n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = rows.withColumn("_n", F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(n)).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("_n")).cast("int"))
+    """Rows of leaves dealt to units of comparison (bucket, a, b): a small bucket is one unit; of a large one, or one of long texts, a unit is two of its blocks."""
+    by_rows = F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(BLOCK)))
+    by_shingles = F.least(F.ceil(F.col("weight") / F.lit(SHINGLES)), F.col("size"))
+    n = F.greatest(by_rows, by_shingles).cast("int")
+    dealt = rows.withColumn("_n", n).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("_n")).cast("int"))
     other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return other.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other")).drop("_n", "_other")
+    return other.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other")).drop("_n", "_other", "weight")
 
 
 def in_units(rows: DataFrame, columns: list[str], judge, schema: str) -> DataFrame:
@@ -157,8 +170,6 @@ def in_units(rows: DataFrame, columns: list[str], judge, schema: str) -> DataFra
     names = ["bucket", "a", "b", *columns]
 
     def run(batch_iter):
-        import pyarrow.compute as pc
-
         held: list[pa.RecordBatch] = []
         key = None
 
@@ -192,19 +203,7 @@ def in_units(rows: DataFrame, columns: list[str], judge, schema: str) -> DataFra
 def _earlier(lists: list, bucket: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether rows left[i] and right[i] share a leaf before this one."""
     lists = [np.asarray(x, np.int64) for x in lists]
-    lists = [x[x < bucket] for x in lists]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate(lists) if sizes.sum() else np.zeros(0, np.int64)
-    _, which, count = np.unique(flat, return_inverse=True, return_counts=True)
-    if not len(flat) or count.max() < 2:
-        return np.zeros(len(left), bool)
-    shared = count[which] > 1
-    column = np.cumsum(count > 1) - 1
-    has = np.zeros((len(lists), int((count > 1).sum())), np.float32)
-    has[np.repeat(np.arange(len(lists)), sizes)[shared], column[which[shared]]] = 1
-    if len(left) > len(lists):
-        return (has @ has.T)[left, right] > 0
-    return np.einsum("ij,ij->i", has[left], has[right]) > 0
+    return common_counts([x[x < bucket] for x in lists], left, right) > 0
 
 
 def _pairs(t: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -225,17 +224,17 @@ def near(n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -
 PAIRS = 1 << 17
 
 
-def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose sketches share enough; most are ruled out by the first minima."""
+def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sketches share at least so many minima; most are ruled out by the first ones."""
     equal = np.zeros(len(left), np.int16)
     for at in range(0, MINIMA, 16):
         equal += (sketch[left, at : at + 16] == sketch[right, at : at + 16]).sum(1, dtype=np.int16)
-        keep = equal >= SKETCH_LEAST - (MINIMA - at - 16)
+        keep = equal >= least - (MINIMA - at - 16)
         left, right, equal = left[keep], right[keep], equal[keep]
     return left, right
 
 
-def candidates(t: dict, threshold: float):
+def candidates(t: dict, threshold: float, least: int = SKETCH_LEAST):
     """Rows of a unit with a partner that their sketches do not rule out and that they first meet here."""
     left, right = _pairs(t)
     keep = near(t["n"], left, right, threshold)
@@ -243,7 +242,7 @@ def candidates(t: dict, threshold: float):
     if not len(left):
         return None
     sketch = np.frombuffer(b"".join(t["sketch"]), np.uint32).reshape(-1, MINIMA)
-    kept = [_alike(sketch, left[at : at + PAIRS], right[at : at + PAIRS]) for at in range(0, len(left), PAIRS)]
+    kept = [_alike(sketch, left[at : at + PAIRS], right[at : at + PAIRS], least) for at in range(0, len(left), PAIRS)]
     left, right = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
     if not len(left):
         return None
@@ -252,12 +251,8 @@ def candidates(t: dict, threshold: float):
     return [t["bucket"][rows], t["a"][rows], t["b"][rows], t["block"][rows], t["rid"][rows]]
 
 
-#: Shingles of sets that are compared at a time; a unit of long texts is taken in parts.
-SHINGLES = 2_000_000
-
-
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shingles that sets left[i] and right[i] share."""
+    """Members that sets left[i] and right[i] share, by products of narrow parts of the table of sets and shared members."""
     part = np.cumsum([len(s) for s in sets]) // SHINGLES
     if len(sets) > 2 and part[-1] > 0 and len(left) > 2 * len(sets):
         out = np.zeros(len(left), np.int64)
@@ -272,6 +267,8 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if len(left) <= 2 * len(sets):
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)], np.int64)
+    if not sum(map(len, sets)):
+        return np.zeros(len(left), np.int64)
     sizes = np.array([len(s) for s in sets])
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner, shared = np.repeat(np.arange(len(sets)), sizes), count[which] > 1
@@ -331,23 +328,23 @@ def verified(t: dict, threshold: float):
     return [t["rid"][rows], partners[rows].astype(np.int64), docs[rows].astype(np.int64), t["rid"][order][root[rank[rows]]]]
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rid and root (least rid of its component) of all nodes of edges (rid, near), by minimum labels with pointer jumps; rounds grow with the logarithm of a component's width."""
-    both = common.stored(edges.select("rid", "near").union(edges.select("near", "rid")).where("rid <> near").distinct(), "edges")
-    labels = common.stored(both.groupBy("rid").agg(F.min("near").alias("_low")).select("rid", F.least("rid", "_low").alias("root")), "labels")
+def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """rid and root (least rid of its component) of all ends of edges (rid, near), by minimum labels with pointer jumps; rounds grow with the logarithm of a component's width."""
+    both = scratch.store(edges.select("rid", "near").union(edges.select("near", "rid")).where("rid <> near").distinct(), "edges")
+    labels = scratch.store(both.groupBy("rid").agg(F.min("near").alias("_low")).select("rid", F.least("rid", "_low").alias("root")), "labels")
     while True:
         # a neighbour's label, then the label's own label
         seen = both.join(labels.withColumnsRenamed({"rid": "near", "root": "_root"}), "near").groupBy("rid").agg(F.min("_root").alias("_low"))
         step = labels.join(seen, "rid").select("rid", F.least("root", "_low").alias("root"), F.col("root").alias("_was"))
         jump = step.select(F.col("rid").alias("root"), F.col("root").alias("_next"))
-        new = common.stored(step.join(jump, "root").select("rid", F.least("root", "_next").alias("root"), (F.least("root", "_next") < F.col("_was")).alias("_moved")), "labels")
+        new = scratch.store(step.join(jump, "root").select("rid", F.least("root", "_next").alias("root"), (F.least("root", "_next") < F.col("_was")).alias("_moved")), "labels")
         moved = new.where("_moved").limit(1).count()
         labels = new.select("rid", "root")
         if not moved:
             return labels
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, sketch_least: int = SKETCH_LEAST) -> DataFrame:
     """Self-join of docs (doc_id, text) on Jaccard similarity of five-word shingles, at least threshold.
 
     Result, a row for each row of docs: doc_id, copy_id (least doc_id of the rows
@@ -355,86 +352,111 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     over any number of links; its own copy_id if none), n_links (other rows that
     are similar enough, copies included), n_set_links (other distinct sets).
     Texts without words (null, empty) have no links, and are no copies of one
-    another: class_id is their own doc_id. Rows without a doc_id take part;
-    classes of such rows alone have a negative number. An empty table gives no
-    rows; other columns of docs are ignored.
+    another: class_id is their own doc_id. A doc_id may stand on several rows:
+    each row is joined by its own text. Rows without a doc_id take part; copies
+    and classes of such rows alone have a negative number. An empty table gives no
+    rows; other columns of docs are ignored. sketch_least is the number of equal
+    minima that rules a pair in for the exact comparison; 0 compares every pair
+    that meets in a bucket.
     """
-    return classified(docs, threshold).drop("f1", "f2", "n")
+    return classified(docs, threshold, sketch_least).select("doc_id", "copy_id", "class_id", "n_links", "n_set_links")
 
 
-def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """jaccard_join() with f1 and f2, the fingerprint of a row's set, and n, its size."""
-    every = common.stored(profiles(docs), "profiles")
+def classified(docs: DataFrame, threshold: float = THRESHOLD, sketch_least: int = SKETCH_LEAST) -> DataFrame:
+    """jaccard_join() with k1 and k2 (128 bits of a row's text), n (its shingles) and root, a number of its class (null without words); it is stored."""
+    spark = docs.sparkSession
+    with common.Scratch(spark, "join") as scratch, common.small_batches(spark):
+        return common.stored(_classified(docs, threshold, sketch_least, scratch), "classes")
+
+
+def _classified(docs: DataFrame, threshold: float, sketch_least: int, scratch: common.Scratch) -> DataFrame:
+    every = scratch.store(profiles(docs), "profiles")
     full = every.where("n > 0")
-    reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = common.stored(reps.withColumn("rid", F.coalesce("_id", -F.abs(F.col("f1") % (1 << 62)) - 1)).select("f1", "f2", "rid", F.col("_id").isNull().alias("unnamed"), "copies", "n", "sketch"), "sets")
-    leaf = common.stored(leaves(reps), "leaves")
+    reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # numbered as they are stored: sets, not doc_ids, are what is joined
+    reps = scratch.store(reps.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    leaf = scratch.store(leaves(reps, scratch), "leaves")
     paths = leaf.groupBy("rid").agg(F.array_sort(F.collect_list("bucket")).alias("leaves"))  # RUNS * BRANCHES ** (LEVELS - 1) at most
-    known = common.stored(reps.join(paths, "rid").select("rid", "n", "copies", "sketch", "leaves"), "paths")
+    known = scratch.store(reps.join(paths, "rid").select("rid", "n", "copies", "sketch", "leaves"), "known")
     unit = units(leaf).join(known, "rid")
-    cand = in_units(unit, ["block", "rid", "n", "sketch", "leaves"], lambda t: candidates(t, threshold), "bucket long, a int, b int, block int, rid long")
-    cand = common.stored(cand, "candidates")
-    sets = shingles_of(docs, every, cand.select("rid").distinct(), reps)
+    cand = in_units(unit, ["block", "rid", "n", "sketch", "leaves"], lambda t: candidates(t, threshold, sketch_least), "bucket long, a int, b int, block int, rid long")
+    cand = scratch.store(cand, "candidates")
+    sets = scratch.store(shingles_of(docs, cand.select("rid").distinct(), reps, scratch), "shingles")
     exact = cand.join(known.select("rid", "n", "copies", "leaves"), "rid").join(sets, "rid")
-    links = common.stored(
-        in_units(exact, ["block", "rid", "n", "copies", "leaves", "shingles"], lambda t: verified(t, threshold), "rid long, partners long, docs long, near long"), "links"
-    )
+    links = scratch.store(in_units(exact, ["block", "rid", "n", "copies", "leaves", "shingles"], lambda t: verified(t, threshold), "rid long, partners long, docs long, near long"), "links")
     counts = links.groupBy("rid").agg(F.sum("partners").alias("_sets"), F.sum("docs").alias("_docs"))
-    roots = components(reps, links.select("rid", "near"))
-    anonymous = reps.where("unnamed")
-    if not anonymous.isEmpty():  # their numbers are the least of all: a class with a doc_id goes by that
-        first = roots.join(reps.select("rid", "unnamed"), "rid").groupBy("root").agg(F.min(F.when(~F.col("unnamed"), F.col("rid"))).alias("_first"))
-        roots = roots.join(first, "root").select("rid", F.coalesce("_first", "root").alias("root"))
-    by_set = reps.join(counts, "rid", "left").join(roots, "rid", "left").select(
-        "f1", "f2", F.col("rid").alias("copy_id"), F.coalesce("root", "rid").alias("class_id"),
+    roots = components(links.select("rid", "near"), scratch)
+    nameless = -(F.col("f1").bitwiseAND(F.lit((1 << 62) - 1))) - 1
+    # a class goes by its least doc_id, or by a negative number where none of its rows has one
+    first = roots.join(reps.select("rid", "id", nameless.alias("_none")), "rid").groupBy("root").agg(F.min("id").alias("_first"), F.min("_none").alias("_none"))
+    first = scratch.store(first.select("root", F.coalesce("_first", "_none").alias("class_id")), "class-ids")
+    by_class = roots.join(first, "root")
+    own = F.coalesce("id", nameless)
+    by_set = reps.join(counts, "rid", "left").join(by_class, "rid", "left").select(
+        "f1", "f2", F.coalesce("root", "rid").alias("root"), own.alias("copy_id"), F.coalesce("class_id", own).alias("class_id"),
         (F.coalesce("_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_sets", F.lit(0)).alias("n_set_links"),
     )
-    out = full.join(by_set, ["f1", "f2"]).select("doc_id", "copy_id", "class_id", "n_links", "n_set_links", "f1", "f2", "n")
-    zero = F.lit(0).cast("long")
-    return out.unionByName(every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "f1", "f2", "n"))
+    columns = ["doc_id", "copy_id", "class_id", "n_links", "n_set_links", "k1", "k2", "n", "root"]
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    bare = every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "k1", "k2", "n", none.alias("root"))
+    return full.select("doc_id", "k1", "k2", "f1", "f2", "n").join(by_set, ["f1", "f2"]).select(columns).unionByName(bare.select(columns))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs less all but one of each class: the row with the least doc_id stays.
-
-    Rows without a doc_id go where their class has a row with one, else one row
-    of the class stays, with the least of its texts. Rows that are equal in
-    doc_id and text are one document. Texts without words all stay.
+    """docs less all but one row of each class of jaccard_join().
+
+    The row with the least doc_id stays (of several with it, the one with the
+    least hash of its text); in a class of rows without a doc_id, the one with the
+    least text. Rows are told by doc_id and text, so a doc_id on several texts
+    loses none that no other row resembles; of rows that are equal in both, one
+    stays. Texts without words (null, empty) all stay. An empty table stays empty;
+    the columns of docs stay as they are.
     """
-    classes = common.stored(classified(docs, threshold).select("doc_id", "class_id", "f1", "f2", "n"), "classes")
-    named = classes.where("doc_id IS NOT NULL")
-    out = common.without(docs.where("doc_id IS NOT NULL"), named.where("doc_id <> class_id"), {"doc_id": F.col("doc_id").cast("long")})
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    blank = docs.where("doc_id IS NULL")
-    if blank.isEmpty():
+    spark = docs.sparkSession
+    with common.Scratch(spark, "keep") as scratch:
+        classes = classified(docs, threshold).where("n > 0").select("root", "doc_id", "k1", "k2")
+        rows = scratch.store(classes.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")), "rows")
+        name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+        best = rows.groupBy("root").agg(F.min(name).alias("_best"), F.count(F.lit(1)).alias("_n"))
+        best = scratch.store(best.select("root", "_best.*", "_n"), "best")
+        lone = rows.join(best.where("none AND _n > 1").select("root"), "root").select("root", "k1", "k2")
+        if not lone.isEmpty():
+            k1, k2 = common.text_keys()
+            texts = docs.where(F.col("doc_id").isNull()).select(k1, k2, F.col("text").cast("string").alias("text"))
+            least = texts.join(lone, ["k1", "k2"]).groupBy("root").agg(F.min("text").alias("text")).select("root", *common.text_keys())
+            changed = best.join(least.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "root", "left")
+            best = scratch.store(changed.select("root", "none", "doc_id", F.coalesce("_k1", "k1").alias("k1"), F.coalesce("_k2", "k2").alias("k2")), "best")
+        chosen = rows.join(best.select("root", F.col("doc_id").alias("_d"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "root")
+        stays = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+        marked = common.stored(chosen.select("doc_id", "k1", "k2", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "marked")
+    keys = {"doc_id": F.col("doc_id").cast("long"), **dict(zip(("k1", "k2"), common.text_keys()))}
+    out = common.without(docs, marked, keys)
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
         return out
-    # stored first: with_prints numbers its rows and reads them twice
-    texts = common.stored(blank.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).distinct(), "blank")
-    prints = common.stored(with_prints(texts).select("text", "f1", "f2"), "prints")
-    unnamed = classes.where("doc_id IS NULL").select("class_id", "f1", "f2", "n").distinct()
-    alone = unnamed.where("n > 0").join(named.where("n > 0").select("class_id").distinct(), "class_id", "left_anti")
-    chosen = prints.join(alone, ["f1", "f2"]).groupBy("class_id").agg(F.min("text").alias("text"))
-    bare = prints.join(unnamed.where("n = 0"), ["f1", "f2"], "left_semi")
-    name = common.fresh(docs, "wanted_text")[0]
-    rows = lambda wanted: blank.join(wanted.select(F.col("text").alias(name)), blank["text"].cast("string").eqNullSafe(F.col(name)), "left_semi")
-    return out.unionByName(rows(chosen).dropDuplicates(["text"])).unionByName(rows(bare))
+    again = common.with_only(docs, repeated, keys)
+    plain = [c for c in docs.columns if c.lower() in ("doc_id", "text")]
+    return out.unionByName(again.dropDuplicates(plain))
 
 
 #: Sets whose numbers are sent to every executor at most (8 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles_of(docs: DataFrame, every: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
-    """Shingle sets of wanted representatives: rid, shingles (binary, sorted u64), from the text of one row of each."""
-    wanted = common.stored(wanted, "wanted")
+def shingles_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Shingle sets of wanted representatives (rid): rid, shingles (binary, sorted u64).
+
+    The doc_id of a representative finds its rows, and the fingerprint of a row's
+    set says whose it is; rows without a doc_id are all looked at where a wanted set
+    has no other.
+    """
+    wanted = scratch.store(reps.join(wanted, "rid").select("rid", "id", "f1", "f2"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
-    mine = texts.join(F.broadcast(wanted) if few else wanted, "rid")
-    anonymous = wanted.where("rid < 0")
-    if not anonymous.isEmpty():  # classes of rows without a doc_id: their texts are found by fingerprint
-        blank = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        mine = mine.unionByName(with_prints(blank).join(reps.join(anonymous, "rid").select("f1", "f2", "rid"), ["f1", "f2"]).select("rid", "text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    ids = wanted.where("id IS NOT NULL").select("id").distinct()
+    mine = texts.join(F.broadcast(ids) if few else ids, "id").select("text")
+    if not wanted.where("id IS NULL").isEmpty():
+        mine = mine.unionByName(texts.where("id IS NULL").select("text"))
 
     def rows(batch_iter):
         for batch in batch_iter:
@@ -442,18 +464,13 @@ def shingles_of(docs: DataFrame, every: DataFrame, wanted: DataFrame, reps: Data
             for lo, hi in bytewords.parts(column):
                 sets, sizes = shingle_sets(column.slice(lo, hi - lo))
                 upto = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(lo, hi - lo), pa.array([sets[a:b].tobytes() for a, b in zip(upto, upto[1:])], pa.binary())], ["rid", "shingles"])
-
-    found = mine.mapInArrow(rows, "rid long, shingles binary")
-    # a doc_id on several rows: only the set that the representative stands for has its size and least shingle
-    return common.stored(found, "shingles").dropDuplicates(["rid"])
-
+                yield pa.RecordBatch.from_arrays([*map(pa.array, fingerprints(sets, sizes)), pa.array([sets[a:b].tobytes() for a, b in zip(upto, upto[1:])], pa.binary())], ["f1", "f2", "shingles"])
+        common.release()
 
-def with_prints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with f1 and f2."""
-    one = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = profiles(one.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "f1", "f2")
-    return one.join(prints, "_row").drop("_row")
+    found = mine.mapInArrow(rows, "f1 long, f2 long, shingles binary")
+    keyed = wanted.select("f1", "f2", "rid")
+    # several rows may show one set: all of them the same shingles
+    return found.join(F.broadcast(keyed) if few else keyed, ["f1", "f2"]).groupBy("rid").agg(F.first("shingles").alias("shingles"))
 
 
 def chance_of_missing(similarity: float = THRESHOLD, runs: int = RUNS, branches: int = BRANCHES) -> float:

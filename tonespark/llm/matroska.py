@@ -232,8 +232,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as media: doc_id, n_bytes (of the text) and media (binary). Null texts are empty; every text gets a file; other columns are ignored."""
-    common.small_batches(docs.sparkSession, 256)
+    """docs (doc_id, text) as media: doc_id, n_bytes (of the text) and media (binary). Null texts are empty; every text gets a file; rows repeat as often as in docs; an empty table gives no rows; other columns are ignored."""
 
     def rows(batch_iter):
         for batch in batch_iter:
@@ -278,12 +277,21 @@ def feature(data: bytes, movie: Movie) -> str:
 
 
 def digests(media_rows: DataFrame) -> DataFrame:
-    """Parse media_rows (doc_id, n_bytes, media) and describe what track 1 holds."""
+    """Parse media_rows (doc_id, n_bytes, media) and describe what track 1 holds.
+
+    A row for each row of media_rows, repeated ones too: doc_id, n_bytes,
+    payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes,
+    media_sha256, feature. Null media give nulls in all but the first two; damaged
+    files raise; an empty table gives no rows; other columns are ignored.
+    """
 
     def rows(batch_iter):
         for batch in batch_iter:
             out = []
             for data in batch.column("media"):
+                if not data.is_valid:
+                    out.append((None,) * 6)
+                    continue
                 raw = data.as_buffer().to_pybytes()
                 movie = demux(raw)
                 payload = track_bytes(raw, movie)
@@ -294,8 +302,10 @@ def digests(media_rows: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return media_rows.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media_rows.select("doc_id", "n_bytes", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(common.stored(media(common.documents(spark, sf_dir, "doc_id", "text")), "media"))
+    with common.small_batches(spark, 256):
+        stored = common.stored(media(common.documents(spark, sf_dir, "doc_id", "text")), "media")
+        return common.stored(digests(stored), "digests")

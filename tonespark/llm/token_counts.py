@@ -203,7 +203,6 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     table gives no rows; other columns of docs are ignored.
     """
     path = tokenizer or public_path("byte_bpe_50k.json")
-    common.small_batches(docs.sparkSession)
 
     def rows(batch_iter):
         for batch in batch_iter:
@@ -214,6 +213,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = plain.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long")
+    with common.small_batches(docs.sparkSession):
+        counted = common.stored(counted, "token-counts")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
