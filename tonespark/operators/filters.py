@@ -13,35 +13,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Recursion, butterworth, harmonic_percussive, polyphase, ratio, resample_part, weighting
+from ..functions.kernels import Recursion, butterworth_sections, extension, harmonic_percussive, polyphase, ratio, resample_part, weighting_sections
 from ..functions.tables import KEY, blocks, kept, unblock, with_stats
 from ..functions.windows import window
 
 BLOCK = 16_384
 
 
-def recursive(df: DataFrame, b: np.ndarray, a: np.ndarray, steady: bool = False, block: int = BLOCK) -> DataFrame:
-    """Filter every channel in one direction from rest, or (steady) from the state of its first sample held for ever."""
-    packed = blocks(df, block)
-    system = Recursion(b, a)
-    d = system.order
+BLOCKS = "frame_id string, channel_id string, block long, start long, values array<double>"
+
+
+def recursive(df: DataFrame, b: np.ndarray, a: np.ndarray | None = None, steady: bool = False, block: int = BLOCK) -> DataFrame:
+    """Filter every channel in one direction from rest, or (steady) from the state of its first sample held for ever. b alone are second-order sections."""
+    return unblock(over_blocks(blocks(df, block), Recursion(b, a), steady))
+
+
+def over_blocks(packed: DataFrame, system: Recursion, steady: bool = False, backward: bool = False) -> DataFrame:
+    """Filter blocks (start, values) of channels; backward begins at the last sample of the last block."""
+    d, turn = system.order, slice(None, None, -1 if backward else 1)
 
     def local(frames):
         for pdf in frames:
-            rows = [system.run(np.asarray(v, float)) for v in pdf["values"]]
-            yield pdf.assign(head=[float(v[0]) for v in pdf["values"]], values=[y for y, _ in rows], state=[s for _, s in rows])
+            rows = [system.run(np.asarray(v, float)[turn]) for v in pdf["values"]]
+            yield pdf.assign(head=[float(v[-1 if backward else 0]) for v in pdf["values"]], values=[y[turn] for y, _ in rows], state=[s for _, s in rows])
 
-    rest = kept(packed.mapInPandas(local, "frame_id string, channel_id string, block long, start long, values array<double>, head double, state array<double>"))
+    rest = kept(packed.mapInPandas(local, f"{BLOCKS}, head double, state array<double>"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
+        pdf = pdf.sort_values("block", ascending=not backward)
         s, out = (system.steady * pdf["head"].iloc[0] if steady else np.zeros(d)), []
-        decay: dict[int, np.ndarray] = {}
+        decay = powers_of(system)
         for n, end in zip(pdf["len"], pdf["state"]):
             out.append(s)
-            if n not in decay:
-                decay[n] = np.linalg.matrix_power(system.step, int(n)) if d else np.zeros((0, 0))
-            s = decay[n] @ s + np.asarray(end, float)
+            s = decay(int(n)) @ s + np.asarray(end, float)
         return pd.DataFrame({"frame_id": pdf["frame_id"], "channel_id": pdf["channel_id"], "block": pdf["block"], "first": out})
 
     # one row a block: a channel of a thousand million samples has some sixty thousand
@@ -49,10 +53,21 @@ def recursive(df: DataFrame, b: np.ndarray, a: np.ndarray, steady: bool = False,
 
     def add(frames):
         for pdf in frames:
-            yield pdf.assign(values=[np.asarray(v, float) + free(system, np.asarray(s, float), len(v)) for v, s in zip(pdf["values"], pdf["first"])]).drop(columns="first")
+            yield pdf.assign(values=[np.asarray(v, float) + free(system, np.asarray(s, float), len(v))[turn] for v, s in zip(pdf["values"], pdf["first"])]).drop(columns="first")
+
+    return rest.select(*KEY, "block", "start", "values").join(states, [*KEY, "block"]).mapInPandas(add, BLOCKS)
+
+
+def powers_of(system: Recursion):
+    """What n samples of silence do to a state; worked out once for each n."""
+    known: dict[int, np.ndarray] = {}
+
+    def power(n: int) -> np.ndarray:
+        if n not in known:
+            known[n] = np.linalg.matrix_power(system.step, n) if system.order else np.zeros((0, 0))
+        return known[n]
 
-    both = rest.select(*KEY, "block", "start", "values").join(states, [*KEY, "block"])
-    return unblock(both.mapInPandas(add, "frame_id string, channel_id string, block long, start long, values array<double>"))
+    return power
 
 
 def free(system: Recursion, state: np.ndarray, n: int) -> np.ndarray:
@@ -62,39 +77,39 @@ def free(system: Recursion, state: np.ndarray, n: int) -> np.ndarray:
     return system.run(np.zeros(n), state)[0]
 
 
-def zero_phase(df: DataFrame, b: np.ndarray, a: np.ndarray) -> DataFrame:
-    """Forward and backward with an odd extension of three filter lengths at both ends and steady first states. Channels are longer than that."""
-    pad = 3 * max(len(a), len(b))
-    ends = kept(df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"), F.max_by("value", "sample_idx").alias("_last"), F.min_by("value", "sample_idx").alias("_first")))
+def zero_phase(df: DataFrame, b: np.ndarray, a: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
+    """Forward and backward with an odd extension of three filter lengths at both ends and steady first states. Channels are longer than that.
+
+    Samples are put into blocks once and stay there for both directions.
+    """
+    pad, system = extension(b, a), Recursion(b, a)
+    ends = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"), F.max_by("value", "sample_idx").alias("_last"), F.min_by("value", "sample_idx").alias("_first"))
     n = F.when(F.col("_n") > pad, F.col("_n")).otherwise(F.raise_error(F.lit("a channel is shorter than the filter's extension")).cast("long"))
     at, x = F.col("sample_idx"), F.col("value")
     put = lambda i, v: F.struct(i.cast("long").alias("i"), v.alias("v"))
     head = F.when((at >= 1) & (at <= pad), put(F.lit(pad) - at, 2 * F.col("_first") - x))
     tail = F.when((at >= n - 1 - pad) & (at <= n - 2), put(2 * n - 2 - at + pad, 2 * F.col("_last") - x))
     wide = df.join(ends, list(KEY)).select(*KEY, F.explode(F.array_compact(F.array(put(at + pad, x), head, tail))).alias("_x")).select(*KEY, F.col("_x.i").alias("sample_idx"), F.col("_x.v").alias("value"))
-    forward = recursive(wide, b, a, steady=True)
-    sizes = ends.select(*KEY, (F.col("_n") + 2 * pad).alias("_w"))
-    turn = lambda x: x.join(sizes, list(KEY)).select(*KEY, (F.col("_w") - 1 - F.col("sample_idx")).alias("sample_idx"), "value")
-    back = turn(recursive(turn(forward), b, a, steady=True))
-    middle = back.join(sizes, list(KEY)).where((F.col("sample_idx") >= pad) & (F.col("sample_idx") < F.col("_w") - pad))
-    return middle.select(*KEY, (F.col("sample_idx") - pad).alias("sample_idx"), "value")
+    both = over_blocks(over_blocks(blocks(wide, block), system, steady=True), system, steady=True, backward=True)
+    middle = unblock(both).join(ends.select(*KEY, "_n"), list(KEY)).where((at >= pad) & (at < F.col("_n") + pad))
+    return middle.select(*KEY, (at - pad).alias("sample_idx"), "value")
 
 
 def low_pass(df: DataFrame, cutoff: float, rate: float, order: int = 4) -> DataFrame:
-    return zero_phase(df, *butterworth(order, "low", cutoff, rate))
+    return zero_phase(df, butterworth_sections(order, "low", cutoff, rate))
 
 
 def high_pass(df: DataFrame, cutoff: float, rate: float, order: int = 4) -> DataFrame:
-    return zero_phase(df, *butterworth(order, "high", cutoff, rate))
+    return zero_phase(df, butterworth_sections(order, "high", cutoff, rate))
 
 
 def band_pass(df: DataFrame, low: float, high: float, rate: float, order: int = 4) -> DataFrame:
-    return zero_phase(df, *butterworth(order, "band", (low, high), rate))
+    return zero_phase(df, butterworth_sections(order, "band", (low, high), rate))
 
 
 def frequency_weighting(df: DataFrame, rate: float, curve: str = "A") -> DataFrame:
     """Causal A, B or C weighting from rest; Z leaves samples as they are."""
-    return df if curve == "Z" else recursive(df, *weighting(curve, rate))
+    return df if curve == "Z" else recursive(df, weighting_sections(curve, rate))
 
 
 def resample(df: DataFrame, rate: float, target: float, block: int = BLOCK) -> DataFrame:
@@ -150,15 +165,47 @@ def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin
     return unblock(channel_arrays(df).mapInPandas(split, "frame_id string, channel_id string, start long, values array<double>"))
 
 
-def noct_spectrum(df: DataFrame, rate: float, bands: pd.DataFrame, order: int = 3) -> DataFrame:
-    """RMS of each channel in fractional-octave bands, by causal band-pass filters: frame_id, channel_id, band_idx, center, value."""
-    out = None
-    for b in bands.itertuples():
-        if b.high >= rate / 2:
-            continue
-        y = recursive(df, *butterworth(order, "band", (b.low, b.high), rate))
-        row = y.groupBy(*KEY).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value")).select(*KEY, F.lit(int(b.band_idx)).cast("long").alias("band_idx"), F.lit(float(b.center)).alias("center"), "value")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("no band lies below half of the sampling rate")
-    return out
+def noct_spectrum(df: DataFrame, rate: float, bands: pd.DataFrame, order: int = 3, block: int = BLOCK) -> DataFrame:
+    """RMS of each channel in fractional-octave bands, by causal band-pass filters: frame_id, channel_id, band_idx, center, value.
+
+    All bands are worked out in one pass over the blocks. A block gives each band
+    its sum of squares from rest and how a first state would change it, so that the
+    bands' samples are never rows.
+    """
+    if len(bands) and not (bands["high"] < rate / 2).all():
+        raise ValueError(f"bands up to {float(bands['high'].max()):g} Hz need a rate of more than twice that, not {rate:g} Hz")
+    systems = [(int(b.band_idx), float(b.center), Recursion(butterworth_sections(order, "band", (b.low, b.high), rate))) for b in bands.itertuples()]
+
+    def local(frames):
+        for pdf in frames:
+            rows = []
+            longest = max((len(v) for v in pdf["values"]), default=0)
+            for band, (_, _, system) in enumerate(systems):
+                reach = reach_of(system, longest)
+                for frame, channel, number, values in zip(pdf["frame_id"], pdf["channel_id"], pdf["block"], pdf["values"]):
+                    y, state = system.run(np.asarray(values, float))
+                    rows.append((frame, channel, number, len(y), band, float(y @ y), y @ reach[: len(y)], state))
+            yield pd.DataFrame(rows, columns=["frame_id", "channel_id", "block", "len", "band", "squares", "mixed", "state"])
+
+    parts = blocks(df, block).mapInPandas(local, "frame_id string, channel_id string, block long, len long, band int, squares double, mixed array<double>, state array<double>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        idx, center, system = systems[int(pdf["band"].iloc[0])]
+        decay, grams = powers_of(system), {}
+        s, total = np.zeros(system.order), 0.0
+        for n, squares, mixed, state in zip(pdf["len"], pdf["squares"], pdf["mixed"], pdf["state"]):
+            if n not in grams:
+                reach = reach_of(system, int(n))
+                grams[n] = reach.T @ reach
+            total += squares + 2 * float(s @ np.asarray(mixed, float)) + float(s @ grams[n] @ s)
+            s = decay(int(n)) @ s + np.asarray(state, float)
+        value = np.sqrt(max(total, 0.0) / pdf["len"].sum())
+        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[:1], "channel_id": pdf["channel_id"].iloc[:1], "band_idx": [idx], "center": [center], "value": [value]})
+
+    return parts.groupBy(*KEY, "band").applyInPandas(chain, "frame_id string, channel_id string, band_idx long, center double, value double")
+
+
+def reach_of(system: Recursion, n: int) -> np.ndarray:
+    """(n, order): what each part of a first state adds to each of n outputs."""
+    return np.stack([free(system, row, n) for row in np.eye(system.order)], 1) if n else np.zeros((0, system.order))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import KEY
+from ..functions.tables import KEY, blocks
 from ..functions.windows import window
 
 SPECTRUM = "frame_id string, channel_id string, freq_idx int, re double, im double"
@@ -98,20 +98,42 @@ def ifft(spectrum: DataFrame, n_fft: int, win: str = "hann") -> DataFrame:
     return _samples(_map(spectrum_arrays(spectrum, list(KEY)), list(KEY), kernel, "value array<double>"), list(KEY))
 
 
-def cut_frames(df: DataFrame, width: int, hop: int, first_start: int, least: int | None, most: str | int) -> DataFrame:
-    """Frames of `width` samples from first_start on, hop apart; samples outside are zeros. least and most bound frame numbers (most may be an expression over _n)."""
-    at = F.col("sample_idx") - F.lit(first_start)
-    low, high = F.floor((at - width) / hop) + 1, F.floor(at / hop)
-    n = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n"))
-    rows = df.join(n, list(KEY)).withColumn("_most", F.expr(most) if isinstance(most, str) else F.lit(most))
-    ids = F.when(F.least(high, F.col("_most")) >= F.greatest(low, F.lit(least or 0)), F.sequence(F.greatest(low, F.lit(least or 0)).cast("long"), F.least(high, F.col("_most")).cast("long")))
-    rows = rows.select(*KEY, "sample_idx", "value", F.explode(ids).alias("frame_idx"))
-    packed = rows.groupBy(*KEY, "frame_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("_v"))
-    start = F.col("_v")[0]["sample_idx"] - (F.col("frame_idx") * hop + first_start)
-    body = F.transform("_v", lambda s: s["value"])
-    lead = F.array_repeat(F.lit(0.0), start.cast("int"))
-    tail = F.array_repeat(F.lit(0.0), (F.lit(width) - start - F.size("_v")).cast("int"))
-    return packed.select(*KEY, F.col("frame_idx").cast("int").alias("frame_idx"), F.concat(lead, body, tail).alias("values"))
+#: Samples that a block holds before its halo, and values of the frames that a kernel gets at once.
+BLOCK, FRAME_VALUES = 16_384, 1 << 20
+
+
+def framed(df: DataFrame, width: int, hop: int, first_start: int, most: str, kernel) -> DataFrame:
+    """kernel over frames of `width` samples from first_start (not positive) on, hop apart: frame_id, channel_id, frame_idx, re, im (arrays).
+
+    Samples are shuffled once, into blocks with a halo of one frame; frames are cut
+    inside a block and never are rows. Samples outside a channel are zeros; most is
+    an expression over _n, the channel's length, for the last frame's number.
+    Frames that no block reaches are left out.
+    """
+    per = max(1, max(BLOCK, width) // hop)
+    size = per * hop
+    ends = df.groupBy(*KEY).agg((F.max("sample_idx") + 1).alias("_n")).select(*KEY, F.expr(most).cast("long").alias("_most"))
+    moved = df.select(*KEY, (F.col("sample_idx") - first_start).alias("sample_idx"), "value")
+    packed = blocks(moved, size, after=width - 1).join(ends, list(KEY))
+
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                count = min(per, int(row.last) - row.block * per + 1)
+                if count < 1:
+                    continue
+                x = np.zeros((count - 1) * hop + width)
+                v, at = np.asarray(row.values, float), row.start - row.block * size
+                v = v[: max(0, len(x) - at)]
+                x[at : at + len(v)] = v
+                every = np.lib.stride_tricks.sliding_window_view(x, width)[::hop]
+                step = max(1, FRAME_VALUES // width)
+                for lo in range(0, count, step):
+                    re, im = kernel(every[lo : lo + step])
+                    n = len(re)
+                    yield pd.DataFrame({"frame_id": [row.frame_id] * n, "channel_id": [row.channel_id] * n, "frame_idx": np.arange(lo, lo + n, dtype=np.int32) + np.int32(row.block * per), "re": list(re), "im": list(im)})
+
+    return packed.select(*KEY, "block", "start", "values", F.col("_most").alias("last")).mapInPandas(run, "frame_id string, channel_id string, frame_idx int, re array<double>, im array<double>")
 
 
 def stft_span(n: int, win: np.ndarray, hop: int) -> tuple[int, int]:
@@ -146,12 +168,13 @@ def stft(df: DataFrame, n: int | None, n_fft: int = 2048, hop: int | None = None
         s = np.fft.rfft(np.roll(full, -mid, axis=1)) * gain
         return s.real, s.imag
 
-    frames = cut_frames(df, win_length, hop, low * hop - mid, 0, last)
+    frames = framed(df, win_length, hop, low * hop - mid, str(last), kernel)
     # slices over zeros alone are frames too
     every = ends.select(*KEY, F.explode(F.sequence(F.lit(0), F.expr(last) if n is None else F.lit(last))).alias("frame_idx"))
-    frames = every.join(frames, [*KEY, "frame_idx"], "left").withColumn("values", F.coalesce("values", F.array_repeat(F.lit(0.0), win_length)))
+    nothing = F.array_repeat(F.lit(0.0), n_fft // 2 + 1)
     keys = [*KEY, "frame_idx"]
-    return _exploded(_map(frames, keys, kernel), keys, "freq_idx")
+    frames = every.join(frames, keys, "left").select(*keys, F.coalesce("re", nothing).alias("re"), F.coalesce("im", nothing).alias("im"))
+    return _exploded(frames, keys, "freq_idx")
 
 
 def istft(spectra: DataFrame, n_fft: int, hop: int, win_length: int, win: str, n: int | DataFrame) -> DataFrame:
@@ -186,8 +209,8 @@ def istft(spectra: DataFrame, n_fft: int, hop: int, win_length: int, win: str, n
     return rows.groupBy(*KEY, "sample_idx").agg(F.sum("_v").alias("value"))
 
 
-def segments(df: DataFrame, n_fft: int, hop: int | None, win_length: int | None, win: str, detrend: str | bool = "constant") -> DataFrame:
-    """Spectra of whole segments, unscaled: frame_id, channel_id, frame_idx, freq_idx, re, im."""
+def segment_arrays(df: DataFrame, n_fft: int, hop: int | None, win_length: int | None, win: str, detrend: str | bool = "constant") -> DataFrame:
+    """Spectra of whole segments, unscaled: frame_id, channel_id, frame_idx, re, im (arrays)."""
     win_length = win_length or n_fft
     hop = hop or win_length // 2
     w = window(win, win_length)
@@ -201,9 +224,12 @@ def segments(df: DataFrame, n_fft: int, hop: int | None, win_length: int | None,
         s = np.fft.rfft(x * w, n_fft)
         return s.real, s.imag
 
-    frames = cut_frames(df, win_length, hop, 0, 0, f"floor((_n - {win_length}) / {hop})")
-    keys = [*KEY, "frame_idx"]
-    return _exploded(_map(frames, keys, kernel), keys, "freq_idx")
+    return framed(df, win_length, hop, 0, f"floor((_n - {win_length}) / {hop})", kernel)
+
+
+def segments(df: DataFrame, n_fft: int, hop: int | None, win_length: int | None, win: str, detrend: str | bool = "constant") -> DataFrame:
+    """The same with a row for each bin: frame_id, channel_id, frame_idx, freq_idx, re, im."""
+    return _exploded(segment_arrays(df, n_fft, hop, win_length, win, detrend), [*KEY, "frame_idx"], "freq_idx")
 
 
 def median_bias(n: int) -> float:
@@ -241,14 +267,36 @@ def welch(df: DataFrame, n_fft: int = 2048, hop: int | None = None, win_length:
     return mean.select(*KEY, "freq_idx", (F.sqrt("_p") * _by_bin(amplitude)).alias("value"))
 
 
-def pair_products(spectra: DataFrame) -> DataFrame:
-    """conj(input) * output of all ordered channel pairs of a frame's segments: out_ch, in_ch, freq_idx, frame_idx, re, im."""
-    a = spectra.select("frame_id", "frame_idx", "freq_idx", F.col("channel_id").alias("out_ch"), F.col("re").alias("_ar"), F.col("im").alias("_ai"))
-    b = spectra.select("frame_id", "frame_idx", "freq_idx", F.col("channel_id").alias("in_ch"), F.col("re").alias("_br"), F.col("im").alias("_bi"))
-    both = a.join(b, ["frame_id", "frame_idx", "freq_idx"])
-    return both.select(
-        "frame_id", "out_ch", "in_ch", "frame_idx", "freq_idx", (F.col("_br") * F.col("_ar") + F.col("_bi") * F.col("_ai")).alias("re"), (F.col("_br") * F.col("_ai") - F.col("_bi") * F.col("_ar")).alias("im")
-    )
+def pair_products(spectra: DataFrame, summed: bool) -> DataFrame:
+    """conj(input) * output of all ordered channel pairs of a frame's segments: frame_id, out_ch, in_ch, n, re, im (arrays).
+
+    A segment's channels meet in one row. summed adds up the n segments that a task
+    has seen of a pair; otherwise each segment is a row.
+    """
+    packed = spectra.groupBy("frame_id", "frame_idx").agg(F.collect_list(F.struct("channel_id", "re", "im")).alias("_c"))
+    packed = packed.select("frame_id", F.transform("_c", lambda c: c["channel_id"]).alias("channels"), F.transform("_c", lambda c: c["re"]).alias("re"), F.transform("_c", lambda c: c["im"]).alias("im"))
+
+    def run(frames):
+        totals: dict = {}
+        for pdf in frames:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                z = np.stack([np.asarray(x, float) for x in row.re]) + 1j * np.stack([np.asarray(x, float) for x in row.im])
+                for i, a in enumerate(row.channels):
+                    for b, product in zip(row.channels, z[i] * z.conj()):
+                        if not summed:
+                            rows.append((row.frame_id, a, b, 1, product.real, product.imag))
+                        elif (key := (row.frame_id, a, b)) in totals:
+                            totals[key][0] += 1
+                            totals[key][1] += product
+                        else:
+                            totals[key] = [1, product.copy()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["frame_id", "out_ch", "in_ch", "n", "re", "im"])
+        for (frame, a, b), (n, product) in totals.items():
+            yield pd.DataFrame({"frame_id": [frame], "out_ch": [a], "in_ch": [b], "n": [n], "re": [product.real], "im": [product.imag]})
+
+    return packed.mapInPandas(run, "frame_id string, out_ch string, in_ch string, n long, re array<double>, im array<double>")
 
 
 PAIR = ["frame_id", "out_ch", "in_ch", "freq_idx"]
@@ -258,16 +306,22 @@ def csd(df: DataFrame, n_fft: int = 2048, hop: int | None = None, win_length: in
     """Cross spectra of all ordered pairs, output-major: frame_id, out_ch, in_ch, freq_idx, re, im."""
     win_length = win_length or n_fft
     gain = _by_bin(_scale(n_fft, win_length, win, scaling, rate))
-    mean = pair_products(segments(df, n_fft, hop, win_length, win, detrend)).groupBy(*PAIR).agg(averaged(F.col("re"), average).alias("re"), averaged(F.col("im"), average).alias("im"))
+    products = pair_products(segment_arrays(df, n_fft, hop, win_length, win, detrend), average == "mean")
+    long = products.select("frame_id", "out_ch", "in_ch", "n", F.posexplode(F.arrays_zip("re", "im")).alias("freq_idx", "_z")).select(*PAIR, "n", "_z.re", "_z.im")
+    if average == "mean":
+        mean = long.groupBy(*PAIR).agg((F.sum("re") / F.sum("n")).alias("re"), (F.sum("im") / F.sum("n")).alias("im"))
+    else:
+        mean = long.groupBy(*PAIR).agg(averaged(F.col("re"), average).alias("re"), averaged(F.col("im"), average).alias("im"))
     return mean.select(*PAIR, (F.col("re") * gain).alias("re"), (F.col("im") * gain).alias("im"))
 
 
 def with_auto(cross: DataFrame) -> DataFrame:
-    """Cross spectra with the power of their input (_in) and output (_out)."""
-    own = cross.where("out_ch = in_ch").select("frame_id", "freq_idx", F.col("out_ch").alias("_ch"), F.col("re").alias("_p"))
-    first = own.withColumnsRenamed({"_ch": "in_ch", "_p": "_in"})
-    second = own.withColumnsRenamed({"_ch": "out_ch", "_p": "_out"})
-    return cross.join(first, ["frame_id", "freq_idx", "in_ch"]).join(second, ["frame_id", "freq_idx", "out_ch"])
+    """Cross spectra with the power of their input (_in) and output (_out): the pairs of a bin meet in one row, so cross is worked out once."""
+    packed = cross.groupBy("frame_id", "freq_idx").agg(F.collect_list(F.struct("out_ch", "in_ch", "re", "im")).alias("_p"))
+    own = F.filter("_p", lambda p: p["out_ch"] == p["in_ch"])
+    power = F.map_from_arrays(F.transform(own, lambda p: p["out_ch"]), F.transform(own, lambda p: p["re"]))
+    each = packed.select("frame_id", "freq_idx", power.alias("_own"), F.explode("_p").alias("_p"))
+    return each.select("frame_id", "freq_idx", "_p.*", F.col("_own")[F.col("_p.in_ch")].alias("_in"), F.col("_own")[F.col("_p.out_ch")].alias("_out"))
 
 
 def coherence(df: DataFrame, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann", detrend: str | bool = "constant") -> DataFrame:
