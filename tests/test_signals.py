@@ -17,7 +17,7 @@ from tonespark.operators import filters, spectral, windowed
 from tonespark.plans.recipe import Recipe, RecipeError
 from tonespark.plans.registry import register_operation
 from tonespark.plans.transformers import BandPass, HighPass, LowPass, Normalize, RemoveDC
-from tonespark.signal import from_numpy, generate_sin
+from tonespark.signal import Signal, from_numpy, generate_sin, spectrogram_from_numpy
 from tonespark.sources import audio, read
 from tonespark.streaming import levels as stream_levels
 
@@ -300,7 +300,7 @@ def test_spectra(signal, noise):
     assert np.allclose(coherence, abs(csd) ** 2 / (auto[:, None] * auto[None]))
     h = signal.transfer_function(128, step).df.orderBy("out_ch", "in_ch", "freq_idx").toPandas()
     assert np.allclose((h.re + 1j * h.im).to_numpy().reshape(2, 2, -1), csd / auto[None])
-    assert signal.csd(128, step).select_pair("a", "b").count() == 65
+    assert signal.csd(128, step).select_pair("c0", "c1").df.count() == 65
     assert math.isclose(spectral.median_bias(3), 1 + 1 / 3 - 1 / 2)
 
 
@@ -504,3 +504,112 @@ def test_streams(spark, tmp_path):
     for i in range(0, 300, 2):
         y = (decay if i else 0.0) * y + (1 - (decay if i else 0.0)) * (i % 5) ** 2
     assert math.isclose(level[max(k for k in level if k[0] == "c0")], math.sqrt(y), rel_tol=1e-9)
+
+
+# ---- filters at high rates, spectra, pairs ------------------------------------------------------
+
+
+def test_sections_equal_polynomials():
+    x = np.random.default_rng(1).normal(size=500)
+    for kind, cut in (("low", 100.0), ("high", 100.0), ("band", (50.0, 200.0))):
+        for order in (1, 2, 3, 4, 5):
+            sos, (b, a) = kernels.butterworth_sections(order, kind, cut, RATE), kernels.butterworth(order, kind, cut, RATE)
+            assert kernels.extension(sos) == kernels.extension(b, a)
+            assert np.allclose(kernels.Recursion(sos).run(x)[0], kernels.Recursion(b, a).run(x)[0], atol=1e-9)
+            assert np.allclose(kernels.zero_phase(sos, None, x), kernels.zero_phase(b, a, x), atol=1e-8)
+
+
+@pytest.mark.parametrize("rate", [48_000, 96_000, 192_000, 300_000])
+def test_a_weighting_at_high_rates(rate):
+    impulse, freq = np.zeros(2 * rate), np.array([31.5, 63, 125, 250, 500, 1000, 2000, 4000])
+    impulse[0] = 1
+    y = kernels.Recursion(kernels.weighting_sections("A", rate)).run(impulse)[0]
+    got = [20 * np.log10(abs((y * np.exp(-2j * np.pi * f * np.arange(len(y)) / rate)).sum())) for f in freq]
+    s, corners = 2j * np.pi * np.append(freq, 1000.0), np.array(kernels.CORNERS["A"])
+    want = 20 * np.log10(abs(s**4 / np.prod(s[:, None] + 2 * np.pi * corners, axis=1)))
+    assert np.allclose(got, want[:-1] - want[-1], atol=0.3 if rate == 48_000 else 0.1)
+
+
+def test_band_pass_and_bands_at_48_khz(spark, noise):
+    t = np.arange(24_000) / 48_000
+    y = from_numpy(spark, np.sin(2 * np.pi * 100 * t)[None], 48_000).band_pass_filter(50, 200).to_numpy()
+    assert np.isfinite(y).all() and abs(abs(y[8000:16000]).max() - 1) < 0.01
+    bands = spectral.octave_bands(25, 20_000)
+    x = np.sum([np.sin(2 * np.pi * c * np.arange(192_000) / 48_000) for c in bands.center[[0, 9, 17, 29]]], axis=0)
+    got = filters.noct_spectrum(from_numpy(spark, x[None], 48_000.0).df, 48_000.0, bands).orderBy("band_idx").toPandas()
+    assert len(got) == 30
+    for i, b in bands.iterrows():
+        want = np.sqrt(np.mean(kernels.Recursion(kernels.butterworth_sections(3, "band", (b.low, b.high), 48_000.0)).run(x)[0] ** 2))
+        assert math.isclose(got["value"][i], want, rel_tol=1e-6)
+    assert np.allclose(got["value"][[9, 17, 29]], 2**-0.5, rtol=0.02)
+    with pytest.raises(ValueError, match="rate"):
+        from_numpy(spark, x[None], 16_000.0).noct_spectrum()
+
+
+def test_spectral_arithmetic_and_guards(signal, noise):
+    x = signal.fft(64)
+    z = pull(x, "c")
+    y = signal.fft(64, "boxcar")
+    assert np.allclose(pull(x + x * 2, "c"), 3 * z) and np.allclose(pull((1 + 2j) * x, "c"), (1 + 2j) * z)
+    assert np.allclose(pull(x / (x + 5), "c"), z / (z + 5)) and np.allclose(pull(x**2, "c"), z**2) and (x + x).labels[0] == "(fft(a) + fft(a))"
+    for bad in (lambda: x + y, lambda: x + signal, lambda: signal.csd(64) + 1, lambda: x.remove_dc(), lambda: x.normalize()):
+        with pytest.raises(ValueError):
+            bad()
+    assert np.allclose((np.float64(2) * signal).to_numpy(), 2 * noise) and np.allclose((np.int64(2) - signal).to_numpy(), 2 - noise)
+    assert np.allclose((signal * np.arange(noise.shape[1])).to_numpy(), noise * np.arange(noise.shape[1]))
+    with pytest.raises(TypeError):
+        np.arange(3) * signal
+
+
+def pull(s, kind=None):
+    pdf = s.df.orderBy("channel_id", "freq_idx").toPandas()
+    return (pdf["re"] + 1j * pdf["im"]).to_numpy() if kind else pdf
+
+
+def test_added_channels(spark, signal, noise):
+    n = noise.shape[1]
+    s = signal.add_channel(np.arange(n), "ramp", source_time_offset=0.5)
+    assert s.labels == ["a", "b", "ramp"] and np.allclose(s.to_numpy(), np.vstack([noise, np.arange(n)])) and s.channels[2].offset == 0.5
+    assert np.allclose(signal.add_channel(np.ones((1, 5)), align="pad").to_numpy()[2], np.r_[np.ones(5), np.zeros(n - 5)])
+    assert signal.add_channel(np.ones(n + 5), "a", "truncate", suffix_on_dup="2").labels[2] == "a2"
+    for bad in (lambda: signal.add_channel(np.ones(5)), lambda: signal.add_channel(np.ones(n), "a"), lambda: signal.add_channel(np.ones((2, n)))):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        signal.add_channel(signal)
+    assert from_numpy(spark, np.ones((1, 1)), RATE).n_samples() == 1 and Signal(from_numpy(spark, np.ones((1, 1)), RATE).df, signal.header).n_samples() == 1
+
+
+def test_pairs(signal):
+    c = signal.csd(64, scaling="density")
+    assert [(p.output.id, p.input.id) for p in c.pairs] == [("c0", "c0"), ("c0", "c1"), ("c1", "c0"), ("c1", "c1")]
+    one = c.select_pair("c1", 0)
+    assert one.df.select("out_ch", "in_ch").distinct().collect() == [("c1", "c0")] and one.pair_at(-1) == c.get_pair(2) == c.pairs[c.pair_row_index(1, "c0")]
+    assert c.select_pairs([3, 0]).df.count() == 66 and [p.output.id for p in c.select_pairs([3, 0]).pairs] == ["c1", "c0"]
+    for bad, error in ((lambda: c.select_pair("a", "b"), KeyError), (lambda: one.pair_row_index(0, 0), KeyError), (lambda: c.pair_at(4), IndexError), (lambda: c.pair_at(True), TypeError), (lambda: c.select_pairs([]), ValueError)):
+        with pytest.raises(error):
+            bad()
+
+
+def test_slices_replay(signal, noise):
+    plan = Recipe.from_json(Recipe.from_signal(signal[:, 10:50].rename_channels({0: "first"}).astype("float64")).to_json())
+    again = plan.apply(signal)
+    assert np.allclose(again.to_numpy(), noise[:, 10:50]) and again.labels[0] == "first"
+
+
+def test_spectrogram_of_an_array(spark, signal, noise):
+    x = signal.stft(64, 16)
+    got = x.to_numpy()
+    back = spectrogram_from_numpy(spark, got.transpose(0, 2, 1), RATE, 64, 16)
+    assert np.allclose(back.to_numpy(), got)
+    y = back.istft().to_numpy()
+    n = min(y.shape[1], noise.shape[1])
+    assert n > noise.shape[1] - 64 and np.allclose(y[:, : n - 64], noise[:, : n - 64], atol=1e-9)
+
+
+@pytest.mark.parametrize("size", [16, 100])
+def test_frames_across_blocks(signal, monkeypatch, size):
+    one = signal.stft(64, 24).to_numpy()
+    monkeypatch.setattr(spectral, "BLOCK", size)
+    monkeypatch.setattr(spectral, "FRAME_VALUES", 128)
+    assert np.allclose(signal.stft(64, 24).to_numpy(), one, atol=1e-12)

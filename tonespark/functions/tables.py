@@ -29,6 +29,18 @@ def with_stats(df: DataFrame, keys: tuple, **stats: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), list(keys))
 
 
+def with_channel_values(df: DataFrame, values: dict, name: str, default) -> DataFrame:
+    """df with a value for each channel by its id: a literal for few channels, a joined table for many."""
+    if len(values) <= 16:
+        expr = F.lit(default)
+        for channel, value in values.items():
+            expr = F.when(F.col("channel_id") == channel, F.lit(value)).otherwise(expr)
+        return df.withColumn(name, expr)
+    table = df.sparkSession.createDataFrame(list(values.items()), ["channel_id", name])
+    joined = df.join(F.broadcast(table) if len(values) <= 100_000 else table, "channel_id", "left")
+    return joined.select(*df.columns, F.coalesce(name, F.lit(default)).alias(name))
+
+
 def blocks(df: DataFrame, size: int, before: int = 0, after: int = 0, value: str = "value") -> DataFrame:
     """Blocks of `size` consecutive samples with a halo: frame_id, channel_id, block, start, values (sorted by sample_idx)."""
     at = F.col("sample_idx")

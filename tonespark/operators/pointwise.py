@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import KEY, with_stats
+from ..functions.tables import KEY, with_channel_values, with_stats
 
 ALL = [*KEY, "sample_idx", "value"]
 OPERATIONS = {
@@ -49,10 +49,8 @@ def scale(df: DataFrame, factors: dict[str, float]) -> DataFrame:
     """Calibration: channels times their factors; nothing is done where all are 1."""
     if all(f == 1.0 for f in factors.values()):
         return df
-    expr = F.lit(1.0)
-    for c, f in factors.items():
-        expr = F.when(F.col("channel_id") == c, F.lit(float(f))).otherwise(expr)
-    return df.withColumn("value", F.col("value") * expr)
+    scaled = with_channel_values(df, {c: float(f) for c, f in factors.items()}, "_factor", 1.0)
+    return scaled.withColumn("value", F.col("value") * F.col("_factor")).drop("_factor")
 
 
 def with_scalar(df: DataFrame, op: str, scalar: float, reverse: bool = False) -> DataFrame:
@@ -62,16 +60,53 @@ def with_scalar(df: DataFrame, op: str, scalar: float, reverse: bool = False) ->
 
 def with_signal(left: DataFrame, right: DataFrame, op: str, pairs: dict[str, str] | None = None) -> DataFrame:
     """Sample by sample; channels pair by place (pairs: left id to right id). Both have equal shapes, which the caller checks."""
-    other = right.select("frame_id", F.col("channel_id").alias("_c"), "sample_idx", F.col("value").alias("_v"))
-    if pairs and any(k != v for k, v in pairs.items()):
-        expr = F.lit(None).cast("string")
-        for mine, theirs in pairs.items():
-            expr = F.when(F.col("_c") == theirs, F.lit(mine)).otherwise(expr)
-        other = other.withColumn("_c", expr)
-    joined = left.join(other.withColumnRenamed("_c", "channel_id"), [*KEY, "sample_idx"])
+    other = renamed(right, pairs).select(*KEY, "sample_idx", F.col("value").alias("_v"))
+    joined = left.join(other, [*KEY, "sample_idx"])
     return joined.select(*KEY, "sample_idx", OPERATIONS[op](F.col("value"), F.col("_v")).alias("value"))
 
 
+def renamed(df: DataFrame, pairs: dict[str, str] | None) -> DataFrame:
+    """df with the channel ids that pairs (new id to old id) give; other channels go."""
+    if not pairs or all(k == v for k, v in pairs.items()):
+        return df
+    named = with_channel_values(df, {old: new for new, old in pairs.items()}, "_new", None)
+    return named.where("_new IS NOT NULL").withColumn("channel_id", F.col("_new")).drop("_new")
+
+
+def _complex(op: str, a: tuple, b: tuple) -> tuple[Column, Column]:
+    (ar, ai), (br, bi) = a, b
+    if op in ("add", "sub"):
+        return OPERATIONS[op](ar, br), OPERATIONS[op](ai, bi)
+    if op == "mul":
+        return ar * br - ai * bi, ar * bi + ai * br
+    if op == "div":
+        size = br * br + bi * bi
+        return OPERATIONS["div"](ar * br + ai * bi, size), OPERATIONS["div"](ai * br - ar * bi, size)
+    # a ** b by logarithm; 0 ** b is 0, and 1 where b is 0
+    size, turn = F.sqrt(ar * ar + ai * ai), F.atan2(ai, ar)
+    log = F.log(F.when(size > 0, size))
+    grown, angle = F.exp(br * log - bi * turn), bi * log + br * turn
+    zero = F.when((br == 0) & (bi == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.coalesce(grown * F.cos(angle), zero), F.coalesce(grown * F.sin(angle), F.lit(0.0))
+
+
+def complex_scalar(df: DataFrame, op: str, scalar: complex, reverse: bool = False) -> DataFrame:
+    mine, other = (F.col("re"), F.col("im")), (F.lit(scalar.real), F.lit(scalar.imag))
+    re, im = _complex(op, *((other, mine) if reverse else (mine, other)))
+    return df.select(*[c for c in df.columns if c not in ("re", "im")], re.alias("re"), im.alias("im"))
+
+
+def with_spectrum(left: DataFrame, right: DataFrame, op: str, pairs: dict[str, str], index: list[str], parts: list[str]) -> DataFrame:
+    """Bin by bin; channels pair by place (pairs: left id to right id)."""
+    keys = [*KEY, *index]
+    other = renamed(right, pairs).select(*keys, *[F.col(p).alias(f"_{p}") for p in parts])
+    joined = left.join(other, keys)
+    if parts == ["value"]:
+        return joined.select(*left.columns[:-1], OPERATIONS[op](F.col("value"), F.col("_value")).alias("value"))
+    re, im = _complex(op, (F.col("re"), F.col("im")), (F.col("_re"), F.col("_im")))
+    return joined.select(*keys, re.alias("re"), im.alias("im"))
+
+
 def absolute(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.abs("value"))
 
@@ -87,11 +122,9 @@ def difference(df: DataFrame, reference: str) -> DataFrame:
 
 
 def concat(left: DataFrame, right: DataFrame, rename: dict[str, str]) -> DataFrame:
-    """Channels of both; right's get new ids."""
-    expr = F.col("channel_id")
-    for old, new in rename.items():
-        expr = F.when(F.col("channel_id") == old, F.lit(new)).otherwise(expr)
-    return left.select(*ALL).unionByName(right.select("frame_id", expr.alias("channel_id"), "sample_idx", "value"))
+    """Channels of both; right's get new ids (rename: old id to new id; others keep theirs)."""
+    named = with_channel_values(right, rename, "_new", None)
+    return left.select(*ALL).unionByName(named.select("frame_id", F.coalesce("_new", "channel_id").alias("channel_id"), "sample_idx", "value"))
 
 
 def mix(df: DataFrame, other: DataFrame, gain: Column | None = None, one_channel: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.levels import level_db, power_db
-from ..functions.tables import KEY, blocks, kept, unblock, with_stats
+from ..functions.tables import KEY, blocks, kept, unblock, with_channel_values, with_stats
 from ..functions.windows import tukey
 
 FAST, SLOW = 0.125, 1.0
@@ -40,14 +40,9 @@ def rms_trend(df: DataFrame, length: int = 2048, hop: int = 512, db: bool = Fals
     counts = df.groupBy(*KEY).agg((F.floor((F.max("sample_idx") + 1 + 2 * (length // 2) - length) / hop)).alias("_last"))
     every = counts.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("frame_idx"))
     rms = every.join(sums, [*KEY, "frame_idx"], "left").select(*KEY, F.col("frame_idx").alias("sample_idx"), F.sqrt(F.coalesce("_sq", F.lit(0.0)) / length).alias("value"))
-    return rms if not db else rms.withColumn("value", level_db(F.col("value"), _by_channel(refs)))
-
-
-def _by_channel(values: dict[str, float] | None):
-    expr = F.lit(1.0)
-    for c, v in (values or {}).items():
-        expr = F.when(F.col("channel_id") == c, F.lit(float(v))).otherwise(expr)
-    return expr
+    if not db:
+        return rms
+    return with_channel_values(rms, refs or {}, "_ref", 1.0).withColumn("value", level_db(F.col("value"), F.col("_ref"))).drop("_ref")
 
 
 def smooth_blocks(values: np.ndarray, alpha: float) -> np.ndarray:
@@ -91,7 +86,9 @@ def sound_level(df: DataFrame, rate: float, time_constant: float = FAST, db: boo
     joined = rest.join(states, [*KEY, "block"]).select(*KEY, "start", "state", F.posexplode("values").alias("_i", "_y"))
     mean_square = F.col("_y") + F.col("state") * F.pow(F.lit(alpha), F.col("_i") + 1)
     out = joined.select(*KEY, (F.col("start") + F.col("_i")).cast("long").alias("sample_idx"), F.greatest(mean_square, F.lit(0.0)).alias("value"))
-    return out.withColumn("value", power_db(F.col("value"), _by_channel(refs)) if db else F.sqrt("value"))
+    if not db:
+        return out.withColumn("value", F.sqrt("value"))
+    return with_channel_values(out, refs or {}, "_ref", 1.0).withColumn("value", power_db(F.col("value"), F.col("_ref"))).drop("_ref")
 
 
 def crossings(df: DataFrame, level: float, block: int = BLOCK) -> DataFrame:

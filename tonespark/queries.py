@@ -8,16 +8,19 @@ All have a nominal rate of 64 Hz.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import levels
-from .functions.kernels import butterworth
+from .functions.kernels import butterworth, butterworth_sections, extension, polyphase, weighting_sections
 from .functions.tables import KEY, number_rows
 from .functions.windows import tukey, window
+from .frame import Channel, Header
 from .operators import filters, pointwise, spectral, stats, windowed
+from .signal import Signal
 
 RATE = 64.0
 
@@ -40,6 +43,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.lit("li").alias("frame_id"), F.col("l_returnflag").alias("channel_id"), "sample_idx", F.col("l_quantity").alias("value"))
 
 
+def as_signal(df: DataFrame, rate: float = RATE) -> Signal:
+    """A signal of a table whose channels are labelled by their ids."""
+    ids = sorted(r[0] for r in df.select("channel_id").distinct().collect())
+    return Signal(df, Header("time", rate, tuple(Channel(i, i) for i in ids)))
+
+
 EV = "ev AS (SELECT 'events' AS frame_id, event_type AS channel_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS sample_idx, value FROM events)"
 EMB = "emb AS (SELECT 'emb' AS frame_id, CAST(vec_id AS VARCHAR) AS channel_id, t.i - 1 AS sample_idx, CAST(embedding[t.i] AS DOUBLE) AS value FROM embeddings, range(1, 65) t(i))"
 LI = "li AS (SELECT 'li' AS frame_id, l_returnflag AS channel_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS sample_idx, l_quantity AS value FROM lineitem)"
@@ -58,13 +67,13 @@ def rounded_sql(body: str, doubles: str, longs: str, strings: str, places: int =
     return f"{body} SELECT {', '.join(cols)} FROM result"
 
 
-def query(name: str, sql: str | None = None, doubles: str = "value", longs: str = "sample_idx", strings: str = "frame_id channel_id"):
+def query(name: str, sql: str | None = None, doubles: str = "value", longs: str = "sample_idx", strings: str = "frame_id channel_id", places: int = 6):
     """Register a query; sql is a WITH clause that ends in a table named result."""
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), places)
         if sql:
-            ORACLES[name] = rounded_sql(sql, doubles, longs, strings)
+            ORACLES[name] = rounded_sql(sql, doubles, longs, strings, places)
         return f
 
     return register
@@ -84,7 +93,7 @@ sample_query("scan_vectors", vectors, EMB, lambda s: s, "SELECT * FROM s")
 sample_query("scan_lineitem", items, LI, lambda s: s, "SELECT * FROM s")
 sample_query("channel_select", events, EV, lambda s: pointwise.select_channels(s, ["click", "view"]), "SELECT * FROM s WHERE channel_id IN ('click', 'view')")
 sample_query("remove_channel", events, EV, lambda s: pointwise.remove_channels(s, ["click"]), "SELECT * FROM s WHERE channel_id <> 'click'")
-sample_query("query_regex", events, EV, lambda s: s.where(F.col("channel_id").rlike("^[a-l]")), "SELECT * FROM s WHERE regexp_matches(channel_id, '^[a-l]')")
+sample_query("query_regex", events, EV, lambda s: as_signal(s).get_channel(re.compile("^[a-l]")).df, "SELECT * FROM s WHERE regexp_matches(channel_id, '^[a-l]')")
 sample_query("trim", events, EV, lambda s: pointwise.trim(s, int(1.5 * RATE), int(6.25 * RATE)), "SELECT frame_id, channel_id, sample_idx - 96 AS sample_idx, value FROM s WHERE sample_idx >= 96 AND sample_idx < 400")
 sample_query(
     "fix_length_cut", events, EV, lambda s: pointwise.fix_length(s, 100), "SELECT * FROM s WHERE sample_idx < 100"
@@ -318,7 +327,10 @@ query("transfer_gain_db", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, f
     lambda spark, sf_dir: spectral.transfer_function(_SHARED(spark, sf_dir), 64).where("out_ch <> in_ch").select("frame_id", "out_ch", "in_ch", "freq_idx", levels.unfloored_db(levels.magnitude(F.col("re"), F.col("im")), 20.0).alias("value"))
 )
 query("select_pair", f"{_CSD}, result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re, im FROM c WHERE out_ch = 'click' AND in_ch = 'view')", "re im", "freq_idx", _PAIRS)(
-    lambda spark, sf_dir: spectral.csd(_SHARED(spark, sf_dir), 64).where("out_ch = 'click' AND in_ch = 'view'")
+    lambda spark, sf_dir: as_signal(_SHARED(spark, sf_dir)).csd(64).select_pair("click", "view").df
+)
+query("select_pairs", f"{_CSD}, o AS (SELECT out_ch, in_ch, row_number() OVER (ORDER BY out_ch, in_ch) - 1 AS no FROM (SELECT DISTINCT out_ch, in_ch FROM c)), result AS (SELECT frame_id, out_ch, in_ch, freq_idx, re, im FROM c JOIN o USING (out_ch, in_ch) WHERE no IN (1, 3))", "re im", "freq_idx", _PAIRS)(
+    lambda spark, sf_dir: as_signal(_SHARED(spark, sf_dir)).csd(64).select_pairs([3, 1]).df
 )
 _BANDS = spectral.octave_bands(50, 3000)
 _EDGES = ", ".join(f"({r.band_idx}, {r.center!r}::DOUBLE, {r.low!r}::DOUBLE, {r.high!r}::DOUBLE)" for r in _BANDS.itertuples())
@@ -327,20 +339,105 @@ query(
     f"{_FFT}, b(band_idx, center, low, high) AS (VALUES {_EDGES}), result AS (SELECT {BY}, band_idx, center, sqrt(sum((re * re + im * im) / {_ONE})) AS value FROM x JOIN b ON freq_idx * 100.0::DOUBLE >= low AND freq_idx * 100.0::DOUBLE < high GROUP BY ALL)",
     "center value", "band_idx",
 )(lambda spark, sf_dir: spectral.noct_synthesis(spectral.fft(vectors(spark, sf_dir), 64), 6400.0, 64, _BANDS))
-# filters and rate changes: SQL has no such recursions; tests hold them against direct formulas
-query("low_pass")(lambda spark, sf_dir: filters.low_pass(events(spark, sf_dir), 8.0, RATE))
-query("high_pass")(lambda spark, sf_dir: filters.high_pass(events(spark, sf_dir), 8.0, RATE))
-query("band_pass")(lambda spark, sf_dir: filters.band_pass(events(spark, sf_dir), 4.0, 16.0, RATE))
-query("a_weighting")(lambda spark, sf_dir: filters.frequency_weighting(events(spark, sf_dir), 48_000.0))
-query("c_weighting")(lambda spark, sf_dir: filters.frequency_weighting(events(spark, sf_dir), 48_000.0, "C"))
-query("sound_level_a")(lambda spark, sf_dir: windowed.sound_level(filters.frequency_weighting(events(spark, sf_dir), 48_000.0), 48_000.0, windowed.SLOW, db=True))
-query("resample_up")(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 96.0))
-query("resample_down")(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 48.0))
+# signals with headers: calibration, slices, channels from arrays, spectra
+query("signal_calibrated", f"WITH {EV}, result AS (SELECT {ROW}, 2.0::DOUBLE * (value * CASE channel_id WHEN 'click' THEN 2.5::DOUBLE ELSE 1.0 END) + 1.0 AS value FROM ev)")(
+    lambda spark, sf_dir: (2.0 * as_signal(events(spark, sf_dir)).with_calibration({"click": 2.5}) + np.float64(1.0)).df
+)
+query("signal_slice", f"WITH {EV}, result AS (SELECT frame_id, channel_id, sample_idx - 10 AS sample_idx, value FROM ev WHERE channel_id IN ('click', 'view') AND sample_idx >= 10 AND sample_idx < 500)")(
+    lambda spark, sf_dir: as_signal(events(spark, sf_dir))[["view", "click"], 10:500].df
+)
+query("add_channel", f"WITH {EV}, result AS (SELECT * FROM ev UNION ALL SELECT 'events', 'c0', r.i, r.i * 0.5::DOUBLE FROM range(0, (SELECT max(sample_idx) + 1 FROM ev)) r(i))")(
+    lambda spark, sf_dir: (s := as_signal(events(spark, sf_dir))).add_channel(np.arange(s.n_samples()) * 0.5, "ramp").df
+)
+query("spectrum_arithmetic", f"{_FFT}, result AS (SELECT {BY}, freq_idx, re + (re - 2 * im) AS re, im + (im + 2 * re) AS im FROM x)", "re im", "freq_idx")(
+    lambda spark, sf_dir: ((x := as_signal(vectors(spark, sf_dir)).fft(64)) + x * (1 + 2j)).df
+)
+
+
+# filters and rate changes: recursions sample by sample, and sums over the taps of a low-pass
+def _recursion_sql(name: str, source: str, sos: np.ndarray, steady: bool = False) -> str:
+    """Tables {name}_l and {name} (frame_id, channel_id, i, y): second-order sections over source (frame_id, channel_id, i, x), one sample a step."""
+    first, level = [], 1.0
+    for b0, b1, b2, _, a1, a2 in sos:
+        gain = 0.0 if abs(b0 + b1 + b2) <= 1e-12 * max(abs(b0), abs(b1), abs(b2)) else (b0 + b1 + b2) / (1 + a1 + a2)
+        first += [(b1 + b2 - (a1 + a2) * gain) * level, (b2 - a2 * gain) * level]
+        level *= gain
+    d = lambda x: f"({float(x)!r}::DOUBLE)"
+    starts = ", ".join(f"{d(v if steady else 0.0)} * xs[1] AS s{k}" for k, v in enumerate(first))
+    body = f"SELECT r.*, list_extract(l.xs, r.i + 2) AS u0 FROM {name} r JOIN {name}_l l ON l.frame_id = r.frame_id AND l.channel_id = r.channel_id WHERE r.i + 2 <= len(l.xs)"
+    for k, row in enumerate(sos):
+        body = f"SELECT *, {d(row[0])} * u{k} + s{2 * k} AS u{k + 1} FROM ({body})"
+    states = ", ".join(f"{d(b1)} * u{k} - {d(a1)} * u{k + 1} + s{2 * k + 1}, {d(b2)} * u{k} - {d(a2)} * u{k + 1}" for k, (_, b1, b2, _, a1, a2) in enumerate(sos))
+    return f"""{name}_l AS (SELECT frame_id, channel_id, list(x ORDER BY i) AS xs FROM {source} GROUP BY ALL),
+    {name} AS (SELECT frame_id, channel_id, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS y, {starts} FROM {name}_l
+      UNION ALL SELECT frame_id, channel_id, i + 1, u{len(sos)}, {states} FROM ({body}))"""
+
+
+_X = "x AS (SELECT frame_id, channel_id, sample_idx AS i, value AS x FROM ev)"
+
+
+def _zero_phase_sql(sos: np.ndarray) -> str:
+    pad = extension(sos)
+    return f"""WITH RECURSIVE {EV}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n, arg_min(value, sample_idx) AS a, arg_max(value, sample_idx) AS z FROM ev GROUP BY ALL),
+    e AS (SELECT * FROM ev JOIN n USING ({BY})),
+    x AS (SELECT {BY}, sample_idx + {pad} AS i, value AS x FROM e UNION ALL SELECT {BY}, {pad} - sample_idx, 2 * a - value FROM e WHERE sample_idx BETWEEN 1 AND {pad}
+      UNION ALL SELECT {BY}, 2 * n - 2 - sample_idx + {pad}, 2 * z - value FROM e WHERE sample_idx BETWEEN n - 1 - {pad} AND n - 2),
+    {_recursion_sql("f", "x", sos, True)}, t AS (SELECT f.frame_id, f.channel_id, n + {2 * pad - 1} - i AS i, y AS x FROM f JOIN n USING ({BY}) WHERE i >= 0),
+    {_recursion_sql("g", "t", sos, True)}, result AS (SELECT g.frame_id, g.channel_id, n + {pad - 1} - i AS sample_idx, y AS value FROM g JOIN n USING ({BY}) WHERE i >= {pad} AND i < n + {pad})"""
+
+
+def _causal_sql(sos: np.ndarray) -> str:
+    return f"WITH RECURSIVE {EV}, {_X}, {_recursion_sql('f', 'x', sos)}"
+
+
+_RESULT = "result AS (SELECT frame_id, channel_id, i AS sample_idx, y AS value FROM f WHERE i >= 0)"
+_A48 = weighting_sections("A", 48_000.0)
+query("low_pass", _zero_phase_sql(butterworth_sections(4, "low", 8.0, RATE)))(lambda spark, sf_dir: filters.low_pass(events(spark, sf_dir), 8.0, RATE))
+query("high_pass", _zero_phase_sql(butterworth_sections(4, "high", 8.0, RATE)))(lambda spark, sf_dir: filters.high_pass(events(spark, sf_dir), 8.0, RATE))
+query("band_pass", _zero_phase_sql(butterworth_sections(4, "band", (4.0, 16.0), RATE)))(lambda spark, sf_dir: as_signal(events(spark, sf_dir)).band_pass_filter(4.0, 16.0).df)
+# poles next to the unit circle: rounding errors of the two ways of adding up reach the ninth place
+query("a_weighting", f"{_causal_sql(_A48)}, {_RESULT}", places=4)(lambda spark, sf_dir: as_signal(events(spark, sf_dir), 48_000.0).a_weighting().df)
+query("c_weighting", f"{_causal_sql(weighting_sections('C', 48_000.0))}, {_RESULT}", places=4)(lambda spark, sf_dir: filters.frequency_weighting(events(spark, sf_dir), 48_000.0, "C"))
+_SLOW = math.exp(-1 / (48_000.0 * windowed.SLOW))
+query(
+    "sound_level_a",
+    f"""{_causal_sql(_A48)}, q AS (SELECT {BY}, i, y * y AS x FROM f WHERE i >= 0), {_recursion_sql("g", "q", np.array([[1 - _SLOW, 0, 0, 1, -_SLOW, 0]]))},
+    result AS (SELECT {BY}, i AS sample_idx, 10 * log10(greatest(y, 1e-20::DOUBLE)) AS value FROM g WHERE i >= 0)""",
+    places=4,
+)(lambda spark, sf_dir: windowed.sound_level(filters.frequency_weighting(events(spark, sf_dir), 48_000.0), 48_000.0, windowed.SLOW, db=True))
+
+
+def _resample_sql(up: int, down: int) -> str:
+    taps, half = polyphase(up, down)
+    listed = "[" + ", ".join(repr(float(x)) for x in taps) + "]::DOUBLE[]"
+    return f"""WITH {EV}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM ev GROUP BY ALL),
+    j AS (SELECT {BY}, r.j FROM n, range(0, (SELECT max(n) FROM n) * {up} // {down} + 1) r(j) WHERE r.j * {down} < n * {up}),
+    t AS (SELECT {BY}, j, (j * {down} + {half}) // {up} - k.k AS sample_idx FROM j, range(0, {2 * half // up + 1}) k(k)),
+    result AS (SELECT t.frame_id, t.channel_id, t.j AS sample_idx, sum(value * list_extract({listed}, CAST(t.j * {down} - t.sample_idx * {up} + {half} + 1 AS BIGINT))) AS value
+      FROM t JOIN ev USING (frame_id, channel_id, sample_idx) WHERE t.j * {down} - sample_idx * {up} + {half} BETWEEN 0 AND {2 * half} GROUP BY t.frame_id, t.channel_id, t.j)"""
+
+
+query("resample_up", _resample_sql(3, 2))(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 96.0))
+query("resample_down", _resample_sql(3, 4))(lambda spark, sf_dir: as_signal(events(spark, sf_dir)).resampling(48.0).df)
 query("hpss_harmonic")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "harmonic", n_fft=64))
 query("hpss_percussive")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "percussive", n_fft=64))
-query("noct_spectrum")(lambda spark, sf_dir: filters.noct_spectrum(events(spark, sf_dir), RATE, spectral.octave_bands(2, 20, 1)))
-query("cepstrogram")(lambda spark, sf_dir: spectral.cepstrogram(spectral.stft(events(spark, sf_dir), None, 64, 16), 64))
-query("unwrapped_phase")(lambda spark, sf_dir: spectral.unwrapped_phase(spectral.fft(vectors(spark, sf_dir), 64)))
+_OCTAVES = spectral.octave_bands(2, 20, 1)
+_BAND_SQL = ", ".join(_recursion_sql(f"f{b.band_idx}", "x", butterworth_sections(3, "band", (b.low, b.high), RATE)) for b in _OCTAVES.itertuples())
+_BAND_RMS = " UNION ALL ".join(f"SELECT {BY}, {b.band_idx} AS band_idx, {b.center!r}::DOUBLE AS center, sqrt(avg(y * y)) AS value FROM f{b.band_idx} WHERE i >= 0 GROUP BY ALL" for b in _OCTAVES.itertuples())
+query("noct_spectrum", f"WITH RECURSIVE {EV}, {_X}, {_BAND_SQL}, result AS ({_BAND_RMS})", "center value", "band_idx")(lambda spark, sf_dir: filters.noct_spectrum(events(spark, sf_dir), RATE, _OCTAVES))
+query(
+    "cepstrogram",
+    f"""{_SLICES}, l AS (SELECT {BY}, frame_idx, freq_idx, ln(greatest(sqrt(re * re + im * im) * {_ONE} / 32, 1e-12::DOUBLE)) AS v FROM f),
+    result AS (SELECT {BY}, frame_idx, q.q AS quef_idx, sum(v * {_ONE} * cos(2 * pi() * ((freq_idx * q.q) % 64) / 64)) / 64 AS value FROM l, range(0, 64) q(q) GROUP BY {BY}, frame_idx, q.q)""",
+    longs="frame_idx quef_idx",
+)(lambda spark, sf_dir: spectral.cepstrogram(spectral.stft(events(spark, sf_dir), None, 64, 16), 64))
+query(
+    "unwrapped_phase",
+    f"""{_FFT}, p AS (SELECT {BY}, freq_idx, atan2(CASE WHEN freq_idx IN (0, 32) THEN 0.0 ELSE im END, re) AS p FROM x),
+    d AS (SELECT *, p - lag(p) OVER (PARTITION BY {BY} ORDER BY freq_idx) AS d FROM p),
+    result AS (SELECT {BY}, freq_idx, p - 2 * pi() * sum(coalesce(round(d / (2 * pi())), 0)) OVER (PARTITION BY {BY} ORDER BY freq_idx) AS value FROM d)""",
+    longs="freq_idx",
+)(lambda spark, sf_dir: as_signal(vectors(spark, sf_dir)).fft(64).unwrapped_phase())
 _B, _A = ([float(c) for c in x] for x in butterworth(1, "low", 8.0, RATE))
 query(
     "first_order_filter",

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import Channel, Header, LevelReference, Step, check_rate
-from .functions import levels
-from .functions.tables import KEY
+from .functions import levels, windows
+from .functions.tables import KEY, with_channel_values
 from .operators import filters, pointwise, spectral, stats, windowed
 from .plans.registry import REGISTRY, operation
 
@@ -33,6 +33,30 @@ COMPLEX = {"spectrum", "stft", "csd", "transfer"}
 PAIRS = {"csd", "coherence", "transfer"}
 
 
+@dataclass(frozen=True)
+class Pair:
+    """Output and input of a pairwise spectrum, with what its values' unit and reference follow from."""
+
+    output: Channel
+    input: Channel
+    kind: str
+    scaling: str | None = None
+
+    @property
+    def unit(self) -> str:
+        if self.kind == "coherence":
+            return "1"
+        if self.kind == "transfer":
+            return f"{self.output.unit}/{self.input.unit}" if self.input.unit else self.output.unit
+        names = [u for u in (self.input.unit, self.output.unit) if u]
+        base = f"{names[0]}^2" if len(names) == 2 and names[0] == names[1] else "*".join(names)
+        return f"{base}/Hz" if self.scaling == "density" else base
+
+    @property
+    def ref(self) -> float:
+        return 1.0 if self.kind == "coherence" else self.output.ref / self.input.ref if self.kind == "transfer" else self.input.ref * self.output.ref
+
+
 class Signal:
     """df: frame_id, channel_id (or out_ch, in_ch), the kind's indices, and value (or re, im)."""
 
@@ -70,7 +94,8 @@ class Signal:
     def n_samples(self) -> int:
         """Samples of the longest channel; counted once where it is not known."""
         if self._n is None:
-            self._n = (self.df.agg(F.max("sample_idx")).first()[0] or -1) + 1 if self.kind == "time" else 0
+            last = self.df.agg(F.max("sample_idx")).first()[0] if self.kind == "time" else None
+            self._n = 0 if last is None else last + 1
         return self._n
 
     def duration(self) -> float:
@@ -79,6 +104,15 @@ class Signal:
     def info(self) -> str:
         return f"{self.kind} signal {self.header.label!r}: {self.n_channels} channels at {self.rate:g} Hz; {' > '.join(self.operation_history) or 'as read'}"
 
+    def debug_info(self) -> str:
+        """info() with a line for each channel and the plan's output columns."""
+        lines = [f"  {c.id}: {c.label!r} {c.unit or '-'} ref {c.ref:g} factor {c.factor:g} offset {c.offset:g} s {c.extra or ''}".rstrip() for c in self.channels]
+        return "\n".join([self.info(), *lines, "  " + ", ".join(f"{n} {t}" for n, t in self.df.dtypes), f"  params {self.header.params} metadata {self.header.metadata}"])
+
+    def print_operation_history(self) -> None:
+        for i, name in enumerate(self.operation_history, 1):
+            print(f"{i}. {name}")
+
     def with_axis(self) -> DataFrame:
         """df with the physical axis: time_s, freq_hz or quefrency_s."""
         axis = {
@@ -98,6 +132,7 @@ class Signal:
         return Signal(df, replace(self.header, lineage=step, **changes), self, n)
 
     def _calibrated(self) -> DataFrame:
+        self._need("time")
         return pointwise.scale(self.df, {c.id: c.factor for c in self.channels})
 
     def _unit_factors(self, label: str | None = None) -> tuple[Channel, ...]:
@@ -151,7 +186,9 @@ class Signal:
             if not isinstance(part, slice) or part.step not in (None, 1):
                 raise ValueError("time is cut by slices of step 1")
             first, end, _ = part.indices(self.n_samples())
-            return out._cut(first, max(first, end))
+            return out.cut_samples(first, max(first, end))
+        if isinstance(key, slice):  # saved plans know ids, not slices
+            return self if key == slice(None) else self.get_channel(self.channel_ids(key))
         return self.get_channel(key)
 
     @operation("remove_channel")
@@ -159,9 +196,11 @@ class Signal:
         ids = self.channel_ids(query)
         return self._new(pointwise.remove_channels(self.df, ids), "remove_channel", {"query": query if isinstance(query, (int, str, list)) else ids}, n=self._n, channels=tuple(c for c in self.channels if c.id not in ids))
 
+    @operation("rename_channels")
     def rename_channels(self, mapping: dict) -> Signal:
         new = list(self.channels)
         for old, label in mapping.items():
+            old = int(old) if isinstance(old, str) and old.isdigit() and old not in self.labels else old  # a saved plan has texts as keys
             if isinstance(old, int) and old < 0:
                 raise ValueError("channels are numbered from 0")
             k = old if isinstance(old, int) else self.labels.index(old)
@@ -194,6 +233,7 @@ class Signal:
         got = stats.derived_factors(self._calibrated(), {c.id: c.factor for c in channels}, target_rms, target_level, {c.id: c.ref for c in channels})
         return Signal(self.df, replace(self.header, channels=tuple(replace(c, factor=got[c.id]) for c in channels)), self.previous, self._n)
 
+    @operation("astype")
     def astype(self, dtype: str) -> Signal:
         if dtype not in {"float32": 1, "float64": 1}:
             raise ValueError("real signals become float32 or float64")
@@ -201,6 +241,12 @@ class Signal:
 
     # ---- time domain ---------------------------------------------------------
 
+    @operation("cut_samples")
+    def cut_samples(self, first: int, end: int) -> Signal:
+        """Samples first to end: what a slice of time becomes."""
+        self._need("time")
+        return self._cut(first, end)
+
     def _cut(self, first: int, end: int) -> Signal:
         moved = tuple(replace(c, offset=c.offset + first / self.rate) for c in self.channels)
         return self._new(pointwise.trim(self.df, first, end), "trim", {"first": first, "end": end}, n=None if self._n is None else max(0, min(end, self._n) - first), channels=moved)
@@ -222,9 +268,18 @@ class Signal:
 
     def _arith(self, other, op: str, reverse: bool = False) -> Signal:
         sign = {"add": "+", "sub": "-", "mul": "*", "div": "/", "pow": "**"}[op]
-        if isinstance(other, bool):
+        if isinstance(other, (bool, np.bool_)):
             raise TypeError("truth values are no operands")
-        if isinstance(other, (int, float)):
+        if isinstance(other, np.ndarray):
+            if reverse:
+                return NotImplemented
+            self._need("time")
+            wide = np.broadcast_to(np.asarray(other, float), (self.n_channels, self.n_samples()))
+            other = from_numpy(self.df.sparkSession, wide, self.rate, frame_id=self._one_frame())
+        if self.kind != "time":
+            return self._spectral_arith(other, op, reverse, sign)
+        if isinstance(other, (int, float, np.integer, np.floating)):
+            other = other.item() if isinstance(other, np.generic) else other
             df = pointwise.with_scalar(self._calibrated(), op, float(other), reverse)
             label = (lambda x: f"({other} {sign} {x})") if reverse else (lambda x: f"({x} {sign} {other})")
             return self._pointwise(df, op, {"scalar": other, "reverse": reverse}, channels=tuple(replace(c, factor=1.0, label=label(c.label)) for c in self.channels))
@@ -236,6 +291,37 @@ class Signal:
         channels = tuple(replace(a, factor=1.0, label=f"({a.label} {sign} {b.label})") for a, b in zip(self.channels, other.channels))
         return self._new(df, op, {}, (other,), n=self._n, channels=channels)
 
+    def _one_frame(self) -> str:
+        """The only recording's frame_id, which an array is joined to."""
+        ids = [r[0] for r in self.df.select("frame_id").distinct().limit(2).collect()]
+        if len(ids) != 1:
+            raise ValueError("an array joins one recording")
+        return ids[0]
+
+    def _spectral_arith(self, other, op: str, reverse: bool, sign: str) -> Signal:
+        """Arithmetic of spectra: bins join on the kind's indices; both need the same axis, window and channels."""
+        if self.kind in PAIRS or self.kind == "bands":
+            raise ValueError(f"signals of kind {self.kind} have no arithmetic")
+        parts = ["re", "im"] if self.kind in COMPLEX else ["value"]
+        number = isinstance(other, (int, float, complex, np.number))
+        if number:
+            z = complex(other)
+            if z.imag and self.kind not in COMPLEX:
+                raise ValueError(f"signals of kind {self.kind} are real")
+            df = pointwise.complex_scalar(self.df, op, z, reverse) if self.kind in COMPLEX else pointwise.with_scalar(self.df, op, z.real, reverse)
+            label = (lambda x: f"({other} {sign} {x})") if reverse else (lambda x: f"({x} {sign} {other})")
+            return self._new(df, op, {"scalar": other, "reverse": reverse}, n=self._n, channels=tuple(replace(c, label=label(c.label)) for c in self.channels))
+        if not isinstance(other, Signal):
+            return NotImplemented
+        same = ("kind", "rate", "n_channels")
+        if any(getattr(self, k) != getattr(other, k) for k in same) or self.header.params != other.header.params:
+            raise ValueError("both signals have the same kind, rate, channels, axis and window")
+        df = pointwise.with_spectrum(self.df, other.df, op, {a.id: b.id for a, b in zip(self.channels, other.channels)}, INDEX[self.kind], parts)
+        return self._new(df, op, {}, (other,), n=self._n, channels=tuple(replace(a, label=f"({a.label} {sign} {b.label})") for a, b in zip(self.channels, other.channels)))
+
+    #: NumPy leaves operators with a signal on the right to the signal.
+    __array_ufunc__ = None
+
     def __add__(self, o):
         return self._arith(o, "add")
 
@@ -326,12 +412,33 @@ class Signal:
             new.append(replace(c, id=new_id, label=label))
         return self._new(pointwise.concat(self.df, other.df, rename), "concat_frame", {}, (other,), n=self._n, channels=(*self.channels, *new))
 
+    def add_channel(self, data: np.ndarray, label: str | None = None, align: str = "strict", suffix_on_dup: str | None = None, source_time_offset: float | list | None = None) -> Signal:
+        """One more channel from an array on the driver: (samples,) or (1, samples). align "pad" adds zeros to a shorter one, "truncate" cuts a longer one."""
+        self._need("time")
+        if not isinstance(data, np.ndarray):
+            raise TypeError("a channel is added from an array; concat_frame() takes signals")
+        if data.ndim != 1 and not (data.ndim == 2 and len(data) == 1):
+            raise ValueError("one channel is (samples,) or (1, samples)")
+        values, n = np.asarray(data, float).reshape(-1), self.n_samples()
+        if align not in ("strict", "pad", "truncate") or (align == "strict" and len(values) != n) or (align == "pad" and len(values) > n) or (align == "truncate" and len(values) < n):
+            raise ValueError(f"lengths {n} and {len(values)} do not align as {align!r}")
+        values = np.pad(values[:n], (0, n - len(values[:n])))
+        new_label = label or f"ch{self.n_channels}"
+        if new_label in self.labels:
+            if not suffix_on_dup:
+                raise ValueError(f"label {new_label!r} is taken")
+            new_label += suffix_on_dup
+        offset = float(np.asarray(0.0 if source_time_offset is None else source_time_offset, float).reshape(-1)[0])
+        one = from_numpy(self.df.sparkSession, values, self.rate, channel_labels=[new_label], frame_id=self._one_frame())
+        out = self.concat_frame(Signal(one.df, replace(one.header, channels=(replace(one.channels[0], offset=offset),)), n=n))
+        return Signal(out.df, replace(out.header, lineage=Step("add_channel", {"label": new_label}, (self.header.lineage or self.header.label or "input", "array"))), self, n)
+
     def mix(self, other: Signal, align: str = "strict", snr_db: float | None = None) -> Signal:
         """Add other; align "pad" takes a shorter, "truncate" a longer one."""
         if self.rate != other.rate or other.n_channels not in (1, self.n_channels):
             raise ValueError("rates are equal, and channels are as many or one")
         mine, theirs = self.n_samples(), other.n_samples()
-        if align not in ("strict", "pad", "truncate") or (align == "strict" and mine != theirs) or (align == "pad" and theirs > mine) or (align == "truncate" and theirs < mine):
+        if align not in ("strict", "pad", "truncate") or (align == "strict" and mine != theirs) or (align == "pad" and theirs >= mine) or (align == "truncate" and theirs <= mine):
             raise ValueError(f"lengths {mine} and {theirs} do not align as {align!r}")
         side = other._calibrated()
         if other.n_channels == 1:
@@ -455,10 +562,54 @@ class Signal:
         self._need("time")
         return self._spectral(spectral.transfer_function(self._calibrated(), n_fft, hop_length, win_length, window, detrend, scaling, average, self.rate), "transfer_function", "transfer", n_fft=n_fft, hop=hop_length, win_length=win_length, window=window, scaling=scaling)
 
-    def select_pair(self, output, input) -> DataFrame:  # noqa: A002
+    # ---- pairs: rows are output-major over the source channels, or as selected ----
+
+    @property
+    def pairs(self) -> list[Pair]:
         self._need(*PAIRS)
-        out, inp = self.channel_ids(output)[0], self.channel_ids(input)[0]
-        return self.df.where((F.col("out_ch") == out) & (F.col("in_ch") == inp))
+        by = {c.id: c for c in self.channels}
+        ids = self.header.params.get("pairs") or [(o.id, i.id) for o in self.channels for i in self.channels]
+        return [Pair(by[o], by[i], self.kind, self.header.params.get("scaling")) for o, i in ids]
+
+    def pair_at(self, row: int) -> Pair:
+        """The pair of a row; its channels are known by id, not by label."""
+        if isinstance(row, bool) or not isinstance(row, (int, np.integer)):
+            raise TypeError("a row is a whole number")
+        return self.pairs[int(row)]
+
+    get_pair = pair_at
+
+    def _source(self, which) -> str:
+        if isinstance(which, bool) or not isinstance(which, (int, np.integer, str)):
+            raise TypeError("a source channel is a number or an id")
+        if isinstance(which, str):
+            if which not in {c.id for c in self.channels}:
+                raise KeyError(f"no source channel {which!r}; labels are no identity here")
+            return which
+        return self.channels[int(which)].id
+
+    def pair_row_index(self, output, input) -> int:  # noqa: A002
+        wanted = (self._source(output), self._source(input))
+        rows = [(p.output.id, p.input.id) for p in self.pairs]
+        if wanted not in rows:
+            raise KeyError(f"pair {wanted} is not selected")
+        return rows.index(wanted)
+
+    @operation("select_pair")
+    def select_pair(self, output, input) -> Signal:  # noqa: A002
+        return self.select_pairs([self.pair_row_index(output, input)])
+
+    def select_pairs(self, rows: list[int]) -> Signal:
+        """The pairs of some rows, in that order."""
+        if isinstance(rows, (str, bytes)) or not len(rows):
+            raise ValueError("name one row at least, in a sequence")
+        chosen = [self.pair_at(r) for r in rows]
+        ids = [(p.output.id, p.input.id) for p in chosen]
+        if len(set(ids)) != len(ids):
+            raise ValueError("select a pair once")
+        listed = self.df.sparkSession.createDataFrame(ids, "out_ch string, in_ch string")
+        df = self.df.join(F.broadcast(listed) if len(ids) <= 100_000 else listed, ["out_ch", "in_ch"], "left_semi")
+        return self._new(df.select(self.df.columns), "select_pairs", {"rows": list(map(int, rows))}, params={**self.header.params, "pairs": ids})
 
     @operation("cepstrum")
     def cepstrum(self, n_fft: int | None = None, window: str = "hann", floor: float = 1e-12) -> Signal:
@@ -493,6 +644,7 @@ class Signal:
             raise ValueError("band synthesis needs a rate of 48000 Hz")
         return self._spectral(spectral.noct_synthesis(self.df, self.rate, self.header.params["n_fft"], spectral.octave_bands(fmin, fmax, n, G, fr)), "noct_synthesis", "bands", fmin=fmin, fmax=fmax, n=n, G=G, fr=fr)
 
+    @operation("get_frame_at")
     def get_frame_at(self, frame_idx: int) -> Signal:
         self._need("stft", "magnitude")
         return self._new(spectral.frame_at(self.df, frame_idx), "get_frame_at", {"frame_idx": frame_idx}, kind="spectrum" if self.kind == "stft" else "amplitude")
@@ -504,17 +656,18 @@ class Signal:
     def view(self, name: str) -> DataFrame:
         """magnitude, phase, power, dB or dBA of a spectrum, as value."""
         re, im = (F.col("re"), F.col("im")) if self.kind in COMPLEX else (F.col("value"), F.lit(0.0))
-        size = levels.magnitude(re, im)
-        ref = F.lit(1.0)
-        for c in self.channels if self.kind not in PAIRS else ():
-            ref = F.when(F.col("channel_id") == c.id, F.lit(c.ref)).otherwise(ref)
+        size, df = levels.magnitude(re, im), self.df
+        ref: Column | float = 1.0
+        if self.kind not in PAIRS and any(c.ref != 1.0 for c in self.channels):
+            df = with_channel_values(df, {c.id: c.ref for c in self.channels}, "_ref", 1.0)
+            ref = F.col("_ref")
         db = levels.level_db(size, ref)
-        freq = F.col("freq_idx") * F.lit(self.rate / self.header.params.get("n_fft", 1)) if "freq_idx" in self.df.columns else None
+        freq = F.col("freq_idx") * F.lit(self.rate / self.header.params.get("n_fft", 1)) if "freq_idx" in self.df.columns else F.col("center") if self.kind == "bands" else None
         if name == "dBA" and (self.kind in PAIRS or freq is None):
             raise ValueError("no A-weighted view of this kind")
         value: Column = {"magnitude": lambda: size, "phase": lambda: levels.phase(re, im), "power": lambda: size * size, "dB": lambda: db, "dBA": lambda: db + levels.a_weighting_db(freq)}[name]()
         keep = [c for c in self.df.columns if c not in ("re", "im", "value")]
-        return self.df.select(*keep, value.alias("value"))
+        return df.select(*keep, value.alias("value"))
 
     # ---- hand-offs --------------------------------------------------------------
 
@@ -580,4 +733,21 @@ def generate_sin(spark: SparkSession, freqs: float | list[float] = 1000.0, sampl
     return Signal(df, Header("time", check_rate(sampling_rate), tuple(Channel(f"c{i}", f"Channel {i + 1}") for i in range(len(freqs))), {}, label), n=n)
 
 
-__all__ = ["Signal", "from_numpy", "generate_sin", "REGISTRY"]
+def spectrogram_from_numpy(spark: SparkSession, data: np.ndarray, rate: float, n_fft: int, hop_length: int, win_length: int | None = None, window: str = "hann", label: str = "", channel_labels: list[str] | None = None, frame_id: str = "frame") -> Signal:
+    """A short-time spectrum of a complex array on the driver: bins by frames, or channels by bins by frames. The length that istft() gives back is what its slices cover."""
+    data = np.asarray(data, complex)
+    data = data[None] if data.ndim == 2 else data
+    if data.ndim != 3 or data.shape[1] != n_fft // 2 + 1:
+        raise ValueError(f"a spectrogram has {n_fft // 2 + 1} bins and one or many channels")
+    labels = channel_labels or [f"ch{i}" for i in range(len(data))]
+    channels = tuple(Channel(f"c{i}", n) for i, n in enumerate(labels))
+    rows = [(frame_id, c.id, t, z[:, t].real.tolist(), z[:, t].imag.tolist()) for c, z in zip(channels, data, strict=True) for t in range(z.shape[1])]
+    arrays = spark.createDataFrame(rows, "frame_id string, channel_id string, frame_idx int, re array<double>, im array<double>")
+    win, w = win_length or n_fft, windows.window(window, win_length or n_fft)
+    low, _ = spectral.stft_span(0, w, hop_length)
+    length = max(0, (data.shape[2] - 1 + low) * hop_length + 1)
+    params = {"n_fft": n_fft, "hop": hop_length, "win_length": win, "window": window, "length": length}
+    return Signal(spectral._exploded(arrays, [*KEY, "frame_idx"], "freq_idx"), Header("stft", check_rate(rate), channels, params, label), n=length)
+
+
+__all__ = ["Pair", "Signal", "spectrogram_from_numpy", "from_numpy", "generate_sin", "REGISTRY"]

@@ -154,14 +154,22 @@ read_wav = read_audio
 
 
 def path_metadata(files: DataFrame, root: str) -> DataFrame:
-    """files with meta: k=v folders below root, or partition_0, partition_1, ..., and the file's name."""
+    """files with meta, from each folder below root: k=v, or else partition_0, partition_1, ... by its place; and the file's name.
+
+    The key `name`, keys like those made here, and keys that come twice in a path
+    are refused when the files are looked at.
+    """
     base = F.lit(re.sub(r"^\w+:", "", root).strip("/"))
     rest = F.regexp_replace(F.regexp_replace("path", r"^(\w+:)?/*", ""), F.concat(F.lit("^"), F.regexp_replace(base, r"([.+*?^$()\[\]{}|\\])", r"\\$1"), F.lit("/?")), F.lit(""))
     parts = F.split(rest, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    named = F.forall(folders, lambda p: p.contains("="))
-    pairs = F.transform(folders, lambda p, i: F.struct(F.when(named, F.split(p, "=", 2)[0]).otherwise(F.concat(F.lit("partition_"), i.cast("string"))).alias("k"), F.when(named, F.split(p, "=", 2)[1]).otherwise(p).alias("v")))
-    return files.withColumn("name", F.element_at(parts, -1)).withColumn("meta", F.map_from_entries(pairs))
+    named = lambda p: F.instr(p, "=") > 1
+    own = F.transform(F.filter(folders, named), lambda p: F.split(p, "=", 2)[0])
+    pairs = F.transform(folders, lambda p, i: F.struct(F.when(named(p), F.split(p, "=", 2)[0]).otherwise(F.concat(F.lit("partition_"), i.cast("string"))).alias("k"), F.when(named(p), F.split(p, "=", 2)[1]).otherwise(p).alias("v")))
+    refuse = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("path"))).cast("map<string,string>")
+    meta = F.when(F.array_contains(own, "name"), refuse("the key name is reserved")).when(F.exists(own, lambda k: k.rlike("^partition_[0-9]+$")), refuse("a key is like those of plain folders"))
+    meta = meta.when(F.size(own) > F.size(F.array_distinct(own)), refuse("a key comes twice")).otherwise(F.map_from_entries(pairs))
+    return files.withColumn("name", F.element_at(parts, -1)).withColumn("meta", meta)
 
 
 class Recordings:
@@ -187,7 +195,7 @@ class Recordings:
     def sample(self, n: int | None = None, ratio: float | None = None, seed: int | None = None) -> Recordings:
         """n files, or a share (a tenth up to ten by default), by a seed over the ordered paths."""
         paths = self.paths()
-        n = min(len(paths), n if n is not None else max(1, int(len(paths) * ratio)) if ratio is not None else max(1, min(10, int(len(paths) * 0.1)))) if paths else 0
+        n = min(len(paths), max(1, n) if n is not None else max(1, int(len(paths) * ratio)) if ratio is not None else max(1, min(10, int(len(paths) * 0.1)))) if paths else 0
         kept = [paths[i] for i in sorted(random.Random(seed).sample(range(len(paths)), n))]
         return Recordings(self.files.where(F.col("path").isin(kept)), self.rate, self.steps)
 
@@ -233,6 +241,10 @@ class Recordings:
             out = step(out)
         return out
 
+    def metadata_table(self) -> DataFrame:
+        """frame_id, name and meta of each recording, to join to what was read and to group by."""
+        return self.files.select(F.col("path").alias("frame_id"), "name", *(["meta"] if "meta" in self.files.columns else []))
+
 
 def _probe_all(files: DataFrame) -> DataFrame:
     def run(frames):
