@@ -198,7 +198,6 @@ def place(table: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Encode and cut: doc_id, piece, start, length, ids (binary, little-endian u32), and each piece's rank among those of its length in its task."""
-    common.small_batches(docs.sparkSession)
 
     def cut(batch_iter):
         coder, seen = encoder(tokenizer), {}
@@ -236,15 +235,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     are the end id alone; repeated rows are packed as often as they come; an
     empty table gives no rows; other columns of docs are ignored.
     """
-    stored = common.stored(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), capacity, end_id), "pieces")
+    cut = pieces(docs, tokenizer or public_path("word_bpe_49k.json"), capacity, end_id)
+    # content is worked out before anything is written: ids that it replaces never reach a disk
+    narrow = cut.select("doc_id", "piece", "start", "length", "local_rank", "task", F.col("ids") if content is None else content)
+    with common.small_batches(docs.sparkSession):
+        stored = common.stored(narrow, "pieces")
     counts = stored.groupBy("length", "task").agg(F.count(F.lit(1)).alias("_n"))
     by_length = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
     table = runs_table(solve(by_length, capacity))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(F.col("length").alias("_l"), F.col("task").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    narrow = stored.select("doc_id", "piece", "start", "length", "local_rank", "task", F.col("ids") if content is None else content)
-    held = narrow.columns[-1]
-    ranked = narrow.join(base, (F.col("length") == F.col("_l")) & (F.col("task") == F.col("_t"))).withColumn("_rank", F.col("_base") + F.col("local_rank"))
+    held = stored.columns[-1]
+    ranked = stored.join(base, (F.col("length") == F.col("_l")) & (F.col("task") == F.col("_t"))).withColumn("_rank", F.col("_base") + F.col("local_rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def places(length, rank):
