@@ -3,12 +3,15 @@
 Two bigram models over one vocabulary, that of a public tokenizer, differ only
 in what they count: documents of the target, or all documents. Both are
 smoothed alike. A document's score is its loss a token under the target's model
-less that under the background's: the lower, the more it is like the target.
+less that under the background's: the lower, the more it is like the target. A
+document is judged by what the others hold: its own counts are left out.
 
 All bigrams of all documents are counted, so the models grow with the corpus and
 no executor holds one whole. Documents are taken in chunks; a chunk sends its
-distinct bigrams with their counts, each bigram's counts are summed over chunks,
-and a chunk gets back the sums of its own bigrams. Only what the vocabulary
+distinct bigrams with their counts, each bigram's counts are summed over chunks
+(partly before they are shuffled), and a chunk gets back the sums of its own
+bigrams by a join whose sides stand alone, so that a bigram of all chunks can be
+split among tasks. Only what the vocabulary
 bounds, the counts of single tokens, is sent to all.
 """
 
@@ -19,18 +22,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import bytewords, common
 from .encoding import encoder, public_path
 
 #: Tokens of a chunk: what one group holds in memory. A longer document is a chunk of its own.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 2_400_000
+#: Tokens that are scored at a time.
+SLICE_TOKENS = 200_000
 #: Smoothing: a bigram's estimate counts MASS tokens of the single-token estimate, and that counts ADD of each token.
 MASS, ADD = 20.0, 0.5
 #: Target ids that are sent to every executor at most; more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-CHUNK = "chunk long, key long, target int, background int, doc_ids binary, has_id binary, lengths binary, ids binary"
+CHUNK = "chunk long, key long, target int, background int, doc_ids binary, has_id binary, is_target binary, lengths binary, ids binary"
 
 
 def bigrams(ids: np.ndarray, lengths: np.ndarray, vocab: int) -> np.ndarray:
@@ -44,7 +48,6 @@ def bigrams(ids: np.ndarray, lengths: np.ndarray, vocab: int) -> np.ndarray:
 
 def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs (doc_id, text, is_target) as chunks: a row with its ids, and a row for each of its distinct bigrams with counts in target documents and in all."""
-    common.small_batches(docs.sparkSession)
 
     def rows(batch_iter):
         coder, task, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -66,9 +69,9 @@ def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
             for at in range(0, n, 50_000):
                 part = slice(at, min(at + 50_000, n))
                 size = part.stop - at
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(key[part]), pa.array(counts[0][part]), pa.array(counts[1][part]), *[none.slice(0, size)] * 4], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(key[part]), pa.array(counts[0][part]), pa.array(counts[1][part]), *[none.slice(0, size)] * 5], names)
             blob = [
-                np.array([d or 0 for d in doc_ids], np.int64).tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), lengths.astype(np.int64).tobytes(), ids.astype(np.uint32 if coder.vocab_size > 1 << 16 else np.uint16).tobytes(),
+                np.array([d or 0 for d in doc_ids], np.int64).tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), target.astype(np.uint8).tobytes(), lengths.astype(np.int64).tobytes(), ids.astype(np.uint32 if coder.vocab_size > 1 << 16 else np.uint16).tobytes(),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), *(pa.array([b], pa.binary()) for b in blob)], names)
 
@@ -83,6 +86,8 @@ def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
                 tokens += len(ids)
         if held:
             yield from flush()
+            held = []
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "is_target").mapInArrow(rows, CHUNK)
 
@@ -97,53 +102,75 @@ def single_counts(grams: DataFrame, vocab: int) -> np.ndarray:
     return out
 
 
-def log_chances(pair: np.ndarray, before: np.ndarray, token: np.ndarray, singles: np.ndarray, contexts: np.ndarray, vocab: int) -> np.ndarray:
-    """Log chance of tokens after `before`, from pair counts and the two tables of single counts."""
-    alone = (singles[token] + ADD) / (singles.sum() + ADD * vocab)
-    return np.log((pair + MASS * alone) / (contexts[before] + MASS))
+def log_chances(pair, token, context, total, vocab: int) -> np.ndarray:
+    """Log chance of tokens from the counts of the pair, of the token, of the token before it as a context, and of all tokens."""
+    return np.log((pair + MASS * (token + ADD) / (total + ADD * vocab)) / (context + MASS))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def own_counts(owner: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """For each token how often its document has its value (0 to most)."""
+    _, which, count = np.unique(owner * (most + 1) + value, return_inverse=True, return_counts=True)
+    return count[which]
+
+
+def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str | None = None, leave_one_out: bool = True) -> DataFrame:
     """Score docs (doc_id, text) against those of them that target_ids (doc_id) names.
 
     Result, a row for each row of docs: doc_id, n_tokens, target_loss and
-    background_loss (nats a token), difference (the first less the second). Texts
-    without tokens (null, empty) have losses of 0. Repeated rows count and score as
-    often as they come; rows without doc_id are never targets; an empty table gives
-    no rows; other columns are ignored.
+    background_loss (nats a token), difference (the first less the second). With
+    leave_one_out a row's own counts are taken out of both models before it is
+    scored. Texts without tokens (null, empty) have losses of 0. Repeated rows
+    count and score as often as they come, so each is scored by the others; rows
+    without doc_id are never targets; an empty table gives no rows; other columns
+    are ignored. The result is stored.
     """
     spark, path = docs.sparkSession, tokenizer or public_path("word_bpe_49k.json")
-    vocab = encoder(path).vocab_size
-    wanted = common.stored(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("_t", F.lit(True)), "targets")
+    with common.Scratch(spark, "lm") as scratch, common.small_batches(spark):
+        return common.stored(_score(docs, target_ids, path, leave_one_out, scratch), "losses")
+
+
+def _score(docs: DataFrame, target_ids: DataFrame, path: str, leave_one_out: bool, scratch: common.Scratch) -> DataFrame:
+    spark, vocab = docs.sparkSession, encoder(path).vocab_size
+    wanted = scratch.store(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("_t", F.lit(True)), "targets")
     small = wanted.count() <= BROADCAST_ROWS
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if small else wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("is_target"))
-    table = common.stored(chunks(marked, path), "chunks")
+    table = scratch.store(chunks(marked, path), "chunks")
     grams = table.where("key IS NOT NULL").select("chunk", "key", "target", "background")
-    singles = spark.sparkContext.broadcast(single_counts(grams, vocab))
-    same = W.partitionBy("key")
-    sums = grams.select("chunk", "key", F.sum("target").over(same).alias("target"), F.sum("background").over(same).alias("background"))
-    blobs = table.where("key IS NULL").select("chunk", "doc_ids", "has_id", "lengths", "ids")
+    sums = scratch.store(grams.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "sums")
+    singles = spark.sparkContext.broadcast(single_counts(sums, vocab))
+    met = grams.select(F.col("chunk").alias("owner"), "key").join(sums, "key").select("owner", "key", "target", "background")
+    blobs = table.where("key IS NULL").select("chunk", "doc_ids", "has_id", "is_target", "lengths", "ids")
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts, out = singles.value, []
         key = right.column("key").to_numpy()
         order = np.argsort(key)
-        key = key[order]
-        before, token = key // (vocab + 1), key % (vocab + 1)
-        per_key = [log_chances(right.column(c).to_numpy()[order], before, token, counts[i], counts[i + 2], vocab) for i, c in enumerate(("target", "background"))]
-        for row in range(left.num_rows):
-            blob = {c: left.column(c)[row].as_buffer() for c in ("doc_ids", "has_id", "lengths", "ids")}
-            lengths = np.frombuffer(blob["lengths"], np.int64)
-            ids = np.frombuffer(blob["ids"], np.uint32 if vocab > 1 << 16 else np.uint16).astype(np.int64)
-            at = np.searchsorted(key, bigrams(ids, lengths, vocab))
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            n = np.maximum(lengths, 1)
-            t, b = (-np.bincount(owner, x[at], len(lengths)) / n for x in per_key)
-            numbers = pa.array(np.frombuffer(blob["doc_ids"], np.int64), mask=np.frombuffer(blob["has_id"], np.uint8) == 0)
-            out.append(pa.table({"doc_id": numbers, "n_tokens": lengths, "target_loss": t, "background_loss": b, "difference": t - b}))
+        key, counts = key[order], [right.column(c).to_numpy()[order] for c in ("target", "background")]
+        out = [part for row in range(left.num_rows) for part in chunk_losses({c: left.column(c)[row].as_buffer() for c in left.column_names if c != "chunk"}, key, counts, singles.value)]
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "target_loss": pa.array([], pa.float64()), "background_loss": pa.array([], pa.float64()), "difference": pa.array([], pa.float64())})
 
-    return blobs.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(losses, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    def chunk_losses(blob: dict, key: np.ndarray, counts: list, tables: np.ndarray):
+        lengths, target = np.frombuffer(blob["lengths"], np.int64), np.frombuffer(blob["is_target"], np.uint8)
+        every = np.frombuffer(blob["ids"], np.uint32 if vocab > 1 << 16 else np.uint16)
+        numbers = pa.array(np.frombuffer(blob["doc_ids"], np.int64), mask=np.frombuffer(blob["has_id"], np.uint8) == 0)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        at = 0
+        while at < len(lengths):  # whole documents, SLICE_TOKENS at a time
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_TOKENS, side="right")) - 1)
+            size = lengths[at:end]
+            pair = bigrams(every[starts[at] : starts[end]].astype(np.int64), size, vocab)
+            before, token = pair // (vocab + 1), pair % (vocab + 1)
+            place, owner = np.searchsorted(key, pair), np.repeat(np.arange(len(size)), size)
+            own = [own_counts(owner, x, most) for x, most in ((place, len(key)), (token, vocab), (before, vocab))] if leave_one_out and len(pair) else [0, 0, 0]
+            loss = []
+            for i in (0, 1):
+                mine = np.repeat(target[at:end], size) if i == 0 else 1  # the background has every document
+                total = tables[i].sum() - (np.repeat(size, size) * mine if leave_one_out else 0)
+                chance = log_chances(counts[i][place] - own[0] * mine, tables[i][token] - own[1] * mine, tables[i + 2][before] - own[2] * mine, total, vocab)
+                loss.append(-np.bincount(owner, chance, len(size)) / np.maximum(size, 1))
+            yield pa.table({"doc_id": numbers.slice(at, end - at), "n_tokens": size, "target_loss": loss[0], "background_loss": loss[1], "difference": loss[0] - loss[1]})
+            at = end
+
+    return blobs.groupBy("chunk").cogroup(met.groupBy("owner")).applyInArrow(losses, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
 def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
