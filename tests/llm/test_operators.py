@@ -188,11 +188,18 @@ def test_quality_against_brute_force(spark, docs):
     got = {r.doc_id: r for r in quality.op1_divergence(spark, SF).collect()}
     rows = {r.doc_id: r for r in docs.collect()}
     hists = {d: classes(r.text) for d, r in rows.items()}
-    by_lang = collections.defaultdict(list)
+    by_lang, by_words = collections.defaultdict(list), collections.defaultdict(list)
+
+    def listed(r):
+        plain = [w.lower().translate({ord(c): None for c in ".,;:!?"}) for w in WORDS.findall(r.text) if len(w) <= 6]
+        times = [plain.count(x) for x in quality.COMMON[r.lang]]
+        return [*times, base(r.text)[0] - sum(times)]
+
     for d, r in rows.items():
-        if len(WORDS.findall(r.text)) >= 50 and len(r.text) >= 200:
+        if not base(r.text)[5] and len(r.text) >= 200:
             by_lang[r.lang].append([c / len(r.text) for c in hists[d]])
-    refs = {k: np.mean(v, axis=0).tolist() for k, v in by_lang.items()}
+            by_words[r.lang].append([c / base(r.text)[0] for c in listed(r)])
+    refs, word_refs = ({k: np.mean(v, axis=0).tolist() for k, v in x.items()} for x in (by_lang, by_words))
     for d, r in rows.items():
         g = got[d]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == base(r.text)
@@ -202,15 +209,15 @@ def test_quality_against_brute_force(spark, docs):
             assert math.isclose(g.char_distance, js(hists[d], refs[r.lang]), abs_tol=1e-9)
         far = (g.char_distance or 0) > quality.MAX_CHARS or (g.word_distance or 0) > quality.MAX_WORDS
         assert g.kept == (not g.base_failed and not far)
-        listed = [sum(w.lower().translate({ord(c): None for c in ".,;:!?"}) == x for w in WORDS.findall(r.text)) for x in quality.COMMON[r.lang]]
-        assert (g.word_distance is None) == (sum(listed) < quality.MIN_COMMON)
+        assert math.isclose(g.word_distance, js(listed(r), word_refs[r.lang]), abs_tol=1e-9)
 
 
-def test_longest_texts_count_the_same(spark, monkeypatch):
-    monkeypatch.setattr(quality, "PLACE_BITS", 4)
-    text = " ".join("a b c d a b c e f a b".split() * 3 + ["z"])
-    got = spark.createDataFrame([(text,)], "t string").select(quality.repeated_words(F.split("t", " "))).first()[0]
-    assert got == base(text)[4]
+@pytest.mark.parametrize("bits", [None, 31, 61])
+def test_repeated_words_whatever_the_hash_has_left(spark, bits):
+    r = np.random.default_rng(3)
+    texts = [" ".join("a b c d a b c e f a b".split() * 3 + ["z"]), "a b c a b c", "a b c d", "a b", *(" ".join(f"w{k}" for k in r.integers(0, n, 400)) for n in (4, 20, 60))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality.repeated_words(F.split("t", " "), bits).alias("n")).collect()
+    assert {x.t: x.n for x in got} == {t: base(t)[4] for t in texts}
 
 
 def test_quality_keeps_clean_and_drops_junk(spark, clashing):
@@ -244,7 +251,7 @@ def test_quality_of_nothing(none):
 # ---- language models ----------------------------------------------------------------
 
 
-def brute_losses(rows, target):
+def brute_losses(rows, target, leave_one_out=True):
     t = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     v = t.get_vocab_size()
     ids = [(d, t.encode(x or "", add_special_tokens=False).ids) for d, x in rows]
@@ -258,8 +265,14 @@ def brute_losses(rows, target):
     for d, x in ids:
         both = []
         for k in (0, 1):
-            total = sum(one[k].values())
-            s = sum(-math.log((pair[k][a, b] + lm_scores.MASS * (one[k][b] + lm_scores.ADD) / (total + lm_scores.ADD * v)) / (context[k][a] + lm_scores.MASS)) for a, b in zip([v, *x[:-1]], x))
+            own = x if leave_one_out and (k or d in target) else []
+            before = [v, *own[:-1]] if own else []
+            pairs, ones, contexts = pair[k].copy(), one[k].copy(), context[k].copy()
+            pairs.subtract(zip(before, own))
+            ones.subtract(own)
+            contexts.subtract(before)
+            total = sum(ones.values())
+            s = sum(-math.log((pairs[a, b] + lm_scores.MASS * (ones[b] + lm_scores.ADD) / (total + lm_scores.ADD * v)) / (contexts[a] + lm_scores.MASS)) for a, b in zip([v, *x[:-1]], x))
             both.append(s / max(1, len(x)))
         out.append((d, len(x), both[0], both[1], both[0] - both[1]))
     return out
@@ -279,8 +292,11 @@ def test_losses_against_brute_force(spark, texts):
 @TABLES
 def test_losses_of_odd_rows(request, spark, table, monkeypatch):
     monkeypatch.setattr(lm_scores, "CHUNK_TOKENS", 40)
+    monkeypatch.setattr(lm_scores, "SLICE_TOKENS", 30)
     target = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (8, "x"), (777, "x")], "doc_id long, extra string")
-    same_losses(lm_scores.score(request.getfixturevalue(table), target).collect(), brute_losses([r[:2] for r in ODD], {1, 8}))
+    for left_out in (True, False):
+        got = lm_scores.score(request.getfixturevalue(table), target, leave_one_out=left_out).collect()
+        same_losses(got, brute_losses([r[:2] for r in ODD], {1, 8}, left_out))
 
 
 def test_losses_of_nothing(spark, none, odd):
@@ -490,10 +506,67 @@ def test_join_of_nothing(none):
     assert jaccard_join.jaccard_join(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 
 
+def many_rows(seed):
+    """Near and exact copies under repeated, missing and different ids."""
+    r = np.random.default_rng(seed)
+    texts = near_copies(8, seed) + near_copies(5, seed + 1) + ["one two three", "", None, "a lone text of some words"]
+    return [(None if r.random() < 0.3 else int(r.integers(0, 6)), texts[r.integers(len(texts))]) for _ in range(40)]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_repeated_ids_lose_nothing(spark, seed):
+    """Rows are joined by their own texts, and one row of each class stays, whatever ids they have."""
+    rows = [(0, "c " * 9), (3, "c " * 9), (3, "d e f g h i"), *many_rows(seed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    brute = brute_join([(i, t) for i, (_, t) in enumerate(rows)])
+    got = collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == collections.Counter((rows[i][0], n) for i, (_, n) in brute.items())
+    groups = collections.defaultdict(list)
+    for i, (c, _) in brute.items():
+        groups[c].append(rows[i])
+    kept = collections.Counter(map(tuple, jaccard_join.keep_one(docs).collect()))
+    for members in groups.values():
+        if not shingles(members[0][1]):
+            assert kept[members[0]] == sum(m == members[0] for m in rows)
+            continue
+        stay = [m for m in set(members) if kept[m]]
+        assert len(stay) == 1 and kept[stay[0]] == 1
+        assert stay[0][0] == min((m[0] for m in members if m[0] is not None), default=None)
+    bare = sum(not shingles(t) for _, t in rows)
+    assert sum(kept.values()) == bare + sum(bool(shingles(m[0][1])) for m in groups.values())
+
+
+def test_one_id_on_different_texts(spark):
+    a = near_copies(1, 5)[0]
+    docs = spark.createDataFrame([(1, a), (1, "b " * 8), (2, f"{a} more")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()) == [(1, 1, 0), (1, 1, 1), (2, 1, 1)]
+
+
+def test_long_texts_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 100)
+    rows = list(enumerate(near_copies(30, 1, 300, 20)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), sketch_least=0).collect()}
+    assert got == brute_join(rows)
+
+
+def test_nothing_is_left_behind(spark, docs, tmp_path, monkeypatch):
+    """Intermediate tables go, and the caller's Arrow setting holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "shared_dir", lambda _, name: f"file://{tmp_path}/{name}")
+    assert jaccard_join.jaccard_join(docs).count() == docs.count()
+    assert [p.name for p in tmp_path.iterdir()] == ["classes"] and spark.conf.get(key) == before
+
+
+def components(spark, edges):
+    with common.Scratch(spark, "test") as scratch:
+        return jaccard_join.components(spark.createDataFrame(edges, "rid long, near long"), scratch).collect()
+
+
 def test_components(spark):
     r = np.random.default_rng(0)
     edges = [(int(a), int(a) + 1) for a in range(0, 300) if a % 50 != 49] + [(int(x), int(y)) for x, y in r.integers(1000, 1100, (40, 2))]
-    got = {x.rid: x.root for x in jaccard_join.components(None, spark.createDataFrame(edges, "rid long, near long")).collect()}
+    got = {x.rid: x.root for x in components(spark, edges)}
     root = {}
 
     def find(x):

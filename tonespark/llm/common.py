@@ -35,13 +35,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tonespark-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
-    return _written(df, shared_dir(df.sparkSession, name))
+#: Files of a narrow table for each core, at most.
+FILES = 4
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors.
+
+    few: a narrow table, of which a task takes several partitions so that it has no
+    more files than FILES a core. Not for tables whose rows hold their task's number.
+    """
+    return _written(df, shared_dir(df.sparkSession, name), few)
+
+
+def _written(df: DataFrame, path: str, few: bool) -> DataFrame:
+    (df.coalesce(FILES * max(1, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,9 +71,9 @@ class Scratch:
     def __exit__(self, *_) -> None:
         delete(self.spark, self.dir)
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
         self.n += 1
-        return _written(df, f"{self.dir}/{self.n}-{name}")
+        return _written(df, f"{self.dir}/{self.n}-{name}", few)
 
 
 @contextmanager

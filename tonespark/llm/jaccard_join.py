@@ -142,8 +142,8 @@ def leaves(reps: DataFrame, scratch: common.Scratch) -> DataFrame:
         # splitting goes on while it would shrink a bucket; sets that mostly share one more minimum are alike and are compared
         leaf = (F.col("size") <= SMALL) | (F.col("_most") * 2 > F.col("size")) | F.lit(level == LEVELS - 1)
         # stored first, so that the join's exchanges stand alone and a bucket of many rows can be split among tasks
-        sizes = scratch.store(sizes.select("bucket", "size", "weight", leaf.alias("leaf")), "sizes")
-        met = scratch.store(down.select("bucket", "rid").join(sizes, "bucket"), "paths")
+        sizes = scratch.store(sizes.select("bucket", "size", "weight", leaf.alias("leaf")), "sizes", few=True)
+        met = scratch.store(down.select("bucket", "rid").join(sizes, "bucket"), "paths", few=True)
         found.append(met.where("leaf").select("bucket", "rid", "size", "weight"))
         more = met.where("NOT leaf").select("bucket", "rid")
         if level == LEVELS - 1 or more.isEmpty():
@@ -330,14 +330,14 @@ def verified(t: dict, threshold: float):
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """rid and root (least rid of its component) of all ends of edges (rid, near), by minimum labels with pointer jumps; rounds grow with the logarithm of a component's width."""
-    both = scratch.store(edges.select("rid", "near").union(edges.select("near", "rid")).where("rid <> near").distinct(), "edges")
-    labels = scratch.store(both.groupBy("rid").agg(F.min("near").alias("_low")).select("rid", F.least("rid", "_low").alias("root")), "labels")
+    both = scratch.store(edges.select("rid", "near").union(edges.select("near", "rid")).where("rid <> near").distinct(), "edges", few=True)
+    labels = scratch.store(both.groupBy("rid").agg(F.min("near").alias("_low")).select("rid", F.least("rid", "_low").alias("root")), "labels", few=True)
     while True:
         # a neighbour's label, then the label's own label
         seen = both.join(labels.withColumnsRenamed({"rid": "near", "root": "_root"}), "near").groupBy("rid").agg(F.min("_root").alias("_low"))
         step = labels.join(seen, "rid").select("rid", F.least("root", "_low").alias("root"), F.col("root").alias("_was"))
         jump = step.select(F.col("rid").alias("root"), F.col("root").alias("_next"))
-        new = scratch.store(step.join(jump, "root").select("rid", F.least("root", "_next").alias("root"), (F.least("root", "_next") < F.col("_was")).alias("_moved")), "labels")
+        new = scratch.store(step.join(jump, "root").select("rid", F.least("root", "_next").alias("root"), (F.least("root", "_next") < F.col("_was")).alias("_moved")), "labels", few=True)
         moved = new.where("_moved").limit(1).count()
         labels = new.select("rid", "root")
         if not moved:
@@ -366,7 +366,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, sketch_least: int
     """jaccard_join() with k1 and k2 (128 bits of a row's text), n (its shingles) and root, a number of its class (null without words); it is stored."""
     spark = docs.sparkSession
     with common.Scratch(spark, "join") as scratch, common.small_batches(spark):
-        return common.stored(_classified(docs, threshold, sketch_least, scratch), "classes")
+        return common.stored(_classified(docs, threshold, sketch_least, scratch), "classes", few=True)
 
 
 def _classified(docs: DataFrame, threshold: float, sketch_least: int, scratch: common.Scratch) -> DataFrame:
@@ -375,9 +375,9 @@ def _classified(docs: DataFrame, threshold: float, sketch_least: int, scratch: c
     reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # numbered as they are stored: sets, not doc_ids, are what is joined
     reps = scratch.store(reps.withColumn("rid", F.monotonically_increasing_id()), "sets")
-    leaf = scratch.store(leaves(reps, scratch), "leaves")
+    leaf = scratch.store(leaves(reps, scratch), "leaves", few=True)
     paths = leaf.groupBy("rid").agg(F.array_sort(F.collect_list("bucket")).alias("leaves"))  # RUNS * BRANCHES ** (LEVELS - 1) at most
-    known = scratch.store(reps.join(paths, "rid").select("rid", "n", "copies", "sketch", "leaves"), "known")
+    known = scratch.store(reps.join(paths, "rid").select("rid", "n", "copies", "sketch", "leaves"), "known", few=True)
     unit = units(leaf).join(known, "rid")
     cand = in_units(unit, ["block", "rid", "n", "sketch", "leaves"], lambda t: candidates(t, threshold, sketch_least), "bucket long, a int, b int, block int, rid long")
     cand = scratch.store(cand, "candidates")
@@ -389,7 +389,7 @@ def _classified(docs: DataFrame, threshold: float, sketch_least: int, scratch: c
     nameless = -(F.col("f1").bitwiseAND(F.lit((1 << 62) - 1))) - 1
     # a class goes by its least doc_id, or by a negative number where none of its rows has one
     first = roots.join(reps.select("rid", "id", nameless.alias("_none")), "rid").groupBy("root").agg(F.min("id").alias("_first"), F.min("_none").alias("_none"))
-    first = scratch.store(first.select("root", F.coalesce("_first", "_none").alias("class_id")), "class-ids")
+    first = scratch.store(first.select("root", F.coalesce("_first", "_none").alias("class_id")), "class-ids", few=True)
     by_class = roots.join(first, "root")
     own = F.coalesce("id", nameless)
     by_set = reps.join(counts, "rid", "left").join(by_class, "rid", "left").select(
@@ -415,17 +415,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     with common.Scratch(spark, "keep") as scratch:
         classes = classified(docs, threshold).where("n > 0").select("root", "doc_id", "k1", "k2")
-        rows = scratch.store(classes.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")), "rows")
+        rows = scratch.store(classes.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")), "rows", few=True)
         name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
         best = rows.groupBy("root").agg(F.min(name).alias("_best"), F.count(F.lit(1)).alias("_n"))
-        best = scratch.store(best.select("root", "_best.*", "_n"), "best")
+        best = scratch.store(best.select("root", "_best.*", "_n"), "best", few=True)
         lone = rows.join(best.where("none AND _n > 1").select("root"), "root").select("root", "k1", "k2")
         if not lone.isEmpty():
             k1, k2 = common.text_keys()
             texts = docs.where(F.col("doc_id").isNull()).select(k1, k2, F.col("text").cast("string").alias("text"))
             least = texts.join(lone, ["k1", "k2"]).groupBy("root").agg(F.min("text").alias("text")).select("root", *common.text_keys())
             changed = best.join(least.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "root", "left")
-            best = scratch.store(changed.select("root", "none", "doc_id", F.coalesce("_k1", "k1").alias("k1"), F.coalesce("_k2", "k2").alias("k2")), "best")
+            best = scratch.store(changed.select("root", "none", "doc_id", F.coalesce("_k1", "k1").alias("k1"), F.coalesce("_k2", "k2").alias("k2")), "best", few=True)
         chosen = rows.join(best.select("root", F.col("doc_id").alias("_d"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "root")
         stays = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
         marked = common.stored(chosen.select("doc_id", "k1", "k2", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "marked")
@@ -450,7 +450,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, scratch: co
     set says whose it is; rows without a doc_id are all looked at where a wanted set
     has no other.
     """
-    wanted = scratch.store(reps.join(wanted, "rid").select("rid", "id", "f1", "f2"), "wanted")
+    wanted = scratch.store(reps.join(wanted, "rid").select("rid", "id", "f1", "f2"), "wanted", few=True)
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     ids = wanted.where("id IS NOT NULL").select("id").distinct()

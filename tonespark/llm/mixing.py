@@ -74,7 +74,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     met = slots.withColumn("_cell", cell(F.col("_x"))).join(wide.select("_cell", "from", "to", "source_no"), "_cell").where("_x >= from AND _x < to")
     chunked = met.select("slot", "source_no", F.floor(F.col("slot") / F.lit(CHUNK)).cast("long").alias("_chunk"), F.lit(1).alias("_one"))
     ranked = common.running_sums(chunked, "source_no", "_chunk", ["slot"], "_one", "_sum", "rank").select("slot", "source_no", "rank")
-    ranked = common.stored(ranked.join(plan.select("source_no", "slots"), "source_no").where("rank < slots").drop("slots"), "slots")
+    ranked = common.stored(ranked.join(plan.select("source_no", "slots"), "source_no").where("rank < slots").drop("slots"), "slots", few=True)
     have = ranked.groupBy("source_no").agg(F.count(F.lit(1)).alias("_have"))
     short = plan.join(have, "source_no", "left").select("source_no", "slots", F.coalesce("_have", F.lit(0)).alias("_have")).where("_have < slots")
     tail = short.select("source_no", F.explode(F.sequence("_have", F.col("slots") - 1)).alias("rank"))
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """
     sizes = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.word_count(F.col("text").cast("string")).alias("size")), "sizes")
     sources = common.stored(targets(sizes, weights, share, most), "sources")
-    placed = common.stored(streams(sizes, sources), "streams")
+    placed = common.stored(streams(sizes, sources), "streams", few=True)
     block = F.lit(block_words)
     parts = placed.where("size > 0").select(
         "source_no", "place", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
@@ -127,7 +127,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """docs as often as the mix takes them: once for every pass that takes half of a document's words or more. Documents without words go."""
+    """docs as often as the mix takes them: once for every pass that takes half of a document's words or more.
+
+    Documents without words (null, empty) go. Rows are told by doc_id, source and
+    size: of several that are equal in these, each comes as often as they are taken
+    on the average. A null source or doc_id equals another; the columns of docs
+    stay; an empty table stays empty.
+    """
     mixed = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
     names = common.fresh(docs, "mix_id", "mix_source", "mix_size", "mix_copies")
     mixed = mixed.toDF(*names)

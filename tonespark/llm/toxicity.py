@@ -195,7 +195,12 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on labelled rows that are not held out: those of each class with the least id hashes, `rows` of each at most."""
+    """Train on labelled rows that are not held out: those of each class with the least id hashes, `rows` of each at most.
+
+    Of several texts of a doc_id the least stands for it; a null text is empty;
+    labels other than 0 and 1, and rows without a doc_id, teach nothing. Without
+    rows of both classes the model gives one score to all texts.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for toxic in (0, 1):
@@ -203,14 +208,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         chosen = some if chosen is None else chosen.union(some)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")  # 2 * rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = sorted({(r.doc_id, r.toxic, r.text or "") for r in texts.dropDuplicates(["doc_id"]).collect()})
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    got = sorted((r.doc_id, r.toxic, r.text) for r in one.collect())
     return train([t for _, _, t in got], np.array([y for _, y, _ in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column of scores (0 to 1) by that name, which replaces one that has it. Null and empty texts score as a window without words. Other columns stay."""
+    """docs with a column of scores (0 to 1) by that name, which replaces one that has it.
+
+    Null and empty texts score as a window without words. Other columns stay, rows
+    repeat as often as in docs, and an empty table stays empty. The result is not
+    run here: its Arrow batches are as large as the session lets them be.
+    """
     spark = docs.sparkSession
-    common.small_batches(spark)
     holder = spark.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers
     key = holder._jbroadcast.id() if hasattr(holder, "_jbroadcast") else id(holder)
 
@@ -225,10 +235,19 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.withColumn(name, toxic_score(F.col("text").cast("string")))
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (text and any other columns) less the rows that score threshold or more; equal texts share a verdict, and null ones are empty."""
+    name = common.fresh(docs, "toxic_score")[0]
+    keys = dict(zip(("k1", "k2"), common.text_keys()))
+    bad = score(docs.select("text", *keys.values()), model, name).where(F.col(name) >= threshold)
+    return common.without(docs, bad, keys)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs, model)
-    return scored.select(
+    scored = score(docs, model).select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+    with common.small_batches(spark):
+        return common.stored(scored, "scores")
