@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 every stage's result as Parquet in the shared folder and reads it back for the
-next. All but the last return the columns of documents.
+next. All but the last return the columns of documents. Null and empty texts are
+no toxic text, fail the quality rules, and so end there; extra columns stay, even
+with names that an operator uses; rows may repeat and lack a doc_id, and an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -15,9 +18,7 @@ from tonespark.llm import common, jaccard_join, mixing, packing, quality, toxici
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; the model learns from labelled rows of docs."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = common.fresh(docs, "toxic_score")[0]
-    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL cannot express these stages; tests hold the pipeline against brute force.
+#: SQL cannot express these stages. Tests hold each against its operator on the stage's own input, and the operators against brute force.
 ORACLE_SQL = None
 
 
