@@ -108,6 +108,19 @@ def test_files_of_odd_rows(request, spark, table, word):
     assert [r.doc_id for r in ordered] == sorted((r.doc_id for r in rows), key=lambda d: (d is not None, d or 0))
 
 
+def test_files_are_bounded(spark, docs, texts, word):
+    """A partition of many blocks makes many files, and each is read alone."""
+    path = common.shared_dir(spark, "test")
+    token_files.write_files(docs.coalesce(1), path, public_path("word_bpe_49k.json"), block_ids=2000, file_blocks=3)
+    back = token_files.read_files(spark, path).collect()
+    want = {d: np.array([*word.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for d, t in texts.items()}
+    assert {r.doc_id: bytes(r.ids) for r in back} == want and len(back) == len(want)
+    files = sorted({r.file for r in back})
+    assert len(files) > 8 and any(f % (1 << 24) for f in files)
+    ordered = [(r.doc_id, r.start) for f in files for r in sorted((r for r in back if r.file == f), key=lambda r: r.start)]
+    assert [d for d, _ in ordered] == sorted(texts)
+
+
 def test_files_of_nothing(spark, none):
     assert token_files.token_files(none, common.shared_dir(spark, "test")).count() == 0
 

@@ -6,6 +6,9 @@ ids. Files are written and committed through Spark's own file writer, so any
 store that Spark can write is fine, a task can be repeated, and nothing touches
 a folder of one machine.
 
+A file holds FILE_BLOCKS blocks at most, whatever its partition has, so that a
+reader never holds more than such a file.
+
 Layout, little endian. Block: b"FWB1", u32 bits, u32 documents, u64 ids, i64
 document number each, u8 has-number each, u64 ids before each document in this
 file, u64 words of packed ids, 0x0A. Directory, last in the file: b"FWBD", u32
@@ -29,6 +32,8 @@ from .bytewords import parts
 from .encoding import encoder, public_path
 
 END_ID = 2
+#: Blocks of a file at most: some 70 MB of 16-bit ids.
+FILE_BLOCKS = 64
 
 
 def bits_for(vocab_size: int) -> int:
@@ -77,7 +82,7 @@ def block_bytes(bits: int, doc_ids: list, lengths: np.ndarray, ids: np.ndarray,
 class TokenFile:
     """Reader of one file's bytes: iterate blocks, or get one document's ids by its place."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         self.data = memoryview(data)
         (at,) = struct.unpack_from("<Q", data, len(data) - 9)
         magic, n = struct.unpack_from("<4sI", data, at)
@@ -106,19 +111,23 @@ class TokenFile:
         return unpack(words, bits, at, at + int(lengths[i]))
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 19) -> None:
-    """Encode text by doc_id and write one file per partition of ascending doc_id (null first).
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 19, file_blocks: int = FILE_BLOCKS) -> None:
+    """Encode text by doc_id and write files of file_blocks blocks at most for each partition of ascending doc_id (null first).
 
     Repeated doc_ids follow one another, ordered by their texts' hash. Null and
     empty texts are just the end id. Blocks hold about block_ids ids; one longer
     document makes a longer block.
     """
-    common.small_batches(docs.sparkSession)
 
     def images(batch_iter):
         coder = encoder(tokenizer)
         bits = bits_for(max(coder.vocab_size, end_id + 1))
         directory, offset, ids_before, docs_before = [], 0, 0, 0
+
+        def closed():
+            tail = b"FWBD" + struct.pack("<I", len(directory) // 3) + np.array(directory, "<u8").tobytes() + struct.pack("<Q", offset)
+            return pa.RecordBatch.from_arrays([pa.array([tail], pa.binary())], ["image"])
+
         for batch in batch_iter:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in parts(texts, 2 * block_ids):
@@ -135,11 +144,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
                 ids_before += len(ids)
                 docs_before += hi - lo
                 yield pa.RecordBatch.from_arrays([pa.array([image[:-1]], pa.binary())], ["image"])  # the writer adds the last byte
+                if len(directory) == 3 * file_blocks:
+                    yield closed()
+                    directory, offset, ids_before, docs_before = [], 0, 0, 0
         if directory:
-            tail = b"FWBD" + struct.pack("<I", len(directory) // 3) + np.array(directory, "<u8").tobytes() + struct.pack("<Q", offset)
-            yield pa.RecordBatch.from_arrays([pa.array([tail], pa.binary())], ["image"])
+            yield closed()
 
-    (
+    rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .withColumn("_h", F.xxhash64("text"))
         .withColumn("_salt", F.monotonically_increasing_id())
@@ -148,8 +159,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         .select("doc_id", "text")
         .mapInArrow(images, "image binary")
         .select(F.col("image").cast("string").alias("image"))
-        .write.option("lineSep", "\n").text(path)
     )
+    # the writer begins a new file after the directory of a full one
+    with common.small_batches(docs.sparkSession):
+        rows.write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks + 1).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -161,20 +174,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 data = content.as_buffer()
                 if not data.size:
                     continue
-                reader = TokenFile(memoryview(data).tobytes())
-                number = int(re.match(r"part-(\d+)", file.rpartition("/")[2])[1])
+                reader = TokenFile(memoryview(data))
+                part, after = re.match(r"part-(\d+).*?-c(\d+)", file.rpartition("/")[2]).groups()
+                number = (int(part) << 24) + int(after)
                 for k in range(len(reader.blocks)):
                     numbers, starts, lengths, words, bits = reader.block(k)
                     ids = unpack(words, bits, 0, int(lengths.sum())).astype("<u4")
                     bounds = np.concatenate([[0], np.cumsum(lengths)])
                     raw = [ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(numbers))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(numbers), pa.int32()), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(raw, pa.binary())],
+                        [pa.array([number] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(raw, pa.binary())],
                         ["file", "doc_id", "start", "n_tokens", "ids"],
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(rows, "file int, doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(rows, "file long, doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -186,7 +200,8 @@ def token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     """
     spark = docs.sparkSession
     write_files(docs, path, tokenizer or public_path("word_bpe_49k.json"), end_id)
-    back = common.stored(read_files(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-index")
+    with common.small_batches(spark, 8):  # whole files
+        back = common.stored(read_files(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-index")
     totals = back.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # a row per file
     before = totals.select("file", F.coalesce(F.sum("_n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return back.join(before, "file").select("doc_id", (F.col("_before") + F.col("start")).cast("long").alias("start"), "n_tokens", "ids_crc32")
