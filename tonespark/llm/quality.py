@@ -3,7 +3,7 @@
 A document's histogram of character classes, and its histogram of its
 language's most common words and of all its other words together, are compared
 with the references of its language by Jensen-Shannon distance. The references
-are the mean histograms of all documents of the language. Documents too short
+are the mean histograms of the language's documents that pass the base rule. Documents too short
 for a histogram of characters keep the benefit of the doubt; those too short for
 one of words fail the base rule, and no text is exempt for lack of common words.
 """
@@ -41,46 +41,40 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Bits of a window's place beside its hash, and the words up to which they do.
-PLACE_BITS = 20
-
-
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, place_bits: int | None = None) -> Column:
     """Words that lie in a window of three that the text has twice or more.
 
-    Windows are sorted by their hash, with their place in its low bits, so equal
-    ones are neighbours (which their words confirm); the places of those that have
-    one are sorted again and cover three words each, less what the next one
-    covers. Longer texts than the place's bits can number keep both apart.
+    Windows are sorted by their hash, with their place in its low bits, as many as
+    the text needs, so equal ones are neighbours, which their words confirm. A
+    window beside one of equal hash and other words is looked for in the whole
+    text. The places of windows that occur again are sorted and cover three words
+    each, less what the next one covers. place_bits takes the place of the bits
+    that a text needs; what they leave of the hash changes no count.
     """
     hashed = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    places = lambda w: F.sequence(F.lit(0), F.size(w) - 3)
     no = F.lit(False)
+    shift = lambda how, x, n: F.call_function(how, x, n)
 
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce((F.get(at, i + 1) - p).cast("int"), F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda total, g: total + g)
 
-    def usual(w: Column) -> Column:
-        low = F.lit((1 << PLACE_BITS) - 1).cast("long")
-        keys = F.transform(places(w), lambda i: F.shiftleft(hashed(w, i), PLACE_BITS).bitwiseOR(i.cast("long")))
-        at = lambda e: e.bitwiseAND(low).cast("int")
+    def counted(w: Column, bits: Column) -> Column:
+        keys = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: shift("shiftleft", hashed(w, i), bits).bitwiseOR(i.cast("long")))
+        at = lambda e: e.bitwiseAND(shift("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+        alike = lambda e, other: F.coalesce(shift("shiftright", e, bits) == shift("shiftright", other, bits), no)
+        words_too = lambda e, other: F.array(*[F.get(w, at(e) + k) for k in range(3)]) == F.array(*[F.get(w, at(other) + k) for k in range(3)])
 
-        def same(e: Column, other: Column) -> Column:
-            alike = F.shiftright(e, PLACE_BITS) == F.shiftright(other, PLACE_BITS)
-            words_too = F.array(*[F.get(w, at(e) + k) for k in range(3)]) == F.array(*[F.get(w, at(other) + k) for k in range(3)])
-            return F.coalesce(alike & words_too, no)
+        def again(r: Column, e: Column, i: Column) -> Column:
+            before, after = F.get(r, i - 1), F.get(r, i + 1)
+            near = alike(e, before) | alike(e, after)
+            same = (alike(e, before) & words_too(e, before)) | (alike(e, after) & words_too(e, after))
+            return F.when(~near, no).when(same, F.lit(True)).otherwise(F.exists(r, lambda o: (o != e) & alike(e, o) & words_too(e, o)))
 
-        twins = lambda r: F.array_sort(F.transform(F.filter(r, lambda e, i: same(e, F.get(r, i - 1)) | same(e, F.get(r, i + 1))), at))
+        twins = lambda r: F.array_sort(F.transform(F.filter(r, lambda e, i: again(r, e, i)), at))
         return let(F.sort_array(keys), lambda r: let(twins(r), covered))
 
-    def longest(w: Column) -> Column:
-        pairs = F.array_sort(F.transform(places(w), lambda i: F.struct(hashed(w, i).alias("h"), i.alias("i"))))
-        same = lambda r, e, other: F.coalesce(F.get(r, other)["h"] == e["h"], no)
-        twins = lambda r: F.array_sort(F.transform(F.filter(r, lambda e, i: same(r, e, i - 1) | same(r, e, i + 1)), lambda e: e["i"]))
-        return let(pairs, lambda r: let(twins(r), covered))
-
-    return F.when(F.size(words) < 4, F.lit(0)).when(F.size(words) < 1 << PLACE_BITS, let(words, usual)).otherwise(let(words, longest))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda w: let(F.lit(place_bits) if place_bits else F.length(F.bin(F.size(w).cast("long"))), lambda bits: counted(w, bits))))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -129,9 +123,13 @@ def total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def references(rows: DataFrame) -> DataFrame:
-    """Mean histograms of each language (and of none): a row each of the known languages and one for the rest."""
-    long = rows.where((F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS))
+    """Mean histograms of the documents of each language (and of none) that pass the base rule: a row each of the known languages and one for the rest."""
+    long = rows.where(~base_failed() & (F.col("n_chars") >= MIN_CHARS))
     share = lambda a, k: F.get(F.col(a), F.lit(k)) / F.greatest(total(F.col(a)), F.lit(1))
     n_common = len(COMMON["en"]) + 1
     means = [F.avg(share("chars", k)).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
@@ -156,9 +154,8 @@ def judged(docs: DataFrame) -> DataFrame:
     both = rows.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     char = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("chars"), F.col("ref_chars")))
     word = F.when(total(F.slice("common", 1, len(COMMON["en"]))) >= MIN_COMMON, js_distance(F.col("common"), F.col("ref_common")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
-    return both.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
+    return both.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def quality(docs: DataFrame) -> DataFrame:
