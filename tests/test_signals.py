@@ -613,3 +613,30 @@ def test_frames_across_blocks(signal, monkeypatch, size):
     monkeypatch.setattr(spectral, "BLOCK", size)
     monkeypatch.setattr(spectral, "FRAME_VALUES", 128)
     assert np.allclose(signal.stft(64, 24).to_numpy(), one, atol=1e-12)
+
+
+def test_folders_of_both_kinds(spark, tmp_path):
+    for place in ("kind=fan/train", "kind=pump/test"):
+        (tmp_path / "good" / place).mkdir(parents=True)
+        (tmp_path / "good" / place / "x.wav").write_bytes(b"x")
+    found = read.from_folder(spark, str(tmp_path / "good"), recursive=True, use_path_metadata=True)
+    assert sorted((r.meta["kind"], r.meta["partition_1"]) for r in found.metadata_table().collect()) == [("fan", "train"), ("pump", "test")]
+    assert len(found.sample(0).paths()) == 1 and found.select(kind="fan").metadata_table().first().frame_id.endswith("train/x.wav")
+    for k, place in enumerate(("name=a", "partition_0=b", "k=a/k=b")):
+        (tmp_path / str(k) / place).mkdir(parents=True)
+        (tmp_path / str(k) / place / "x.wav").write_bytes(b"x")
+        with pytest.raises(Exception, match="reserved|plain folders|twice"):
+            read.from_folder(spark, str(tmp_path / str(k)), recursive=True, use_path_metadata=True).metadata_table().collect()
+
+
+def test_mix_refuses_equal_lengths_to_align(signal):
+    for align in ("pad", "truncate"):
+        with pytest.raises(ValueError):
+            signal.mix(signal, align)
+
+
+def test_many_channels_join_their_values(spark):
+    x = np.arange(60.0).reshape(20, 3)
+    s = from_numpy(spark, x, RATE).with_calibration([float(i + 1) for i in range(20)])
+    assert np.allclose((s + 0).to_numpy(), x * np.arange(1, 21)[:, None])
+    assert np.allclose((s + s).to_numpy(), 2 * x * np.arange(1, 21)[:, None])
