@@ -346,6 +346,33 @@ def test_model_learns_and_knows_misspellings():
     assert (scorer.scores(pa.array(["", None, " \n"])) < toxicity.THRESHOLD).all()
 
 
+def test_scores_against_a_plain_loop(spark, odd):
+    r = np.random.default_rng(4)
+    model = toxicity.Model(r.normal(size=1 << toxicity.BUCKET_BITS), -0.5)
+
+    def plain(text):
+        words = [float(model.word_scores([w])[0]) for w in WORDS.findall(text or "")]
+        width = min(len(words), model.width)
+        best = max((sum(words[i : i + width]) / width for i in range(len(words) - width + 1)), default=0.0) if words else 0.0
+        return 1 / (1 + math.exp(-(best + model.bias)))
+
+    got = toxicity.score(odd, model).select("text", "score").collect()
+    assert len(got) == len(ODD)
+    for row in got:
+        if not row.text or len(row.text) < 50_000:
+            assert math.isclose(row.score, plain(row.text), abs_tol=1e-9)
+    few = toxicity.keep_clean(odd, model, 0.5)
+    assert few.columns == odd.columns and few.count() == sum(x.score < 0.5 for x in got)
+
+
+def test_repeated_labelled_ids_train_alike(spark):
+    rows = [(i, ("bad vile words " if i % 2 else "good kind words ") * 5) for i in range(40)]
+    more = [(i, f"zzz {t}") for i, t in rows]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows + more, more[::-1] + rows))
+    assert np.array_equal(a.scores, b.scores) and a.bias == b.bias
+
+
 def test_toxicity_never_learns_from_held_out_rows(spark):
     rows = synthetic(300, 2)
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
