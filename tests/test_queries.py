@@ -93,7 +93,7 @@ def test_pairs_take_the_common_length(spark, two_ends):
     assert pointwise.common_length(queries.events(spark, two_ends[0])).groupBy("channel_id").count().toPandas()["count"].tolist() == [800] * 3
 
 
-@pytest.mark.parametrize("name", "arith_reverse_add arith_reverse_sub arith_reverse_mul arith_reverse_div normalize_inf normalize_l0 normalize_l1 normalize_l2".split())
+@pytest.mark.parametrize("name", "arith_reverse_add arith_reverse_sub arith_reverse_mul arith_reverse_div arith_reverse_pow normalize_inf normalize_neg_inf normalize_l0 normalize_l1 normalize_l2".split())
 def test_every_row_counts(spark, con, name):
     assert QUERIES[name](spark, SF).count() == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
 

@@ -17,7 +17,7 @@ from tonespark.operators import filters, spectral, windowed
 from tonespark.plans.recipe import Recipe, RecipeError
 from tonespark.plans.registry import register_operation
 from tonespark.plans.transformers import BandPass, HighPass, LowPass, Normalize, RemoveDC
-from tonespark.signal import Signal, from_numpy, generate_sin, spectrogram_from_numpy
+from tonespark.signal import Signal, from_numpy, generate_sin, load_sample_signal, spectrogram_from_numpy
 from tonespark.sources import audio, read
 from tonespark.streaming import levels as stream_levels
 
@@ -640,3 +640,74 @@ def test_many_channels_join_their_values(spark):
     s = from_numpy(spark, x, RATE).with_calibration([float(i + 1) for i in range(20)])
     assert np.allclose((s + 0).to_numpy(), x * np.arange(1, 21)[:, None])
     assert np.allclose((s + s).to_numpy(), 2 * x * np.arange(1, 21)[:, None])
+
+
+# ---- repeated channels, options of median separation, tables to draw, collections by number -----
+
+
+def test_repeated_channels(signal, noise):
+    s = signal[[1, 0, 1, 1]]
+    assert s.labels == ["b", "a", "b", "b"] and [c.id for c in s.channels] == ["c1", "c0", "c1.1", "c1.2"] and len({c.unit for c in s.channels}) == 1
+    assert np.array_equal(s.to_numpy(), noise[[1, 0, 1, 1]])
+    again = s.get_channel([0, 2, 0])  # a suffix that is taken is passed over
+    assert [c.id for c in again.channels] == ["c1", "c1.1", "c1.2"] and np.array_equal(again.to_numpy(), noise[[1, 1, 1]])
+    assert np.array_equal(Recipe.from_signal(s).apply(signal).to_numpy(), s.to_numpy())
+    with pytest.raises(ValueError):
+        signal.csd(64).get_channel([0, 0])
+
+
+def test_precision(signal):
+    z = signal.fft(64)
+    assert dict(z.astype("complex64").df.dtypes)["re"] == "float" and dict(z.astype("complex128").df.dtypes)["im"] == "double"
+    assert dict(signal.astype("float32").df.dtypes)["value"] == "float"
+    for s, dtype in ((z, "float32"), (signal, "complex64"), (signal, "int16")):
+        with pytest.raises(ValueError):
+            s.astype(dtype)
+
+
+@pytest.mark.parametrize("options", [{"win_length": 200}, {"center": False}, {"pad_mode": "reflect"}, {"win_length": 128, "center": False, "hop_length": 32}])
+def test_hpss_options(spark, options):
+    x = np.sin(2 * np.pi * 100 * np.arange(4000) / 8000)
+    x[::500] += 5
+    s = from_numpy(spark, x[None], 8000.0)
+    h, p = (getattr(s, f"hpss_{w}")(n_fft=256, **options).to_numpy() for w in ("harmonic", "percussive"))
+    inside = slice(300, 3700)  # without centring, the ends lie under one window's edge alone
+    assert len(h) == len(p) == 4000 and np.allclose((h + p)[inside], x[inside], atol=1e-8)
+    assert not np.allclose(h, s.hpss_harmonic(n_fft=256).to_numpy())
+
+
+def test_hpss_refuses(signal):
+    for bad in ({"win_length": 600}, {"pad_mode": "wrap"}):
+        with pytest.raises(ValueError):
+            signal.hpss_harmonic(n_fft=512, **bad)
+
+
+def test_tables_to_draw(signal, noise):
+    got = {r.channel_id: r for r in signal.describe().collect()}
+    for i, x in enumerate(noise):
+        r, rms = got[f"c{i}"], math.sqrt(np.mean(x * x))
+        assert r.n == 900 and np.allclose([r.min, r.max, r.mean, r.rms, r.crest_factor, r.level], [x.min(), x.max(), x.mean(), rms, abs(x).max() / rms, 20 * math.log10(rms / 2e-5)])
+    for aw in (False, True):
+        t = signal.plot_tables(256, Aw=aw)
+        assert {"time_s", "value"} <= set(t["waveform"].columns) and {"freq_hz", "value"} <= set(t["spectrum"].columns) and {"time_s", "freq_hz", "value"} <= set(t["spectrogram"].columns)
+        assert t["waveform"].agg(F.max("time_s")).first()[0] == 0.899 and t["spectrum"].agg(F.max("freq_hz")).first()[0] == 500.0
+        steps = sorted(r[0] for r in t["spectrogram"].select("time_s").distinct().collect())
+        assert np.allclose(np.diff(steps), 0.064)
+    shown = signal.plot_tables(256)["spectrum"].where("channel_id = 'c0'").orderBy("freq_hz").toPandas()["value"]
+    assert np.allclose(shown, signal.welch(256).view("dB").where("channel_id = 'c0'").orderBy("freq_idx").toPandas()["value"])
+
+
+def test_sample_signal():
+    x = load_sample_signal(2.0, 50, 1.5)
+    assert len(x) == 75 and np.allclose(x, np.sin(2 * np.pi * 2 * np.arange(75) / 50))
+
+
+def test_recordings_by_number(spark, tmp_path):
+    for i, n in enumerate(("b", "a", "c")):
+        (tmp_path / f"{n}.wav").write_bytes(audio.wav_bytes(np.full((1, 10), i / 10), 100.0))
+    every = read.from_folder(spark, str(tmp_path))
+    assert len(every) == 3 and [every[i].paths()[0][-5:] for i in range(3)] == ["a.wav", "b.wav", "c.wav"]
+    assert every["b.wav"].paths() == every.get_all_by_label("b.wav").paths() == every[1].paths() and every["z.wav"].paths() == []
+    for bad, error in ((3, IndexError), (-1, IndexError), (True, TypeError), (1.0, TypeError)):
+        with pytest.raises(error):
+            every[bad]

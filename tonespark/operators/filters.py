@@ -137,19 +137,31 @@ def resample(df: DataFrame, rate: float, target: float, block: int = BLOCK) -> D
     return unblock(packed.mapInPandas(part, "frame_id string, channel_id string, start long, values array<double>"))
 
 
-def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop: int | None = None, win: str = "hann") -> DataFrame:
-    """The harmonic or the percussive part by median filtering of the spectrogram. A channel is one group: medians along time need its whole spectrogram."""
+def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann", center: bool = True, pad_mode: str = "constant") -> DataFrame:
+    """The harmonic or the percussive part by median filtering of the spectrogram. A channel is one group: medians along time need its whole spectrogram.
+
+    A window shorter than n_fft lies in its middle. Centred frames reach over the
+    ends, which are padded as pad_mode says; others begin at the first sample, and
+    samples past the last whole frame become 0.
+    """
     from .spectral import channel_arrays
 
     hop = hop or n_fft // 4
-    w = window(win, n_fft)
+    length = win_length or n_fft
+    if not 0 < length <= n_fft:
+        raise ValueError("a window is as long as a transform at most")
+    if pad_mode not in ("constant", "edge", "linear_ramp", "reflect", "symmetric"):
+        raise ValueError(f"no padding {pad_mode!r}")
+    before = (n_fft - length) // 2
+    w = np.pad(window(win, length), (before, n_fft - length - before))
+    edge = n_fft // 2 if center else 0
 
     def split(frames):
         for pdf in frames:
             yield pd.DataFrame({"frame_id": pdf["frame_id"], "channel_id": pdf["channel_id"], "start": 0, "values": [part_of(np.asarray(v, float)) for v in pdf["values"]]})
 
     def part_of(x: np.ndarray) -> np.ndarray:
-        wide = np.pad(x, n_fft // 2)
+        wide = np.pad(x, edge, mode=pad_mode)
         count = 1 + max(0, len(wide) - n_fft) // hop
         wide = np.pad(wide, (0, max(0, n_fft - len(wide))))
         frames = np.lib.stride_tricks.sliding_window_view(wide, n_fft)[::hop][:count]
@@ -160,7 +172,7 @@ def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin
         for i in range(len(part)):
             y[i * hop : i * hop + n_fft] += part[i]
             norm[i * hop : i * hop + n_fft] += w * w
-        return (y / np.where(norm > 1e-12, norm, 1.0))[n_fft // 2 : n_fft // 2 + len(x)]
+        return (y / np.where(norm > 1e-12, norm, 1.0))[edge : edge + len(x)]
 
     return unblock(channel_arrays(df).mapInPandas(split, "frame_id string, channel_id string, start long, values array<double>"))
 

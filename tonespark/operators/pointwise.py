@@ -25,6 +25,13 @@ def remove_channels(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.where(~F.col("channel_id").isin(list(ids)))
 
 
+def repeat_channels(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The channels that pairs (id, new id) name, as often as they do: rows are copied, not shuffled, where the list is small."""
+    listed = df.sparkSession.createDataFrame(pairs, "channel_id string, _new string")
+    joined = df.join(F.broadcast(listed) if len(pairs) <= 100_000 else listed, "channel_id")
+    return joined.withColumn("channel_id", F.col("_new")).select(*df.columns)
+
+
 def trim(df: DataFrame, first: int, end: int) -> DataFrame:
     """Samples first to end, numbered from 0: a range that reaches the scan."""
     if first < 0 or end < first:

@@ -105,12 +105,17 @@ sample_query(
 sample_query("calibrate", events, EV, lambda s: pointwise.scale(s, {"click": 2.5, "view": 0.1}), f"SELECT {ROW}, value * CASE channel_id WHEN 'click' THEN 2.5::DOUBLE WHEN 'view' THEN 0.1::DOUBLE ELSE 1.0 END AS value FROM s")
 for _op, _sql in (("add", "value + 1.5"), ("sub", "value - 1.5"), ("mul", "value * 1.5"), ("div", "value / 1.5"), ("pow", "pow(value, 1.5)")):
     sample_query(f"arith_{_op}", events, EV, lambda s, op=_op: pointwise.with_scalar(pointwise.absolute(s), op, 1.5), f"SELECT {ROW}, {_sql.replace('value', 'abs(value)')} AS value FROM s")
-# all rows, but for pow: 2 to the power of a large sample differs between the engines in its last bit
-for _op, _sql in (("add", "2.0 + value"), ("sub", "2.0 - value"), ("mul", "2.0 * value"), ("div", "2.0 / value"), ("pow", "pow(2.0, value)")):
-    sample_query(
-        f"arith_reverse_{_op}", events, EV, lambda s, op=_op: pointwise.with_scalar(s.where("abs(value) > 0.5 AND abs(value) < 20") if op == "pow" else s, op, 2.0, reverse=True),
-        f"SELECT {ROW}, {_sql.replace('2.0', '2.0::DOUBLE')} AS value FROM s{' WHERE abs(value) > 0.5 AND abs(value) < 20' if _op == 'pow' else ''}",
-    )
+for _op, _sql in (("add", "2.0 + value"), ("sub", "2.0 - value"), ("mul", "2.0 * value"), ("div", "2.0 / value")):
+    sample_query(f"arith_reverse_{_op}", events, EV, lambda s, op=_op: pointwise.with_scalar(s, op, 2.0, reverse=True), f"SELECT {ROW}, {_sql.replace('2.0', '2.0::DOUBLE')} AS value FROM s")
+# powers reach 1e168, where engines differ in the last bit: digits and exponent
+query(
+    "arith_reverse_pow",
+    f"WITH {EV}, p AS (SELECT {ROW}, pow(2.0::DOUBLE, value) AS value FROM ev), e AS (SELECT *, floor(log10(value)) AS exponent FROM p), result AS (SELECT {ROW}, exponent, value / pow(10.0::DOUBLE, exponent) AS digits FROM e)",
+    "digits", "sample_idx exponent",
+)(
+    lambda spark, sf_dir: pointwise.with_scalar(events(spark, sf_dir), "pow", 2.0, reverse=True)
+    .withColumn("exponent", F.floor(F.log10("value"))).select(*KEY, "sample_idx", "exponent", (F.col("value") / F.pow(F.lit(10.0), F.col("exponent"))).alias("digits"))
+)
 for _op, _sql in (("add", "s.value + o.value"), ("sub", "s.value - o.value"), ("mul", "s.value * o.value"), ("div", "s.value / o.value")):
     sample_query(
         f"arith_frames_{_op}", events, EV, lambda s, op=_op: pointwise.with_signal(s, pointwise.with_scalar(pointwise.absolute(s), "add", 3.0), op),
@@ -150,15 +155,13 @@ channel_query("crest_factor", events, EV, stats.crest_factor, f"SELECT {BY}, CAS
 sample_query("sum_channels", events, EV, lambda s: stats.across_channels(s, "sum"), "SELECT frame_id, 'sum' AS channel_id, sample_idx, sum(value) AS value FROM s GROUP BY ALL")
 sample_query("mean_channels", events, EV, lambda s: stats.across_channels(s, "mean"), "SELECT frame_id, 'mean' AS channel_id, sample_idx, avg(value) AS value FROM s GROUP BY ALL")
 sample_query("remove_dc", events, EV, stats.remove_dc, f"SELECT {ROW}, value - avg(value) OVER (PARTITION BY {BY}) AS value FROM s")
-# all rows, but for neg_inf: normalize() divides by 1 where the least sample is 0, this SQL by 0
 _OVER = f"OVER (PARTITION BY {BY})"
 for _name, _norm, _sql in (
-    ("inf", math.inf, f"max(abs(value)) {_OVER}"), ("neg_inf", -math.inf, f"min(abs(value)) {_OVER}"), ("l1", 1.0, f"sum(abs(value)) {_OVER}"), ("l2", 2.0, f"sqrt(sum(value * value) {_OVER})"),
+    ("inf", math.inf, f"max(abs(value)) {_OVER}"), ("neg_inf", -math.inf, f"(CASE WHEN min(abs(value)) {_OVER} > 0 THEN min(abs(value)) {_OVER} ELSE 1.0::DOUBLE END)"), ("l1", 1.0, f"sum(abs(value)) {_OVER}"), ("l2", 2.0, f"sqrt(sum(value * value) {_OVER})"),
     ("l0", 0.0, f"sum(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END) {_OVER}"),
 ):
     sample_query(
-        f"normalize_{_name}", events, EV, lambda s, norm=_norm: stats.normalize(s.where("abs(value) > 0.01") if norm == -math.inf else s, norm),
-        f"SELECT {ROW}, value / {_sql} AS value FROM s{' WHERE abs(value) > 0.01' if _name == 'neg_inf' else ''}",
+        f"normalize_{_name}", events, EV, lambda s, norm=_norm: stats.normalize(s, norm), f"SELECT {ROW}, value / {_sql} AS value FROM s",
     )
 sample_query("normalize_frame", events, EV, lambda s: stats.normalize(s, 2.0, whole_frame=True), f"SELECT {ROW}, value / sqrt(sum(value * value) OVER (PARTITION BY frame_id)) AS value FROM s")
 
@@ -196,30 +199,22 @@ sample_query(
 query(
     "level_crossings", f"WITH {EV}, a AS (SELECT *, lead(value) OVER (PARTITION BY {BY} ORDER BY sample_idx) AS nxt FROM ev), result AS (SELECT {ROW} FROM a WHERE sign(nxt - 30.0) > sign(value - 30.0))", ""
 )(lambda spark, sf_dir: windowed.crossings(events(spark, sf_dir), 30.0))
-query(
-    "level_trigger",
-    f"""WITH RECURSIVE {EV}, a AS (SELECT *, lead(value) OVER (PARTITION BY {BY} ORDER BY sample_idx) AS nxt, max(sample_idx) OVER (PARTITION BY {BY}) + 1 AS n FROM ev),
+_TRIGGERS = f"""WITH RECURSIVE {EV}, a AS (SELECT *, lead(value) OVER (PARTITION BY {BY} ORDER BY sample_idx) AS nxt, max(sample_idx) OVER (PARTITION BY {BY}) + 1 AS n FROM ev),
     c AS (SELECT {ROW} FROM a WHERE sign(nxt - 30.0) > sign(value - 30.0) AND sample_idx + 25 < n),
     h AS (SELECT {BY}, min(sample_idx) AS p FROM c GROUP BY ALL UNION ALL
           SELECT h.frame_id, h.channel_id, (SELECT min(c.sample_idx) FROM c WHERE c.channel_id = h.channel_id AND c.sample_idx > h.p + 25) FROM h WHERE h.p IS NOT NULL),
-    result AS (SELECT {BY}, p + 2 AS point FROM h WHERE p IS NOT NULL)""",
-    "", "point",
-)(lambda spark, sf_dir: windowed.level_trigger(events(spark, sf_dir), 30.0, 2, 25))
-
-
-def _points(spark: SparkSession, sf_dir: str, step: int = 50) -> DataFrame:
-    return events(spark, sf_dir).where(F.col("sample_idx") % step == 10).select(*KEY, F.col("sample_idx").alias("point"))
-
-
-_TUKEY = ", ".join(repr(float(x)) for x in tukey(31, 0.5))
+    t AS (SELECT {BY}, p + 2 AS point FROM h WHERE p IS NOT NULL)"""
+query("level_trigger", f"{_TRIGGERS}, result AS (SELECT * FROM t)", "", "point")(lambda spark, sf_dir: windowed.level_trigger(events(spark, sf_dir), 30.0, 2, 25))
+_TUKEY = ", ".join(repr(float(x)) for x in tukey(32, 0.5))
+# means of 32 samples have seven decimals: rounded to eight, none lies at a half
 query(
     "cut_sig",
-    f"""WITH {EV}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM ev GROUP BY ALL),
-    p AS (SELECT ev.frame_id, ev.channel_id, sample_idx AS point FROM ev JOIN n USING ({BY}) WHERE sample_idx % 50 = 10 AND sample_idx + 31 <= n),
-    g AS (SELECT p.frame_id, p.channel_id, point, sample_idx - point AS place, value FROM p JOIN ev ON ev.channel_id = p.channel_id AND sample_idx >= point AND sample_idx < point + 31),
+    f"""{_TRIGGERS}, n AS (SELECT {BY}, max(sample_idx) + 1 AS n FROM ev GROUP BY ALL),
+    p AS (SELECT t.* FROM t JOIN n USING ({BY}) WHERE point + 32 <= n),
+    g AS (SELECT p.frame_id, p.channel_id, point, sample_idx - point AS place, value FROM p JOIN ev ON ev.channel_id = p.channel_id AND sample_idx >= point AND sample_idx < point + 32),
     result AS (SELECT {BY}, point, place, (value - avg(value) OVER (PARTITION BY channel_id, point)) * list_extract([{_TUKEY}]::DOUBLE[], CAST(place + 1 AS BIGINT)) AS value FROM g)""",
-    "value", "point place",
-)(lambda spark, sf_dir: windowed.cut(s := events(spark, sf_dir), _points(spark, sf_dir), 31, 0.5, True))
+    "value", "point place", places=8,
+)(lambda spark, sf_dir: windowed.cut(s := events(spark, sf_dir), windowed.level_trigger(s, 30.0, 2, 25), 32, 0.5, True))
 _ALPHA = math.exp(-1 / (RATE * windowed.FAST))
 _LEVEL = f"""WITH {EV}, a AS (SELECT * FROM ev),
     r AS (SELECT y.frame_id, y.channel_id, y.sample_idx, sum((1 - {_ALPHA!r}::DOUBLE) * pow({_ALPHA!r}::DOUBLE, y.sample_idx - x.sample_idx) * x.value * x.value) AS p
@@ -419,6 +414,10 @@ def _resample_sql(up: int, down: int) -> str:
 
 query("resample_up", _resample_sql(3, 2))(lambda spark, sf_dir: filters.resample(events(spark, sf_dir), RATE, 96.0))
 query("resample_down", _resample_sql(3, 4))(lambda spark, sf_dir: as_signal(events(spark, sf_dir)).resampling(48.0).df)
+sample_query(
+    "signal_repeated_channel", events, EV, lambda s: as_signal(s).get_channel(["view", "click", "view"]).df,
+    "SELECT * FROM s WHERE channel_id IN ('view', 'click') UNION ALL SELECT frame_id, 'view.1', sample_idx, value FROM s WHERE channel_id = 'view'",
+)
 query("hpss_harmonic")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "harmonic", n_fft=64))
 query("hpss_percussive")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "percussive", n_fft=64))
 _OCTAVES = spectral.octave_bands(2, 20, 1)

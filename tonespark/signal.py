@@ -174,10 +174,19 @@ class Signal:
 
     @operation("get_channel")
     def get_channel(self, query) -> Signal:
+        """The channels of a query, in its order. A channel may come again: with its label, and its id with the least free suffix .1, .2, ..."""
         ids = self.channel_ids(query)
-        if len(set(ids)) != len(ids):
-            raise ValueError("select a channel once")
-        return self._new(pointwise.select_channels(self.df, ids), "get_channel", {"query": query if isinstance(query, (int, str, list)) else ids}, n=self._n, channels=tuple(c for i in ids for c in self.channels if c.id == i))
+        by, new, taken = {c.id: c for c in self.channels}, [], set(ids)
+        for place, i in enumerate(ids):
+            name = i if i not in ids[:place] else next(n for n in (f"{i}.{k}" for k in range(1, len(ids) + len(taken) + 1)) if n not in taken)
+            taken.add(name)
+            new.append((i, name))
+        if len(set(ids)) == len(ids):
+            df = pointwise.select_channels(self.df, ids)
+        else:
+            self._need(*set(INDEX) - PAIRS)
+            df = pointwise.repeat_channels(self.df, new)
+        return self._new(df, "get_channel", {"query": query if isinstance(query, (int, str, list)) else ids}, n=self._n, channels=tuple(replace(by[i], id=name) for i, name in new))
 
     def __getitem__(self, key) -> Signal:
         if isinstance(key, tuple):
@@ -235,9 +244,11 @@ class Signal:
 
     @operation("astype")
     def astype(self, dtype: str) -> Signal:
-        if dtype not in {"float32": 1, "float64": 1}:
-            raise ValueError("real signals become float32 or float64")
-        return self._new(self.df.withColumn("value", F.col("value").cast("float" if dtype == "float32" else "double")), "astype", {"dtype": dtype}, n=self._n)
+        """Another precision: float32 or float64 of real signals, complex64 or complex128 of complex ones."""
+        parts, names = (["re", "im"], {"complex64": "float", "complex128": "double"}) if self.kind in COMPLEX else (["value"], {"float32": "float", "float64": "double"})
+        if dtype not in names:
+            raise ValueError(f"signals of kind {self.kind} become {' or '.join(names)}")
+        return self._new(self.df.withColumns({p: F.col(p).cast(names[dtype]) for p in parts}), "astype", {"dtype": dtype}, n=self._n)
 
     # ---- time domain ---------------------------------------------------------
 
@@ -473,12 +484,21 @@ class Signal:
         return self._pointwise(filters.resample(self._calibrated(), self.rate, target_sr), "resampling", {"target_sr": target_sr}, "rs", n=n, rate=float(target_sr))
 
     @operation("hpss_harmonic")
-    def hpss_harmonic(self, kernel_size: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop_length: int | None = None, window: str = "hann") -> Signal:
-        return self._pointwise(filters.hpss(self._calibrated(), "harmonic", kernel_size, power, margin, n_fft, hop_length, window), "hpss_harmonic", {"kernel_size": kernel_size, "power": power, "margin": margin, "n_fft": n_fft, "hop_length": hop_length, "window": window}, "Hrm")
+    def hpss_harmonic(
+        self, kernel_size: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop_length: int | None = None, win_length: int | None = None,
+        window: str = "hann", center: bool = True, pad_mode: str = "constant",
+    ) -> Signal:
+        return self._hpss("harmonic", "Hrm", kernel_size, power, margin, n_fft, hop_length, win_length, window, center, pad_mode)
 
     @operation("hpss_percussive")
-    def hpss_percussive(self, kernel_size: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop_length: int | None = None, window: str = "hann") -> Signal:
-        return self._pointwise(filters.hpss(self._calibrated(), "percussive", kernel_size, power, margin, n_fft, hop_length, window), "hpss_percussive", {"kernel_size": kernel_size, "power": power, "margin": margin, "n_fft": n_fft, "hop_length": hop_length, "window": window}, "Prc")
+    def hpss_percussive(
+        self, kernel_size: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop_length: int | None = None, win_length: int | None = None,
+        window: str = "hann", center: bool = True, pad_mode: str = "constant",
+    ) -> Signal:
+        return self._hpss("percussive", "Prc", kernel_size, power, margin, n_fft, hop_length, win_length, window, center, pad_mode)
+
+    def _hpss(self, which: str, short: str, *options) -> Signal:
+        return self._pointwise(filters.hpss(self._calibrated(), which, *options), f"hpss_{which}", {}, short)
 
     @operation("rms_trend")
     def rms_trend(self, frame_length: int = 2048, hop_length: int = 512, dB: bool = False, Aw: bool = False) -> Signal:
@@ -669,6 +689,25 @@ class Signal:
         keep = [c for c in self.df.columns if c not in ("re", "im", "value")]
         return df.select(*keep, value.alias("value"))
 
+    def plot_tables(self, n_fft: int = 2048, hop_length: int | None = None, win_length: int | None = None, window: str = "hann", Aw: bool = False) -> dict[str, DataFrame]:
+        """What a summary of a time signal draws, as plans: waveform, spectrum (Welch) and spectrogram, with their axes; spectra in dB, or A-weighted."""
+        self._need("time")
+        view = "dBA" if Aw else "dB"
+        drawn = lambda s: Signal(s.view(view), s.header).with_axis()
+        power, short = self.welch(n_fft, hop_length, win_length, window), self.stft(n_fft, hop_length, win_length, window)
+        short = Signal(short.df, replace(short.header, params={**short.header.params, "hop": hop_length or n_fft // 4}))
+        return {"waveform": Signal(self._calibrated(), self.header).with_axis(), "spectrum": drawn(power), "spectrogram": drawn(short)}
+
+    def describe(self) -> DataFrame:
+        """A row for each channel of each recording: its samples, least, greatest and mean value, RMS, crest factor and level in dB."""
+        self._need("time")
+        rms = F.sqrt(F.avg(F.col("value") * F.col("value")))
+        peak = F.max(F.abs("value"))
+        out = self._calibrated().groupBy(*KEY).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), rms.alias("rms"), F.when(rms > 0, peak / rms).otherwise(1.0).alias("crest_factor")
+        )
+        return with_channel_values(out, {c.id: c.ref for c in self.channels}, "_ref", 1.0).withColumn("level", levels.level_db(F.col("rms"), F.col("_ref"))).drop("_ref")
+
     # ---- hand-offs --------------------------------------------------------------
 
     def apply(self, func: Callable[[np.ndarray], np.ndarray], **changes) -> Signal:
@@ -733,6 +772,11 @@ def generate_sin(spark: SparkSession, freqs: float | list[float] = 1000.0, sampl
     return Signal(df, Header("time", check_rate(sampling_rate), tuple(Channel(f"c{i}", f"Channel {i + 1}") for i in range(len(freqs))), {}, label), n=n)
 
 
+def load_sample_signal(frequency: float = 5.0, sampling_rate: int = 100, duration: float = 1.0) -> np.ndarray:
+    """A sine as an array on the driver, to try things with."""
+    return np.sin(2 * np.pi * frequency * np.arange(int(sampling_rate * duration)) / sampling_rate)
+
+
 def spectrogram_from_numpy(spark: SparkSession, data: np.ndarray, rate: float, n_fft: int, hop_length: int, win_length: int | None = None, window: str = "hann", label: str = "", channel_labels: list[str] | None = None, frame_id: str = "frame") -> Signal:
     """A short-time spectrum of a complex array on the driver: bins by frames, or channels by bins by frames. The length that istft() gives back is what its slices cover."""
     data = np.asarray(data, complex)
@@ -750,4 +794,4 @@ def spectrogram_from_numpy(spark: SparkSession, data: np.ndarray, rate: float, n
     return Signal(spectral._exploded(arrays, [*KEY, "frame_idx"], "freq_idx"), Header("stft", check_rate(rate), channels, params, label), n=length)
 
 
-__all__ = ["Pair", "Signal", "spectrogram_from_numpy", "from_numpy", "generate_sin", "REGISTRY"]
+__all__ = ["Pair", "Signal", "spectrogram_from_numpy", "from_numpy", "generate_sin", "load_sample_signal", "REGISTRY"]

@@ -199,9 +199,25 @@ class Recordings:
         kept = [paths[i] for i in sorted(random.Random(seed).sample(range(len(paths)), n))]
         return Recordings(self.files.where(F.col("path").isin(kept)), self.rate, self.steps)
 
+    def __len__(self) -> int:
+        return self.files.select("path").distinct().count()
+
+    def __getitem__(self, key: int | str) -> Recordings:
+        """The recording of a number, counted from 0 in order of the paths, or all of a file name."""
+        if isinstance(key, str):
+            return self.get_by_label(key)
+        if isinstance(key, bool) or not isinstance(key, int):
+            raise TypeError("a recording is known by its number or its file's name")
+        found = self.files.select("path").distinct().orderBy("path").offset(key).limit(1).collect() if key >= 0 else []
+        if not found:
+            raise IndexError(f"no recording {key}")
+        return Recordings(self.files.where(F.col("path") == found[0][0]), self.rate, self.steps)
+
     def get_by_label(self, name: str) -> Recordings:
         return Recordings(self.files.where(F.col("name") == name), self.rate, self.steps)
 
+    get_all_by_label = get_by_label
+
     def apply(self, step: Callable[[Signal], Signal]) -> Recordings:
         """A step over all recordings at once when they are read."""
         return Recordings(self.files, self.rate, (*self.steps, step))
