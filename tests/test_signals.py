@@ -506,6 +506,17 @@ def test_streams(spark, tmp_path):
     assert math.isclose(level[max(k for k in level if k[0] == "c0")], math.sqrt(y), rel_tol=1e-9)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1e6)), max_size=70), st.floats(0, 1e6))
+def test_smoothed(rows, first):
+    decay, x = (np.array([r[i] for r in rows], float) for i in (0, 1))
+    y, want = first, []
+    for d, v in rows:
+        y = d * y + (1 - d) * v
+        want.append(y)
+    assert np.allclose(stream_levels.smoothed(decay, x, first), want, rtol=1e-9, atol=1e-9)
+
+
 # ---- filters at high rates, spectra, pairs ------------------------------------------------------
 
 
