@@ -19,7 +19,7 @@ from .functions.kernels import butterworth, butterworth_sections, extension, pol
 from .functions.tables import KEY, number_rows
 from .functions.windows import tukey, window
 from .frame import Channel, Header
-from .operators import filters, pointwise, spectral, stats, windowed
+from .operators import filters, loudness, pointwise, spectral, stats, windowed
 from .signal import Signal
 
 RATE = 64.0
@@ -420,6 +420,18 @@ sample_query(
 )
 query("hpss_harmonic")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "harmonic", n_fft=64))
 query("hpss_percussive")(lambda spark, sf_dir: filters.hpss(events(spark, sf_dir), "percussive", n_fft=64))
+
+
+def _pressure(spark: SparkSession, sf_dir: str) -> Signal:
+    """Events as sound pressure, some 80 dB, at 48 kHz."""
+    s = as_signal(events(spark, sf_dir), 48_000.0)
+    return s.with_calibration([0.01] * s.n_channels)
+
+
+# core loudness, its spread and decay are tested against the standard's steps one by one, not by SQL
+query("loudness_steady")(lambda spark, sf_dir: loudness.steady(_pressure(spark, sf_dir)._calibrated(), 48_000.0))
+query("loudness_varying")(lambda spark, sf_dir: _pressure(spark, sf_dir).loudness_zwtv().df)
+query("sharpness_varying")(lambda spark, sf_dir: _pressure(spark, sf_dir).sharpness_din().df)
 _OCTAVES = spectral.octave_bands(2, 20, 1)
 _BAND_SQL = ", ".join(_recursion_sql(f"f{b.band_idx}", "x", butterworth_sections(3, "band", (b.low, b.high), RATE)) for b in _OCTAVES.itertuples())
 _BAND_RMS = " UNION ALL ".join(f"SELECT {BY}, {b.band_idx} AS band_idx, {b.center!r}::DOUBLE AS center, sqrt(avg(y * y)) AS value FROM f{b.band_idx} WHERE i >= 0 GROUP BY ALL" for b in _OCTAVES.itertuples())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .frame import Channel, Header, LevelReference, Step, check_rate
 from .functions import levels, windows
 from .functions.tables import KEY, with_channel_values
-from .operators import filters, pointwise, spectral, stats, windowed
+from .operators import filters, loudness, pointwise, spectral, stats, windowed
 from .plans.registry import REGISTRY, operation
 
 INDEX = {
@@ -514,6 +514,33 @@ class Signal:
         out = windowed.sound_level(df, self.rate, tau, dB, {c.id: c.ref for c in self.channels})
         return self._pointwise(out, "sound_level", {"freq_weighting": freq_weighting, "time_weighting": time_weighting, "dB": dB}, f"L{freq_weighting}")
 
+    def _heard(self, what: str, name: str, field_type: str, weighting: str = "din") -> Signal:
+        df = loudness.varying(self._calibrated(), self.rate, what, field_type, weighting)
+        unit = "sone" if what == "loudness" else "acum"
+        return self._pointwise(df, name, {}, n=None, rate=float(loudness.zwicker.RATE), channels=tuple(replace(c.with_unit(unit), factor=1.0, label=f"{name}({c.label})") for c in self.channels))
+
+    @operation("loudness_zwtv")
+    def loudness_zwtv(self, field_type: str = "free") -> Signal:
+        """Loudness over time in sone (ISO 532-1), 500 values a second; values are sound pressure in pascal."""
+        return self._heard("loudness", "loudness_zwtv", field_type)
+
+    @operation("sharpness_din")
+    def sharpness_din(self, weighting: str = "din", field_type: str = "free") -> Signal:
+        """Sharpness over time in acum (DIN 45692), 500 values a second."""
+        return self._heard("sharpness", "sharpness_din", field_type, weighting)
+
+    def _steady(self, which: str, field_type: str, weighting: str = "din") -> dict[str, float]:
+        got = {r.channel_id: r[which] for r in loudness.steady(self._calibrated(), self.rate, field_type, weighting).collect()}
+        return {c.label: got.get(c.id, 0.0) for c in self.channels}
+
+    def loudness_zwst(self, field_type: str = "free") -> dict[str, float]:
+        """Loudness in sone of a sound that does not change (ISO 532-1)."""
+        return self._steady("loudness", field_type)
+
+    def sharpness_din_st(self, weighting: str = "din", field_type: str = "free") -> dict[str, float]:
+        """Sharpness in acum of a sound that does not change (DIN 45692)."""
+        return self._steady("sharpness", field_type, weighting)
+
     def rms(self) -> dict[str, float]:
         got = {r.channel_id: r.rms for r in stats.rms(self._calibrated()).collect()}
         return {c.label: got.get(c.id, 0.0) for c in self.channels}
