@@ -401,6 +401,68 @@ def test_other_files():
             audio.info(bad)
 
 
+def test_ranges_are_read_by_parts(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(2).uniform(-0.9, 0.9, (3, 150_000)).astype(np.float32).astype(float)
+    names = [str(tmp_path / n) for n in ("x.wav", "a b.wav", "50%41.wav")]
+    for n in names:
+        with open(n, "wb") as f:
+            f.write(audio.wav_bytes(x, 8000))
+    plain, spaced, escaped = names
+    assert read.header_of(f"file:{plain}", 44 + x.size * 4) == audio.info(audio.wav_bytes(x, 8000)) and read.header_of(f"file:{escaped}", 1) is None
+    whole = read.read(spark, plain)
+    assert np.array_equal(whole.to_numpy(), x) and whole.df.rdd.getNumPartitions() > 1
+    for n in names:
+        part = read.read(spark, n, start=1.5, end=17.25, channel=[2, 0])
+        assert np.array_equal(part.to_numpy(), x[[2, 0], 12_000:138_000]) and part.channels[0].offset == 1.5 and part.n_samples() == 126_000
+    assert read.read(spark, plain, start=4.0, end=4.0).df.count() == 0 == read.read(spark, plain, start=99.0).n_samples()
+    monkeypatch.setattr(read, "header_of", lambda path, length: None)  # a store that Arrow does not reach
+    assert np.array_equal(read.read(spark, plain, start=1.5, end=17.25).to_numpy(), x[:, 12_000:138_000])
+    with pytest.raises(ValueError):
+        read.read(spark, plain, channel=3)
+
+
+def test_urls(spark, noise):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    wav = audio.wav_bytes(noise / 10, 8000)
+    table = b"time,ch1\n" + b"".join(b"%.2f,%d\n" % (i / 100, i) for i in range(50))
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            name, _, how = self.path.partition("?")
+            body = {"/x.wav": wav, "/t.csv": table, "/plain": wav}.get(name)
+            self.send_response(200 if body else 404)
+            if how != "silent":
+                self.send_header("Content-Length", {"odd": "many", "short": str(len(wav) + 9)}.get(how, str(len(body or b""))))
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        s = read.read(spark, f"{at}/x.wav", start=0.05)
+        assert np.allclose(s.to_numpy(), noise[:, 400:] / 10, atol=1e-7) and s.header.label == "x.wav" and s.channels[0].offset == 0.05
+        assert np.array_equal(read.read(spark, f"{at}/t.csv").to_numpy(), np.arange(50)) and read.read(spark, f"{at}/t.csv").rate == 100
+        assert read.read(spark, f"{at}/plain", file_type=".wav", max_bytes=len(wav)).n_samples() == noise.shape[1]
+        assert read.read(spark, f"{at}/x.wav?silent", max_bytes=len(wav)).n_samples() == noise.shape[1]
+        for bad, limit in (("x.wav", len(wav) - 1), ("x.wav?silent", len(wav) - 1), ("x.wav?odd", 10**9), ("x.wav?short", 10**9), ("none.wav", 10**9)):
+            with pytest.raises(OSError):
+                read.read(spark, f"{at}/{bad}", max_bytes=limit)
+        for bad in ("plain", "x.mp3"):
+            with pytest.raises(ValueError):
+                read.read(spark, f"{at}/{bad}")
+        with pytest.raises(ValueError):
+            read.read(spark, f"{at}/x.wav", max_bytes=0)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 def test_csv(spark, tmp_path):
     t = np.arange(100) * 0.01 + 5
     pd.DataFrame({"time": t, "ch1": np.sin(t), "ch2": np.cos(t)}).to_csv(tmp_path / "x.csv", index=False)
@@ -438,6 +500,23 @@ def test_folders(spark, tmp_path):
         read.from_folder(spark, str(tmp_path), metadata_resolver=lambda p: {}, use_path_metadata=True)
 
 
+def test_long_recordings_are_dealt_to_tasks(spark, tmp_path):
+    long, short = np.random.default_rng(4).uniform(-0.9, 0.9, (2, 150_000)).astype("<f4").astype(float), np.full((2, 7), 0.5)
+    for name, x in (("a.wav", long), ("b c.wav", short), ("d.wav", np.zeros((2, 0)))):
+        (tmp_path / name).write_bytes(audio.wav_bytes(x, 8000))
+    every = read.from_folder(spark, str(tmp_path))
+    s = every.read()
+    ids = {i.rpartition("/")[2]: i for i in every.paths()}
+    assert np.array_equal(s.to_numpy(ids["a.wav"]), long) and np.array_equal(s.to_numpy(ids["b c.wav"]), short)
+    assert s.df.select("frame_id").distinct().count() == 2
+    metas = read._probe_all(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path").collect()
+    assert [(m.frames, m.offset) for m in metas] == [(150_000, 44), (7, 44 if metas[1].offset else None), (0, 44)]
+    (tmp_path / "e.wav").write_bytes(audio.wav_bytes(np.zeros((1, 9)), 8000))
+    with pytest.raises(ValueError):
+        read.from_folder(spark, str(tmp_path)).read()
+    assert read.from_folder(spark, str(tmp_path)).read("permissive").df.select("frame_id").distinct().count() == 2
+
+
 def test_save_and_load(spark, tmp_path, signal, noise):
     path = str(tmp_path / "stored")
     read.save(signal.with_calibration([2.0, 1.0]), path)

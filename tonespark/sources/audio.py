@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -26,28 +26,29 @@ class AudioInfo:
     order: str
 
 
-def info(data: bytes) -> AudioInfo:
-    head = bytes(data[:12])
+def info(data: bytes, total: int | None = None) -> AudioInfo:
+    """From a file, or from the beginning of one of total bytes."""
+    head, total = bytes(data[:12]), len(data) if total is None else total
     if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
-        return _wav(data)
+        return _wav(data, total)
     if head[:4] == b"FORM" and head[8:12] in (b"AIFF", b"AIFC"):
-        return _aiff(data)
+        return _aiff(data, total)
     if head[:4] == b".snd":
-        return _au(data)
+        return _au(data, total)
     raise ValueError("no WAV, AIFF or AU file")
 
 
-def _chunks(data: bytes, order: str):
+def _chunks(data: bytes, order: str, total: int):
     at = 12
     while at + 8 <= len(data):
         name, size = struct.unpack_from(f"{order}4sI", data, at)
-        yield name, at + 8, min(size, len(data) - at - 8)
+        yield name, at + 8, min(size, total - at - 8)
         at += 8 + size + size % 2
 
 
-def _wav(data: bytes) -> AudioInfo:
+def _wav(data: bytes, total: int) -> AudioInfo:
     form = None
-    for name, at, size in _chunks(data, "<"):
+    for name, at, size in _chunks(data, "<", total):
         if name == b"fmt ":
             tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at)
             if tag == 0xFFFE:
@@ -67,9 +68,9 @@ def _extended(b: bytes) -> float:
     return float(mantissa) * 2.0 ** ((exponent & 0x7FFF) - 16383 - 63)
 
 
-def _aiff(data: bytes) -> AudioInfo:
+def _aiff(data: bytes, total: int) -> AudioInfo:
     form = place = None
-    for name, at, size in _chunks(data, ">"):
+    for name, at, size in _chunks(data, ">", total):
         if name == b"COMM":
             channels, frames, bits = struct.unpack_from(">hIh", data, at)
             coding = bytes(data[at + 18 : at + 22]) if size >= 22 else b"NONE"
@@ -84,13 +85,13 @@ def _aiff(data: bytes) -> AudioInfo:
     return AudioInfo(rate, channels, frames, place, kind, width, order)
 
 
-def _au(data: bytes) -> AudioInfo:
+def _au(data: bytes, total: int) -> AudioInfo:
     offset, size, coding, rate, channels = struct.unpack_from(">IIIII", data, 4)
     kinds = {2: ("i", 1), 3: ("i", 2), 4: ("i", 3), 5: ("i", 4), 6: ("f", 4), 7: ("f", 8)}
     if coding not in kinds:
         raise ValueError(f"AU coding {coding} is not linear")
     kind, width = kinds[coding]
-    size = len(data) - offset if size == 0xFFFFFFFF else min(size, len(data) - offset)
+    size = total - offset if size == 0xFFFFFFFF else min(size, total - offset)
     return AudioInfo(float(rate), channels, size // (width * channels), offset, kind, width, ">")
 
 
@@ -112,6 +113,13 @@ def decode(data: bytes, meta: AudioInfo, first: int = 0, end: int | None = None)
     return x.reshape(-1, meta.channels).T
 
 
+def decode_part(read, meta: AudioInfo, first: int, end: int) -> np.ndarray:
+    """decode() of a range by read(offset, size), which gives the file's bytes."""
+    step = meta.bytes * meta.channels
+    end = max(first, min(end, meta.frames))
+    return decode(read(meta.offset + first * step, (end - first) * step), replace(meta, offset=0, frames=end - first))
+
+
 def wav_bytes(data: np.ndarray, rate: float) -> bytes:
     """A WAV file of (channels, frames): float 32 where magnitudes are at most 1, else clipped 16-bit PCM."""
     data = np.atleast_2d(np.asarray(data, float))

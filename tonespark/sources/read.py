@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import struct
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +25,10 @@ from . import audio
 READERS: dict[str, Callable] = {}
 #: Samples of a channel in one row of a decoded file.
 PART = 65_536
+#: Bytes at a file's beginning in which its header is looked for before the whole file is read.
+HEAD = 1 << 20
+#: Most bytes that the driver takes from a URL, bytes that it takes at a time, and seconds that it waits.
+DOWNLOAD, PIECE, TIMEOUT = 1 << 30, 1 << 20, 10.0
 
 
 def register_file_reader(extension: str, reader: Callable) -> None:
@@ -37,7 +48,14 @@ def get_file_reader(path: str) -> Callable:
 
 
 def read(spark: SparkSession, source, **options) -> Signal:
-    """A signal from a path, bytes, or a file object, by its extension (file_type for bytes)."""
+    """A signal from a path, a URL, bytes, or a file object, by its extension (file_type for bytes)."""
+    if isinstance(source, str) and re.match(r"https?://", source, re.IGNORECASE):
+        path = urllib.parse.urlsplit(source).path
+        options = {"file_type": "", "source_name": path.rpartition("/")[2], **options}
+        kind = options["file_type"] = options["file_type"] or path.lower()
+        if get_file_reader(kind if "." in kind else f".{kind}") not in (read_audio, read_csv):
+            raise ValueError("readers of one's own take paths, not URLs")
+        source = download(source, *[options.pop(k, d) for k, d in (("timeout", TIMEOUT), ("max_bytes", DOWNLOAD))])
     if hasattr(source, "read"):
         source, options = source.read(), {"file_type": getattr(source, "name", ".wav"), **options}
     if isinstance(source, (bytes, bytearray, memoryview)):
@@ -46,6 +64,30 @@ def read(spark: SparkSession, source, **options) -> Signal:
     return get_file_reader(source)(spark, source, **options)
 
 
+def download(url: str, timeout: float = TIMEOUT, max_bytes: int = DOWNLOAD) -> bytes:
+    """What a URL gives, on the driver; refused where it says, or turns out, to be larger than max_bytes."""
+    if max_bytes < 1:
+        raise ValueError("a limit of bytes is above 0")
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:
+            said = answer.headers.get("Content-Length")
+            if said is not None and not said.strip().isdigit():
+                raise OSError(f"{url} gives no length but {said!r}")
+            if said is not None and int(said) > max_bytes:
+                raise OSError(f"{url} has {said} bytes, more than {max_bytes}")
+            parts, size = [], 0
+            while piece := answer.read(min(PIECE, max_bytes + 1 - size)):
+                parts.append(piece)
+                size += len(piece)
+                if size > max_bytes:
+                    raise OSError(f"{url} has more than {max_bytes} bytes")
+    except urllib.error.URLError as e:
+        raise OSError(f"{url} cannot be read: {e}") from e
+    if said is not None and size < int(said):
+        raise OSError(f"{url} ended after {size} of {said} bytes")
+    return b"".join(parts)
+
+
 def _pick(labels: list[str], channel) -> list[int]:
     wanted = range(len(labels)) if channel is None else [channel] if isinstance(channel, int) else list(channel)
     if not all(0 <= c < len(labels) for c in wanted):
@@ -92,15 +134,54 @@ def probe(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, rate double, channels int, frames long")
 
 
+def open_file(path: str):
+    """A file of a store that Arrow knows, to be read at any place."""
+    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(inner)
+
+
+def header_of(path: str, length: int) -> audio.AudioInfo | None:
+    """A file's header from its first bytes; None where Arrow does not reach the store, or the header does not lie there."""
+    if "%" in path:  # an escape in one place, a plain sign in another
+        return None
+    try:
+        with open_file(path) as f:
+            return audio.info(f.read(min(HEAD, length)), length)
+    except (OSError, ValueError, struct.error, pa.ArrowException):
+        return None
+
+
+def ranged(spark: SparkSession, path: str, meta: audio.AudioInfo, first: int, stop: int, channels: list[int]) -> DataFrame:
+    """Samples first to stop of one file as a long table. Each task opens the file and reads the bytes of its own parts only, so a file may be larger than a row and is read by many tasks."""
+
+    def run(frames):
+        for pdf in frames:
+            with open_file(path) as f:
+                for at in pdf["at"]:
+                    x = audio.decode_part(lambda offset, size: f.read_at(size, offset), meta, int(at), min(int(at) + PART, stop))
+                    yield pd.DataFrame({"frame_id": path, "channel_id": [f"c{c}" for c in channels], "start": int(at) - first, "values": [x[c] for c in channels]})
+
+    parts = spark.range(0, -(-(stop - first) // PART)).select((F.col("id") * PART + first).alias("at"))
+    return unblock(parts.mapInPandas(run, "frame_id string, channel_id string, start long, values array<double>"))
+
+
 def read_audio(spark: SparkSession, path: str, channel=None, start: float | None = None, end: float | None = None, ch_labels: list[str] | None = None, **_) -> Signal:
-    """One file, decoded on the executors; the driver reads its header only."""
+    """One file, decoded on the executors; the driver reads its header only.
+
+    Tasks read the bytes of their parts of the wanted range. Where Arrow does not
+    reach the store, Spark reads the whole file into one row, and the range is cut
+    from that.
+    """
     files = spark.read.format("binaryFile").load(path)
-    meta = probe(files).first()
-    if meta is None:
+    listed = files.select("path", "length").limit(2).collect()
+    if not listed:
         raise FileNotFoundError(path)
+    meta = header_of(*listed[0]) if len(listed) == 1 else None
+    known = meta is not None
+    meta = meta or probe(files).first()
     picked = _pick([""] * meta.channels, channel)
-    df = decoded(files, start, end).where(F.col("channel_id").isin([f"c{c}" for c in picked]))
     first, stop = _range(meta.rate, meta.frames, start, end)
+    df = ranged(spark, listed[0].path, meta, first, stop, picked) if known else decoded(files, start, end).where(F.col("channel_id").isin([f"c{c}" for c in picked]))
     labels = ch_labels or [f"ch{c}" for c in picked]
     channels = tuple(Channel(f"c{c}", n, "FS", offset=first / meta.rate) for c, n in zip(picked, labels, strict=True))
     return Signal(df, Header("time", meta.rate, channels, {}, path.rpartition("/")[2]), n=stop - first)
@@ -248,7 +329,10 @@ class Recordings:
         odd = metas.where(F.col("error").isNotNull() | (F.col("rate") != first.rate) | (F.col("channels") != first.channels))
         if errors == "failfast" and (bad := odd.first()) is not None:
             raise ValueError(f"{bad.path}: {bad.error or 'another rate or number of channels'}")
-        df = decoded(content.join(odd.select("path"), "path", "left_anti"))
+        fit = good.where((F.col("rate") == first.rate) & (F.col("channels") == first.channels))
+        df = decoded_parts(fit.where("offset IS NOT NULL"))
+        if not fit.where("offset IS NULL").isEmpty():
+            df = df.unionByName(decoded(content.join(fit.where("offset IS NULL").select("path"), "path", "left_semi")))
         channels = tuple(Channel(f"c{i}", f"ch{i}", "FS") for i in range(first.channels))
         out = Signal(df, Header("time", first.rate, channels, {}, "recordings"), n=None)
         if self.rate and self.rate != first.rate:
@@ -262,19 +346,51 @@ class Recordings:
         return self.files.select(F.col("path").alias("frame_id"), "name", *(["meta"] if "meta" in self.files.columns else []))
 
 
+METAS = "path string, rate double, channels int, frames long, offset long, kind string, bytes int, order string, error string"
+
+
 def _probe_all(files: DataFrame) -> DataFrame:
-    def run(frames):
+    """Headers of files, from their first bytes where Arrow reaches them; offset is null for files that Spark has to read whole."""
+
+    def heads(frames):
+        for pdf in frames:
+            yield _metas([(p, header_of(p, n), None) for p, n in zip(pdf["path"], pdf["length"])])
+
+    def wholes(frames):
         for pdf in frames:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    m = audio.info(content)
-                    rows.append((path, m.rate, m.channels, None))
+                    rows.append((path, replace(audio.info(content), offset=None), None))
                 except ValueError as e:
-                    rows.append((path, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "error"]).astype({"channels": "Int32"})
+                    rows.append((path, None, str(e)))
+            yield _metas(rows)
+
+    seen = files.select("path", "length").mapInPandas(heads, METAS)
+    unseen = files.select("path", "content").join(seen.where("rate IS NULL").select("path"), "path", "left_semi")
+    return seen.where("rate IS NOT NULL").unionByName(unseen.mapInPandas(wholes, METAS))
 
-    return files.select("path", "content").mapInPandas(run, "path string, rate double, channels int, error string")
+
+def _metas(rows: list[tuple]) -> pd.DataFrame:
+    each = [(p, *((m.rate, m.channels, m.frames, m.offset, m.kind, m.bytes, m.order) if m else (None,) * 7), e) for p, m, e in rows]
+    whole = {c.split()[0]: "Int64" for c in METAS.split(", ") if c.split()[1] in ("int", "long")}
+    return pd.DataFrame(each, columns=[c.split()[0] for c in METAS.split(", ")]).astype(whole)
+
+
+def decoded_parts(metas: DataFrame) -> DataFrame:
+    """Files of headers (METAS) as a long table like decoded()'s; parts of files are dealt to tasks, which read their bytes only."""
+
+    def run(frames):
+        for pdf in frames:
+            for path, parts in pdf.groupby("path", sort=False):
+                with open_file(path) as f:
+                    for row in parts.itertuples(index=False):
+                        meta = audio.AudioInfo(row.rate, row.channels, row.frames, row.offset, row.kind, row.bytes, row.order)
+                        x = audio.decode_part(lambda offset, size: f.read_at(size, offset), meta, row.at, row.at + PART)
+                        yield pd.DataFrame({"frame_id": path, "channel_id": [f"c{i}" for i in range(len(x))], "start": row.at, "values": list(x)})
+
+    parts = metas.where("frames > 0").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(PART).cast("long"))))
+    return unblock(parts.repartition("path", "at").sortWithinPartitions("path", "at").mapInPandas(run, "frame_id string, channel_id string, start long, values array<double>"))
 
 
 def from_folder(spark: SparkSession, folder: str, sampling_rate: float | None = None, file_extensions: tuple = (".wav",), recursive: bool = False, metadata_resolver: Callable | None = None, use_path_metadata: bool = False) -> Recordings:
