@@ -1,6 +1,7 @@
 import json
 import math
 import struct
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -401,6 +402,26 @@ def test_other_files():
             audio.info(bad)
 
 
+@pytest.mark.parametrize("name,options", [("rms_trend", {"frame_length": 64, "hop_length": 16}), ("rms_trend", {"frame_length": 64, "hop_length": 16, "Aw": True}), ("sound_level", {"freq_weighting": "C"})])
+def test_levels_of_extreme_values(spark, noise, name, options):
+    factors, two = (1.0, 1e200, 1e-200, 0.0), noise[:, :200]
+    x = np.concatenate([two * f for f in factors])
+    s = from_numpy(spark, x, 48_000.0)
+    level = lambda **more: getattr(s, name)(**options, **more).to_numpy().reshape(4, 2, -1)
+    plain, wide, db, plain_db = level(), level(wide_range=True), level(dB=True, wide_range=True), level(dB=True)
+    same, _ = windowed.scaled(s.df.where("channel_id IN ('c0', 'c1')"))
+    assert np.array_equal(Signal(same, replace(s.header, channels=s.channels[:2])).to_numpy(), two)
+    assert np.allclose(wide[0], plain[0], rtol=1e-12) and np.allclose(db[0], plain_db[0], atol=1e-9)  # sums in another order
+    assert not np.isfinite(plain[1]).all() and (plain[2] == 0).any()
+    least = -240 if name == "rms_trend" else -200
+    for k, f in enumerate(factors[:3]):
+        assert np.allclose(wide[k] / f, plain[0], rtol=1e-9)
+        assert np.allclose(db[k], np.maximum(20 * np.log10(plain[0]) + 20 * math.log10(f), least), atol=1e-6)
+    assert (wide[3] == 0).all() and (db[3] == least).all()
+    pascal = Signal(s.df, Header("time", 48_000.0, tuple(Channel(c.id, c.label, "Pa") for c in s.channels)), n=200)
+    assert np.allclose(getattr(pascal, name)(**options, dB=True, wide_range=True).to_numpy().reshape(4, 2, -1)[1], db[1] - 20 * math.log10(2e-5), atol=1e-6)
+
+
 def test_ranges_are_read_by_parts(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(2).uniform(-0.9, 0.9, (3, 150_000)).astype(np.float32).astype(float)
     names = [str(tmp_path / n) for n in ("x.wav", "a b.wav", "50%41.wav")]

@@ -91,6 +91,32 @@ def sound_level(df: DataFrame, rate: float, time_constant: float = FAST, db: boo
     return with_channel_values(out, refs or {}, "_ref", 1.0).withColumn("value", power_db(F.col("value"), F.col("_ref"))).drop("_ref")
 
 
+#: Magnitudes whose squares, summed over any channel, stay within what a double holds.
+LEAST, MOST = 1e-140, 1e140
+
+
+def scaled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df with each channel whose greatest magnitude lies outside LEAST to MOST divided by a power of two near it, and the powers (_scale) by channel.
+
+    Other channels keep their values to the bit (a power of 1). Samples some 1e150
+    below a scaled channel's greatest one have squares of 0 and read as silence.
+    """
+    top = F.max(F.abs("value"))
+    odd = (top > 0) & (top < float("inf")) & ((top < LEAST) | (top > MOST))
+    scales = df.groupBy(*KEY).agg(F.when(odd, F.pow(F.lit(2.0), F.floor(F.log2(top)))).otherwise(1.0).alias("_scale"))
+    return df.join(scales, list(KEY)).withColumn("value", F.col("value") / F.col("_scale")).drop("_scale"), scales
+
+
+def unscaled(df: DataFrame, scales: DataFrame, db: bool, refs: dict[str, float], floor: float) -> DataFrame:
+    """Amplitudes of scaled() samples at their own size, or as levels in dB, whose ratio to the reference is never formed."""
+    out = df.join(scales, list(KEY))
+    if not db:
+        return out.withColumn("value", F.col("value") * F.col("_scale")).drop("_scale")
+    level = 20 * F.log10("value") + 20 * F.log10("_scale") - 20 * F.log10("_ref")
+    out = with_channel_values(out, refs, "_ref", 1.0).withColumn("value", F.when(F.col("value") > 0, F.greatest(level, F.lit(floor))).otherwise(floor))
+    return out.drop("_scale", "_ref")
+
+
 def crossings(df: DataFrame, level: float, block: int = BLOCK) -> DataFrame:
     """Samples before which a channel's sign against level rises: compared with the next sample, across blocks by a halo of one."""
     sign = F.signum(F.col("value") - level)

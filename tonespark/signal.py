@@ -501,17 +501,21 @@ class Signal:
         return self._pointwise(filters.hpss(self._calibrated(), which, *options), f"hpss_{which}", {}, short)
 
     @operation("rms_trend")
-    def rms_trend(self, frame_length: int = 2048, hop_length: int = 512, dB: bool = False, Aw: bool = False) -> Signal:
-        df = self._calibrated()
-        df = filters.frequency_weighting(df, self.rate) if Aw else df
-        out = windowed.rms_trend(df, frame_length, hop_length, dB, {c.id: c.ref for c in self.channels})
+    def rms_trend(self, frame_length: int = 2048, hop_length: int = 512, dB: bool = False, Aw: bool = False, wide_range: bool = False) -> Signal:
+        """RMS of frames. wide_range looks at each channel's greatest magnitude first, so that squares of values like 1e200 or 1e-200 neither overflow nor vanish."""
+        curve, refs = "A" if Aw else "Z", {c.id: c.ref for c in self.channels}
+        df, scales = windowed.scaled(self._calibrated()) if wide_range else (self._calibrated(), None)
+        out = windowed.rms_trend(filters.frequency_weighting(df, self.rate, curve), frame_length, hop_length, dB and not wide_range, refs)
+        out = windowed.unscaled(out, scales, dB, refs, 20 * math.log10(levels.AMPLITUDE_FLOOR)) if wide_range else out
         return self._pointwise(out, "rms_trend", {"frame_length": frame_length, "hop_length": hop_length, "dB": dB, "Aw": Aw}, "RMS", n=None, rate=self.rate / hop_length)
 
     @operation("sound_level")
-    def sound_level(self, freq_weighting: str = "Z", time_weighting: str = "Fast", dB: bool = False) -> Signal:
-        tau = {"Fast": windowed.FAST, "Slow": windowed.SLOW}[time_weighting]
-        df = filters.frequency_weighting(self._calibrated(), self.rate, freq_weighting)
-        out = windowed.sound_level(df, self.rate, tau, dB, {c.id: c.ref for c in self.channels})
+    def sound_level(self, freq_weighting: str = "Z", time_weighting: str = "Fast", dB: bool = False, wide_range: bool = False) -> Signal:
+        """Time-weighted level; wide_range as in rms_trend()."""
+        tau, refs = {"Fast": windowed.FAST, "Slow": windowed.SLOW}[time_weighting], {c.id: c.ref for c in self.channels}
+        df, scales = windowed.scaled(self._calibrated()) if wide_range else (self._calibrated(), None)
+        out = windowed.sound_level(filters.frequency_weighting(df, self.rate, freq_weighting), self.rate, tau, dB and not wide_range, refs)
+        out = windowed.unscaled(out, scales, dB, refs, 10 * math.log10(levels.POWER_FLOOR)) if wide_range else out
         return self._pointwise(out, "sound_level", {"freq_weighting": freq_weighting, "time_weighting": time_weighting, "dB": dB}, f"L{freq_weighting}")
 
     def _heard(self, what: str, name: str, field_type: str, weighting: str = "din") -> Signal:
