@@ -101,3 +101,22 @@ def test_every_row_counts(spark, con, name):
 def test_division_by_zero(spark):
     s = spark.createDataFrame([("r", "c", i, v) for i, v in enumerate((0.0, 4.0))], "frame_id string, channel_id string, sample_idx long, value double")
     assert [r.value for r in pointwise.with_scalar(s, "div", 2.0, reverse=True).orderBy("sample_idx").collect()] == [float("inf"), 0.5]
+
+
+@pytest.mark.parametrize("name", ["arith_reverse_div", "arith_frames_div", "arith_div"])
+def test_division_of_odd_values(spark, tmp_path, name):
+    """Nulls, zeros of both signs and what is not finite, as SQL divides them."""
+    con = duckdb.connect()
+    values = ["NULL", "0.0", "'-0.0'", "4.0", "'nan'", "'inf'", "'-inf'", "1e-310", "-1e-200"]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01 00:00:0{i}', 'click', {v}::DOUBLE)" for i, v in enumerate(values))
+    con.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, ts, event_type, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    got = [(r.sample_idx, str(r.value)) for r in QUERIES[name](spark, str(tmp_path)).orderBy("sample_idx").collect()]
+    assert got == [(i, str(v)) for i, v in con.sql(f"SELECT sample_idx, value FROM ({ORACLES[name]}) ORDER BY 1").fetchall()] and len(got) == len(values)
+
+
+def test_division_of_signed_zeros(spark):
+    zeros = [(n, z) for n in (2.0, -2.0, 0.0, float("nan"), None) for z in (0.0, -0.0, None)]
+    df = spark.createDataFrame([(i, n, z) for i, (n, z) in enumerate(zeros)], "i long, n double, z double")
+    got = [str(r.q) for r in df.select("i", pointwise.OPERATIONS["div"](df.n, df.z).alias("q")).orderBy("i").collect()]
+    assert got == ["inf", "-inf", "None", "-inf", "inf", "None", *["nan", "nan", "None"] * 2, *["None"] * 3]

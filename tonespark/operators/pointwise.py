@@ -12,7 +12,8 @@ OPERATIONS = {
     "add": lambda a, b: a + b,
     "sub": lambda a, b: a - b,
     "mul": lambda a, b: a * b,
-    "div": lambda a, b: F.when(b != 0, F.try_divide(a, b)).when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))),
+    # by zero as IEEE 754 has it: a power of -1 keeps the zero's sign, and nulls stay nulls
+    "div": lambda a, b: F.when(b != 0, F.try_divide(a, b)).otherwise(a * F.pow(b, F.lit(-1.0))),
     "pow": lambda a, b: F.pow(a, b),
 }
 
