@@ -1,6 +1,7 @@
 import json
 import math
 import struct
+import tracemalloc
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tonespark.frame import Channel, Header, LevelReference, check_rate
-from tonespark.functions import kernels
+from tonespark.functions import kernels, tables
 from tonespark.functions.windows import tukey, window
 from tonespark.operators import filters, spectral, windowed
 from tonespark.plans.recipe import Recipe, RecipeError
@@ -787,6 +788,70 @@ def test_hpss_options(spark, options):
     assert not np.allclose(h, s.hpss_harmonic(n_fft=256).to_numpy())
 
 
+def plain_hpss(x, which, kernel, n_fft, hop, win_length, center, pad_mode):
+    """Median separation of a whole channel at once."""
+    before = (n_fft - win_length) // 2
+    w, edge = np.pad(window("hann", win_length), (before, n_fft - win_length - before)), n_fft // 2 if center else 0
+    wide = np.pad(x, edge, mode=pad_mode)
+    places = np.arange(0, len(wide) - n_fft + 1, hop)[:, None] + np.arange(n_fft)
+    spectrum = np.fft.rfft(wide[places] * w).T
+    part = np.fft.irfft((spectrum * kernels.harmonic_percussive(abs(spectrum), kernel)[which == "percussive"]).T, n_fft) * w
+    y, norm = np.zeros(len(wide)), np.zeros(len(wide))
+    for at, values in zip(places, part):
+        y[at] += values
+        norm[at] += w * w
+    return (y / np.where(norm > 1e-12, norm, 1.0))[edge : edge + len(x)]
+
+
+@pytest.mark.parametrize("which", ["percussive"])
+@pytest.mark.parametrize("options", [(31, 64, 16, 64, True, "constant"), (7, 64, 16, 48, True, "reflect"), (31, 32, 32, 32, False, "edge"), (5, 32, 7, 32, True, "linear_ramp")])
+def test_hpss_by_blocks(spark, monkeypatch, which, options):
+    """Channels go through blocks, none of which holds more than it has to, and give what whole channels give; the ends of channels and blocks fall in all places."""
+    kernel, n_fft, hop, win_length, center, pad_mode = options
+    rng, halo = np.random.default_rng(5), n_fft + kernel // 2 * hop
+    channels = {f"c{n}": rng.exponential(50, n) for n in (1, 40, halo + 1, 3 * 700, 3 * 700 + 1, 2900)}
+    channels["c1"] = channels["c1"] if pad_mode != "reflect" else rng.exponential(50, 2)
+    rows = spark.createDataFrame([("r", c, i, float(v)) for c, x in channels.items() for i, v in enumerate(x) if center or len(x) >= n_fft], "frame_id string, channel_id string, sample_idx long, value double")
+    parts = []
+    monkeypatch.setattr(filters, "unblock", lambda df: parts.append(df) or tables.unblock(df))
+    got = filters.hpss(rows, which, kernel, 2.0, 1.0, n_fft, hop, win_length, "hann", center, pad_mode, block=700).toPandas()
+    assert max(r[0] for r in parts[0].select(F.size("values")).collect()) <= 700
+    assert not got.duplicated(["channel_id", "sample_idx"]).any() and len(got) == rows.count()
+    for c, g in got.groupby("channel_id"):
+        assert np.allclose(g.sort_values("sample_idx")["value"], plain_hpss(channels[c], which, kernel, n_fft, hop, win_length, center, pad_mode), rtol=0, atol=1e-10), c
+
+
+@pytest.mark.parametrize("which", ["percussive"])
+def test_hpss_of_long_channels(spark, monkeypatch, which):
+    """Without a word on blocks, the rows do not grow with the channel."""
+    parts = []
+    monkeypatch.setattr(filters, "unblock", lambda df: parts.append(df) or tables.unblock(df))
+    rows = spark.range(50_000).select(F.lit("r").alias("frame_id"), F.lit("c").alias("channel_id"), F.col("id").alias("sample_idx"), F.sin(F.col("id") * F.col("id") / 1000).alias("value"))
+    got = filters.hpss(rows, which, n_fft=64).toPandas().sort_values("sample_idx")
+    sizes = [r[0] for r in parts[0].select(F.size("values")).collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= filters.BLOCK
+    x = np.sin(np.arange(50_000) ** 2 / 1000)
+    assert got["sample_idx"].tolist() == list(range(50_000)) and np.allclose(got["value"], plain_hpss(x, which, 31, 64, 16, 64, True, "constant"), atol=1e-8)
+
+
+def test_hpss_of_late_channels(spark):
+    """Samples keep their numbers; a channel that begins late is silent before."""
+    x = np.random.default_rng(6).normal(size=900)
+    rows = lambda lo: spark.createDataFrame([("r", "c", i, float(v)) for i, v in enumerate(x) if i >= lo], "frame_id string, channel_id string, sample_idx long, value double")
+    got = filters.hpss(rows(450), "harmonic", 5, n_fft=32, block=100).orderBy("sample_idx").toPandas()
+    assert got["sample_idx"].tolist() == list(range(450, 900)) and np.allclose(got["value"], plain_hpss(np.where(np.arange(900) < 450, 0, x), "harmonic", 5, 32, 8, 32, True, "constant")[450:])
+
+
+def test_medians_are_bounded():
+    """Windows of a long spectrogram are not gathered all at once."""
+    x = np.random.default_rng(7).exponential(size=(65, 8000))
+    tracemalloc.start()
+    kernels.harmonic_percussive(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * x.nbytes + (1 << 26)
+
+
 def test_hpss_refuses(signal):
     for bad in ({"win_length": 600}, {"pad_mode": "wrap"}):
         with pytest.raises(ValueError):

@@ -232,15 +232,28 @@ def resample_part(values: np.ndarray, start: int, first: int, end: int, up: int,
     return np.where(ok, x * h[np.clip(place, 0, 2 * half)], 0.0).sum(1)
 
 
-def harmonic_percussive(magnitude: np.ndarray, kernel: int = 31, power: float = 2.0, margin: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Soft masks of median-filtered spectrograms (bins, frames): smooth along time is harmonic, along frequency percussive."""
+#: Values that medians gather at once.
+MEDIAN_VALUES = 1 << 21
 
-    def medians(x: np.ndarray) -> np.ndarray:
-        half = kernel // 2
-        wide = np.pad(x, ((0, 0), (half, half)), mode="symmetric" if x.shape[1] > half else "reflect" if x.shape[1] > 1 else "edge")
-        return np.median(np.lib.stride_tricks.sliding_window_view(wide, kernel, axis=1), axis=-1)
 
-    harmonic, percussive = medians(magnitude), medians(magnitude.T).T
+def harmonic_percussive(magnitude: np.ndarray, kernel: int = 31, power: float = 2.0, margin: float = 1.0, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Soft masks of median-filtered spectrograms (bins, frames): smooth along time is harmonic, along frequency percussive.
+
+    The first `before` and the last `after` frames, half a kernel each at most, are
+    neighbours of the others and get no masks.
+    """
+    half = kernel // 2
+
+    def medians(x: np.ndarray, first: int = 0, last: int = 0) -> np.ndarray:
+        wide = np.pad(x, ((0, 0), (half - first, half - last)), mode="symmetric" if x.shape[1] > half else "reflect" if x.shape[1] > 1 else "edge")
+        windows = np.lib.stride_tricks.sliding_window_view(wide, kernel, axis=1)
+        out = np.empty(windows.shape[:2])
+        step = max(1, MEDIAN_VALUES // max(1, windows.shape[1] * kernel))
+        for lo in range(0, len(out), step):
+            out[lo : lo + step] = np.median(windows[lo : lo + step], axis=-1)
+        return out
+
+    harmonic, percussive = medians(magnitude, before, after), medians(magnitude[:, before : magnitude.shape[1] - after].T).T
 
     def mask(x, ref):
         top = np.maximum(x, ref)

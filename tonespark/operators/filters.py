@@ -18,6 +18,8 @@ from ..functions.tables import KEY, blocks, kept, unblock, with_stats
 from ..functions.windows import window
 
 BLOCK = 16_384
+#: Values of the spectrogram of a block of median separation, without its halo.
+SPECTRUM_VALUES = 1 << 19
 
 
 BLOCKS = "frame_id string, channel_id string, block long, start long, values array<double>"
@@ -137,44 +139,72 @@ def resample(df: DataFrame, rate: float, target: float, block: int = BLOCK) -> D
     return unblock(packed.mapInPandas(part, "frame_id string, channel_id string, start long, values array<double>"))
 
 
-def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann", center: bool = True, pad_mode: str = "constant") -> DataFrame:
-    """The harmonic or the percussive part by median filtering of the spectrogram. A channel is one group: medians along time need its whole spectrogram.
+def hpss(df: DataFrame, which: str, kernel: int = 31, power: float = 2.0, margin: float = 1.0, n_fft: int = 2048, hop: int | None = None, win_length: int | None = None, win: str = "hann", center: bool = True, pad_mode: str = "constant", block: int | None = None) -> DataFrame:
+    """The harmonic or the percussive part by median filtering of the spectrogram.
 
     A window shorter than n_fft lies in its middle. Centred frames reach over the
     ends, which are padded as pad_mode says; others begin at the first sample, and
     samples past the last whole frame become 0.
-    """
-    from .spectral import channel_arrays
 
+    Channels go through blocks (of `block` samples, a halo at least). A sample is
+    made of the frames over it, and their masks of half a kernel of frames on either
+    side: with a halo of so many samples each block gives what the whole channel
+    would give. A halo is longer than a padded end, and only a channel that lies in
+    one block can have fewer frames than half a kernel.
+    """
     hop = hop or n_fft // 4
     length = win_length or n_fft
     if not 0 < length <= n_fft:
         raise ValueError("a window is as long as a transform at most")
     if pad_mode not in ("constant", "edge", "linear_ramp", "reflect", "symmetric"):
         raise ValueError(f"no padding {pad_mode!r}")
-    before = (n_fft - length) // 2
-    w = np.pad(window(win, length), (before, n_fft - length - before))
-    edge = n_fft // 2 if center else 0
+    left = (n_fft - length) // 2
+    w = np.pad(window(win, length), (left, n_fft - length - left))
+    edge, half = n_fft // 2 if center else 0, kernel // 2
+    halo = n_fft + half * hop
+    # blocks of four halos, but where frames lie so close that their spectra would be many
+    block = max(halo, block or min(max(BLOCK, 4 * halo), hop * SPECTRUM_VALUES // (n_fft // 2 + 1)))
 
     def split(frames):
         for pdf in frames:
-            yield pd.DataFrame({"frame_id": pdf["frame_id"], "channel_id": pdf["channel_id"], "start": 0, "values": [part_of(np.asarray(v, float)) for v in pdf["values"]]})
-
-    def part_of(x: np.ndarray) -> np.ndarray:
-        wide = np.pad(x, edge, mode=pad_mode)
-        count = 1 + max(0, len(wide) - n_fft) // hop
+            for row in pdf.itertuples(index=False):
+                first, begin = row.block * block, row.start - halo
+                # a channel that begins late is silent before
+                silent = begin - max(0, first - halo)
+                values = part_of(np.concatenate([np.zeros(silent), np.asarray(row.values, float)]), begin - silent, first)
+                skipped = max(0, begin - first)
+                if len(values) > skipped:  # other blocks hold what is another's halo
+                    yield pd.DataFrame({"frame_id": [row.frame_id], "channel_id": [row.channel_id], "start": [first + skipped], "values": [values[skipped:]]})
+
+    def part_of(x: np.ndarray, start: int, first: int) -> np.ndarray:
+        """Results from sample `first` on, to the block's end or the channel's, of samples x from start. Places count from the first frame's, `edge` before sample 0."""
+        n = start + len(x)  # the channel's length, or so far that no frame of the block reaches its end
+        begin, end = first + edge, min(first + block, n) + edge
+        if begin >= end:
+            return np.zeros(0)
+        origin = start + edge if start else 0
+        wide = np.pad(x, (0 if start else edge, edge), mode=pad_mode)
         wide = np.pad(wide, (0, max(0, n_fft - len(wide))))
-        frames = np.lib.stride_tricks.sliding_window_view(wide, n_fft)[::hop][:count]
+        count = 1 + max(0, n + 2 * edge - n_fft) // hop
+        lo, hi = max(0, -(-(begin - n_fft + 1) // hop)), min(count - 1, (end - 1) // hop)  # frames over the block
+        if lo > hi:
+            return np.zeros(end - begin)
+        low, high = max(0, lo - half), min(count - 1, hi + half)  # and those that their medians see
+        frames = np.lib.stride_tricks.sliding_window_view(wide[low * hop - origin : high * hop + n_fft - origin], n_fft)[::hop]
         spectrum = np.fft.rfft(frames * w).T
-        masks = harmonic_percussive(np.abs(spectrum), kernel, power, margin)
-        part = np.fft.irfft((spectrum * masks[0 if which == "harmonic" else 1]).T, n_fft) * w
-        y, norm = np.zeros(len(wide)), np.zeros(len(wide))
-        for i in range(len(part)):
-            y[i * hop : i * hop + n_fft] += part[i]
-            norm[i * hop : i * hop + n_fft] += w * w
-        return (y / np.where(norm > 1e-12, norm, 1.0))[edge : edge + len(x)]
-
-    return unblock(channel_arrays(df).mapInPandas(split, "frame_id string, channel_id string, start long, values array<double>"))
+        masks = harmonic_percussive(np.abs(spectrum), kernel, power, margin, lo - low, high - hi)
+        part = np.fft.irfft((spectrum[:, lo - low : hi - low + 1] * masks[0 if which == "harmonic" else 1]).T, n_fft) * w
+        base = min(begin, lo * hop)
+        y, norm = np.zeros(max(end, hi * hop + n_fft) - base), np.zeros(max(end, hi * hop + n_fft) - base)
+        for i, values in enumerate(part):
+            at = (lo + i) * hop - base
+            y[at : at + n_fft] += values
+            norm[at : at + n_fft] += w * w
+        return (y / np.where(norm > 1e-12, norm, 1.0))[begin - base : end - base]
+
+    # numbered from a halo on, so that block b holds samples b * block - halo to (b + 1) * block + halo
+    moved = df.select(*KEY, (F.col("sample_idx") + halo).alias("sample_idx"), "value")
+    return unblock(blocks(moved, block, after=2 * halo).mapInPandas(split, "frame_id string, channel_id string, start long, values array<double>"))
 
 
 def noct_spectrum(df: DataFrame, rate: float, bands: pd.DataFrame, order: int = 3, block: int = BLOCK) -> DataFrame:
