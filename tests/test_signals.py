@@ -803,7 +803,7 @@ def plain_hpss(x, which, kernel, n_fft, hop, win_length, center, pad_mode):
     return (y / np.where(norm > 1e-12, norm, 1.0))[edge : edge + len(x)]
 
 
-@pytest.mark.parametrize("which", ["percussive"])
+@pytest.mark.parametrize("which", ["percussive", "harmonic"])
 @pytest.mark.parametrize("options", [(31, 64, 16, 64, True, "constant"), (7, 64, 16, 48, True, "reflect"), (31, 32, 32, 32, False, "edge"), (5, 32, 7, 32, True, "linear_ramp")])
 def test_hpss_by_blocks(spark, monkeypatch, which, options):
     """Channels go through blocks, none of which holds more than it has to, and give what whole channels give; the ends of channels and blocks fall in all places."""
@@ -821,7 +821,7 @@ def test_hpss_by_blocks(spark, monkeypatch, which, options):
         assert np.allclose(g.sort_values("sample_idx")["value"], plain_hpss(channels[c], which, kernel, n_fft, hop, win_length, center, pad_mode), rtol=0, atol=1e-10), c
 
 
-@pytest.mark.parametrize("which", ["percussive"])
+@pytest.mark.parametrize("which", ["percussive", "harmonic"])
 def test_hpss_of_long_channels(spark, monkeypatch, which):
     """Without a word on blocks, the rows do not grow with the channel."""
     parts = []
